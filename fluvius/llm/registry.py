@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import decontaminate, exact_dedup, mixing, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op4_warc": warc.query,
     "op6_mixing": mixing.query,
+    "op7_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op4_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
 }
