@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, warc
+from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op4_warc": warc.query,
     "op6_mixing": mixing.query,
     "op7_decontaminate": decontaminate.query,
+    "op9_jaccard_join": jaccard_join.query,
+    "op10_quality": quality.query,
 }
 
 ORACLES = {
