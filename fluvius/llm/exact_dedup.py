@@ -123,6 +123,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay, one for each text; of rows that repeat doc_id and text, one.
+
+    All columns stay as they are.  Rows are told apart by doc_id and text, so a null
+    doc_id does no harm.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    name = lambda doc_id, sha: F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), sha)
+    found = scratch.cut(exact_dedup(docs).select(name(F.col("doc_id"), F.col("text_sha256")).alias("gone_key"), "kept"), "decisions")
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own_row")
+    rows = docs.select(own, name(F.col("doc_id"), F.sha2(F.encode(collapsed(F.col("text")), "UTF-8"), 256)).alias("own_key"))
+    rows = rows.join(found.filter(~F.col("kept")).select("gone_key").distinct(), F.col("own_key") == F.col("gone_key"), "left_anti")
+    if not found.filter("kept").groupBy("gone_key").count().filter(F.col("count") > 1).isEmpty():
+        rows = rows.dropDuplicates(["own_key"])
+    return rows.select("own_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

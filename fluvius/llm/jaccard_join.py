@@ -284,5 +284,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _Join(docs, id_col, text_col, hot_list, star).run()
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, of each component the one with the smallest doc_id; rows with a null doc_id stay."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("near_id")).distinct()
+    found = scratch.cut(found, "decisions")
+    return docs.join(found, docs["doc_id"] == F.col("near_id"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -52,38 +52,58 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def rates(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_rate: float = MAX_RATE, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies for every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sized = scratch.cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sized")
+def _sized(docs: DataFrame, source_col: str, text_col: str, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+
+
+def _plan(sized: DataFrame, scratch: Scratch, weights, max_rate: float) -> DataFrame:
+    """p_source, source_size, target, whole, part, seed: a row per source, written."""
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_rate)
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     plan = plan.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate"))
-    plan = scratch.cut(plan.withColumnRenamed("source", "p_source"), "plan")
+    plan = scratch.cut(plan.withColumnRenamed("source", "p_source"), "rates")
     # The source table is broadcast by Spark where its size allows and shuffled otherwise.
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     drawn = [F.sum(F.when(chance(s, F.col("doc_id")) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
     want = F.col("target") - F.col("whole") * F.col("source_size")
     sums = joined.groupBy("source", "whole", "source_size", "target").agg(*drawn)
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{s}") - want).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]))["seed"]
-    seeds = scratch.cut(sums.select(F.col("source").alias("q_source"), best.alias("seed")), "seeds")
-    out = joined.join(seeds, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+    seeds = sums.select(F.col("source").alias("q_source"), best.alias("seed"))
+    return scratch.cut(plan.join(seeds, F.col("p_source").eqNullSafe(F.col("q_source"))).drop("q_source"), "plan")
+
+
+def _copies(doc_id: Column) -> Column:
+    """Copies of a row that is joined with its source's plan."""
     pick = F.lit(False)
     for s in range(SEEDS):
-        pick = F.when(F.col("seed") == s, chance(s, F.col("doc_id")) < F.col("part")).otherwise(pick)
-    return out.withColumn("copies", (F.col("whole") + F.when(pick, 1).otherwise(0)).cast("long"))
+        pick = F.when(F.col("seed") == s, chance(s, doc_id) < F.col("part")).otherwise(pick)
+    return (F.col("whole") + F.when(pick, 1).otherwise(0)).cast("long")
+
+
+def rates(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_rate: float = MAX_RATE, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.cut(_sized(docs, source_col, text_col, id_col), "sized")
+    plan = _plan(sized, scratch, weights, max_rate)
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    return out.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("doc_id")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), max_rate: float = MAX_RATE) -> DataFrame:
     """The mixed table: each row of ``docs`` as often as the mix takes it, with copy_no from 0.
 
     A null source is a source of its own, last in order; a null text has no words and
-    stays as often as its source's rate says; rows that repeat a doc_id draw alike.
+    stays as often as its source's rate says; rows that repeat a doc_id draw alike.  A
+    source without words has rate 0.  Texts are not shuffled: the plan has a row per source.
     """
-    picked = rates(docs, weights, max_rate).filter(F.col("copies") > 0).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    rows = docs.join(picked.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), (F.col("mix_copies") - 1).cast("int"))).alias("copy_no"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.cut(_sized(docs, "source", "text", "doc_id"), "sized")
+    plan = _plan(sized, scratch, weights, max_rate).select(*[F.col(c).alias(f"mix_{c}") for c in ("p_source", "whole", "part", "seed")])
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("mix_row")
+    rows = docs.select(own).join(plan, F.col("mix_row.source").eqNullSafe(F.col("mix_p_source")))
+    rows = rows.select("mix_row", F.col("mix_whole").alias("whole"), F.col("mix_part").alias("part"), F.col("mix_seed").alias("seed"))
+    rows = rows.withColumn("copies", _copies(F.col("mix_row.doc_id"))).filter(F.col("copies") > 0)
+    return rows.select("mix_row", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("mix_copy")).select("mix_row.*", F.col("mix_copy").alias("copy_no"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

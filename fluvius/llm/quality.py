@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,5 +247,26 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(feats, train(feats, labels))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Rows of ``docs`` that score at least ``threshold``, all columns as they are.
+
+    Features are made for the sample that the model is fitted on (at most ``fit_rows``
+    rows, so it is broadcast) and once more where rows are scored and filtered in place:
+    no text is shuffled, and rows with a null doc_id are judged by their text too.
+    """
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = marks.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    marks = Scratch(docs.sparkSession, "quality").cut(marks, "sample")
+    ids = marks.select(F.col("doc_id").alias("m_id"))
+    model = train(feature_table(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("m_id"))), marks, fit_rows)
+
+    def work(batches):
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x.astype(np.float32).astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

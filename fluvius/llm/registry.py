@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, warc
+from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, suffix_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op4_warc": warc.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_mixing": mixing.query,
     "op7_decontaminate": decontaminate.query,
     "op9_jaccard_join": jaccard_join.query,
