@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_
     rest = F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     rows = rows.withColumn("level", rest / F.sum("weight").over(onward))
     rows = rows.withColumn("full", F.col("level") > F.col("at"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level)
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
@@ -124,7 +124,7 @@ w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) %
 o AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
 f AS (SELECT *, lvl > most / weight AS is_full FROM o),
-t AS (SELECT *, CASE WHEN is_full THEN most ELSE weight * (min(CASE WHEN NOT is_full THEN lvl END) OVER ()) END AS target FROM f),
+t AS (SELECT *, CASE WHEN is_full THEN most ELSE weight * (max(CASE WHEN NOT is_full THEN lvl END) OVER ()) END AS target FROM f),
 r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM t),
 j AS (SELECT sized.doc_id, sized.size, r.* FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source),
