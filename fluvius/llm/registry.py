@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, mixing, quality, suffix_dedup, warc
+from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_token_counts": token_counts.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_warc": warc.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op6_mixing": mixing.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_pii": pii.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality": quality.query,
 }
