@@ -9,7 +9,8 @@ asks for, and a pair must share min(L, L') shingles within the prefixes of that
 Documents of equal sets are one class.  In long posting lists members are first
 compared with one pivot, round by round, and what joins a component is not paired
 again; then all pairs that still cross components, in every list, face the count and
-are verified on whole sets.  No link between components can be missed by this.
+are verified on whole sets.  Before that, shingles that one open document alone holds are
+taken off the overlap that it can reach.  No link between components can be missed by this.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .graph import components
 WORDS = 5
 SKETCH_BITS = 22
 CHUNK_BITS = 16
-MOST_SHARED = 8
+#: L lies between these two, as far as the set's size allows.
+LEAST_SHARED = 6
+MOST_SHARED = 10
 #: Cost of a verification against that of reading a posting.
 VERIFY_COST = 16.0
 #: Lists longer than this meet a pivot first.
@@ -132,7 +135,8 @@ def prefix(s: np.ndarray, levels: np.ndarray):
     est = np.where(lv[order] > 0, np.exp2(lv[order].astype(np.float64)), 0.25)
     read = np.cumsum(est)[base - 1 :]
     ell = np.arange(1, top + 1)
-    best = int((read * (1 + VERIFY_COST / ell)).argmin())
+    low = min(LEAST_SHARED, top) - 1
+    best = low + int((read * (1 + VERIFY_COST / ell))[low:].argmin())
     order = order[: base + best]
     first = np.maximum(1, np.arange(len(order)) - base + 2)
     return s[order], lv[order], first, best + 1
@@ -169,6 +173,21 @@ def _postings(levels_b, hot: int):
     return work
 
 
+def _tokens(batches):
+    for batch in batches:
+        token, doc, held = [], [], 0
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = shingles(text)
+            token.append(s.view(np.int64))
+            doc.append(np.full(len(s), i, np.int64))
+            held += len(s)
+            if held >= 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(doc))], ["token", "doc"])
+                token, doc, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(doc))], ["token", "doc"])
+
+
 def _sets(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])
@@ -222,6 +241,34 @@ class _Join:
         self.scratch.drop(f"{name}-sets", f"{name}-nodes", f"{name}-pairs")
         return links
 
+    def still_open(self, rest: DataFrame) -> DataFrame:
+        """``rest`` without lists inside one component, and without documents in too few lists for any partner."""
+        for k in range(3):
+            mixed = rest.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("token")
+            rest = self.scratch.cut(rest.join(mixed, "token", "left_semi"), f"mixed-{k}")
+            few = rest.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).filter(F.col("c") >= F.least(F.lit(LEAST_SHARED), F.ceil(F.col("n") * 0.5625))).select("doc")
+            rest = self.scratch.cut(rest.join(few, "doc", "left_semi"), f"rest-{k}")
+            self.scratch.drop(f"mixed-{k}", f"rest-{k - 1}")
+        return rest
+
+    def usable(self, rest: DataFrame) -> DataFrame:
+        """``rest`` with v, the shingles that a document shares with any other one still open.
+
+        Links still wanted are between documents of ``rest``; a shingle that one of them
+        alone holds is in no overlap.  Documents with v under 0.75 n are settled and go, and
+        v bounds the overlap of the pairs of the others: a group of copies that each differ
+        too much from the rest is not paired.
+        """
+        cut = self.scratch.cut
+        nodes = cut(rest.groupBy(F.col("doc").alias("node")).agg(F.lit(1).alias("one")), "open")
+        with settings(self.spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m"):
+            texts = self.docs.join(nodes.filter(F.col("one") == 1), F.col("doc_id") == F.col("node")).select("doc_id", "text")
+            held = texts.mapInArrow(_tokens, "token long, doc long")
+            sole = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("doc")).filter(F.col("c") == 1)
+            sole = cut(sole.groupBy(F.col("doc").alias("s_doc")).agg(F.count(F.lit(1)).alias("u")), "sole")
+        out = rest.join(sole, F.col("doc") == F.col("s_doc"), "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("s_doc", "u")
+        return cut(out.filter(4 * F.col("v") >= 3 * F.col("n")), "usable")
+
     def run(self) -> DataFrame:
         cut = self.scratch.cut
         first = cut(self.docs.mapInArrow(_first_pass, "doc_id long, n long, key binary, chunk int, salt int, blob binary"), "first")
@@ -258,12 +305,14 @@ class _Join:
             links = fresh if links is None else links.unionByName(fresh)
             labels = cut(components(links, self.scratch, f"cc-{k}"), f"labels-{k}")
         rest = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels, F.col("doc") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "doc").alias("label"))
-        mixed = rest.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("token")
-        rest = cut(rest.join(mixed, "token", "left_semi"), "rest")
+        rest = self.usable(self.still_open(rest))
         other = rest.select(*[F.col(c).alias(f"{c}2") for c in rest.columns])
         m = F.least("ell", "ell2")
-        cross = rest.join(other, (F.col("token") == F.col("token2")) & (F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (F.greatest("at", "at2") <= m))
-        met = cross.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(m).alias("m")).filter(F.col("c") >= F.col("m")).select("x", "y")
+        both = F.col("n") + F.col("n2")
+        cross = rest.join(other, (F.col("token") == F.col("token2")) & (F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (7 * F.least("v", "v2") >= 3 * both) & (F.greatest("at", "at2") <= m))
+        # Shared shingles outside the prefixes are max(t, t') - m at most, of the overlap that 0.75 takes.
+        need = F.ceil(both * 3 / 7 - F.lit(1e-9)) - F.greatest(F.ceil(F.col("n") * 0.75), F.ceil(F.col("n2") * 0.75))
+        met = cross.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(m + F.greatest(need, F.lit(0))).alias("m")).filter(F.col("c") >= F.col("m")).select("x", "y")
         last = self.verified(met, "last")
         links = last if links is None else links.unionByName(last)
         labels = components(links, self.scratch, "cc")
