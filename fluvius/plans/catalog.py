@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "answers", "texts", "graphs", "sequences", "spatial", "simulation", "documents")
+MODULES = ("relational", "answers", "texts", "graphs", "sequences", "spatial", "simulation", "documents", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
