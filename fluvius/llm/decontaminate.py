@@ -10,10 +10,10 @@ is its longest verbatim match, and the range at the window's depth has the locat
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, table
 
@@ -142,9 +142,9 @@ class Shard:
 def _shards(batches, items: Items):
     get = items.vocabulary.get
     held, texts, n = [], [], 0
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            t = [get(w, 0) for w in words(row.text)]
+    for batch in batches:
+        for row in batch.to_pylist():
+            t = [get(w, 0) for w in words(row["text"])]
             held.append(row)
             texts.append(t)
             n += len(t)
@@ -165,7 +165,7 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.append(reach[first[1:] - 1], reach[-1])], 1)
 
 
-def _mark(items: Items, last: bool):
+def _mark(items: Items, last: bool, kind):
     def mark(batches):
         for held, texts, shard in _shards(batches, items):
             _, _, _, lo, hi = search(shard.a, shard.sa, items)
@@ -173,16 +173,18 @@ def _mark(items: Items, last: bool):
             order = np.argsort(doc, kind="stable")
             doc, place, which = doc[order], place[order], which[order]
             cuts = np.searchsorted(doc, np.arange(len(held) + 1))
-            out = []
+            out = [[], [], [], [], []]
             for k, row in enumerate(held):
                 c = slice(cuts[k], cuts[k + 1])
                 local = place[c] - shard.starts[k]
                 spans = np.stack([local, local + items.window[which[c]]], 1)
-                old = np.array(row.spans, np.int64).reshape(-1, 2)
+                old = np.array(row["spans"], np.int64).reshape(-1, 2)
                 spans = _merge(np.concatenate([old, spans]))
-                found = sorted({items.ids[i] for i in np.unique(items.item[which[c]])} | set(row.item_ids))
-                out.append((row.doc_id, None if last else row.text, len(texts[k]), spans.ravel().tolist(), found))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "spans", "item_ids"])
+                found = sorted({items.ids[i] for i in np.unique(items.item[which[c]])} | set(row["item_ids"]))
+                for col, v in zip(out, (row["doc_id"], None if last else row["text"], len(texts[k]), spans.ravel().tolist(), found)):
+                    col.append(v)
+            kinds = (kind, pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "text", "n_words", "spans", "item_ids"])
 
     return mark
 
@@ -192,7 +194,8 @@ def _longest(items: Items):
         for held, _, shard in _shards(batches, items):
             length, lo, hi, _, _ = search(shard.a, shard.sa, items)
             doc, place, which = shard.where(lo, hi, np.flatnonzero(length >= items.window))
-            yield pd.DataFrame({"item_id": pd.Series([items.ids[i] for i in items.item[which]], dtype=object), "item_pos": items.offset[which], "n_words": length[which], "doc_id": pd.Series([held[d].doc_id for d in doc], dtype="Int64"), "doc_pos": place - shard.starts[doc]})
+            columns = [pa.array([items.ids[i] for i in items.item[which]], pa.string()), pa.array(items.offset[which]), pa.array(length[which]), pa.array([held[d]["doc_id"] for d in doc], pa.int64()), pa.array(place - shard.starts[doc])]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "item_pos", "n_words", "doc_id", "doc_pos"])
 
     return longest
 
@@ -217,9 +220,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     scratch = Scratch(spark, "decontaminate")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
     kind = next(t for c, t in rows.dtypes if c == "doc_id")
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
     blocks = _blocks(benchmark, item_col, bench_text_col, window)
     for k, items in enumerate(blocks):
-        rows = rows.select("doc_id", "text", "spans", "item_ids").mapInPandas(_mark(items, k + 1 == len(blocks)), f"doc_id {kind}, text string, n_words long, spans array<long>, item_ids array<string>")
+        rows = rows.select("doc_id", "text", "spans", "item_ids").mapInArrow(_mark(items, k + 1 == len(blocks), arrow), f"doc_id {kind}, text string, n_words long, spans array<long>, item_ids array<string>")
         if k + 1 < len(blocks):
             rows = scratch.cut(rows, f"pass-{k}")
             scratch.drop(f"pass-{k - 1}")
@@ -228,10 +232,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """For each item suffix that matches a window or more: the longest match over all shards and every place of it."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for items in _blocks(benchmark, item_col, bench_text_col, window):
-        part = rows.mapInPandas(_longest(items), "item_id string, item_pos long, n_words long, doc_id long, doc_pos long")
+        part = rows.mapInArrow(_longest(items), "item_id string, item_pos long, n_words long, doc_id long, doc_pos long")
         found = part if found is None else found.unionByName(part)
     found = Scratch(docs.sparkSession, "matches").cut(found, "all")
     most = found.groupBy("item_id", "item_pos").agg(F.max("n_words").alias("n_words"))

@@ -338,7 +338,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("near_id")).distinct()
     found = scratch.cut(found, "decisions")
-    return docs.join(found, docs["doc_id"] == F.col("near_id"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["near_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

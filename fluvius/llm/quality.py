@@ -16,7 +16,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,12 +192,13 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id and x (array of FEATURES), one row per row."""
 
     def work(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t) for t in pdf["text"]]})
+        for batch in batches:
+            x = pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"doc_id {kind}, x array<float>")
+    return rows.mapInArrow(work, f"doc_id {kind}, x array<float>")
 
 
 def fold(doc_id) -> int:
@@ -225,12 +225,12 @@ def score(feats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     """doc_id, held_out, score, predicted."""
 
     def work(batches):
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), np.float64).reshape(len(pdf), len(FEATURES))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.scores(x)})
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
 
     kind = feats.schema["doc_id"].dataType.simpleString()
-    out = feats.mapInPandas(work, f"doc_id {kind}, score double")
+    out = feats.select("doc_id", "x").mapInArrow(work, f"doc_id {kind}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -258,7 +258,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     marks = marks.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     marks = Scratch(docs.sparkSession, "quality").cut(marks, "sample")
     ids = marks.select(F.col("doc_id").alias("m_id"))
-    model = train(feature_table(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("m_id"))), marks, fit_rows)
+    model = train(feature_table(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("m_id"))), marks, fit_rows)
 
     def work(batches):
         for batch in batches:
