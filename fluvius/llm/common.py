@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows handed to Python at once; texts are long, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = 2000
+
 #: ASCII white space, as the contracts name it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +50,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"

@@ -33,11 +33,16 @@ CHUNK_BITS = 16
 #: L lies between these two, as far as the set's size allows.
 LEAST_SHARED = 6
 MOST_SHARED = 10
+#: Least L of what is in the sample only.
+BEYOND = 15
 #: Cost of a verification against that of reading a posting.
 VERIFY_COST = 16.0
 #: Lists longer than this meet a pivot first.
 STAR = 24
 ROUNDS = 3
+#: Ordinary shingles with hashes under this share of the range are all posted: one that then
+#: stands alone is in no other document.
+SAMPLED = 0.5
 #: Postings of one shingle in one partition; lists estimated longer are salted.
 HOT_LIST = 200_000
 #: Pairs of one document verified beside one copy of its set.
@@ -47,7 +52,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 2_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -124,22 +129,28 @@ def _levels(rows: DataFrame) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, levels: np.ndarray):
-    """Ordered shingles of the document's prefix, the level of each, and its L; see the module's text."""
+    """Ordered shingles of the document's prefix and sample, the level and least L of each, its L, and the size of the sample.
+
+    Ordinary shingles are ordered by hash, so the sample is the order's beginning.
+    """
     n = len(s)
     lv = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((s, lv))
+    full = np.lexsort((s, lv))
     least = (3 * n + 3) // 4
     top = min(MOST_SHARED, least)
     base = n - least + 1
-    order = order[: base + top - 1]
+    order = full[: base + top - 1]
     est = np.where(lv[order] > 0, np.exp2(lv[order].astype(np.float64)), 0.25)
     read = np.cumsum(est)[base - 1 :]
     ell = np.arange(1, top + 1)
     low = min(LEAST_SHARED, top) - 1
     best = low + int((read * (1 + VERIFY_COST / ell))[low:].argmin())
-    order = order[: base + best]
+    end = base + best
+    sampled = int(((lv == 0) & (s < np.uint64(int(SAMPLED * 2.0**64)))).sum())
+    order = full[: max(end, sampled)]
     first = np.maximum(1, np.arange(len(order)) - base + 2)
-    return s[order], lv[order], first, best + 1
+    first[end:] = BEYOND
+    return s[order], lv[order], first, best + 1, sampled
 
 
 def _postings(levels_b, hot: int):
@@ -157,11 +168,11 @@ def _postings(levels_b, hot: int):
                 s = shingles(text)
                 if not len(s):
                     continue
-                t, lv, first, ell = prefix(s, levels)
+                t, lv, first, ell, sampled = prefix(s, levels)
                 parts = np.where(lv > 0, np.exp2(lv.astype(np.float64)) // hot + 1, 1).astype(np.int64)
                 token.append(t.view(np.int64))
                 doc.append(np.full(len(t), i, np.int64))
-                meta.append((len(s) << 8) + (ell << 4) + first.astype(np.int64))
+                meta.append((len(s) << 36) + (sampled << 9) + (ell << 5) + (first.astype(np.int64) << 1) + (np.arange(len(t)) < sampled))
                 salt.append(np.where(parts > 1, 1 + ((i * 2654435761) & 0x7FFFFFFF) % parts, 0))
                 held += len(t)
                 if held >= 200_000:
@@ -241,14 +252,20 @@ class _Join:
         self.scratch.drop(f"{name}-sets", f"{name}-nodes", f"{name}-pairs")
         return links
 
-    def still_open(self, rest: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """``rows`` with label: the component of doc, or doc itself."""
+        if labels is None:
+            return rows.withColumn("label", F.col("doc"))
+        return rows.join(labels, F.col("doc") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "doc").alias("label"))
+
+    def still_open(self, rest: DataFrame, name: str) -> DataFrame:
         """``rest`` without lists inside one component, and without documents in too few lists for any partner."""
         for k in range(3):
             mixed = rest.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("token")
-            rest = self.scratch.cut(rest.join(mixed, "token", "left_semi"), f"mixed-{k}")
+            rest = self.scratch.cut(rest.join(mixed, "token", "left_semi"), f"{name}-mixed-{k}")
             few = rest.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).filter(F.col("c") >= F.least(F.lit(LEAST_SHARED), F.ceil(F.col("n") * 0.5625))).select("doc")
-            rest = self.scratch.cut(rest.join(few, "doc", "left_semi"), f"rest-{k}")
-            self.scratch.drop(f"mixed-{k}", f"rest-{k - 1}")
+            rest = self.scratch.cut(rest.join(few, "doc", "left_semi"), f"{name}-rest-{k}")
+            self.scratch.drop(f"{name}-mixed-{k}", f"{name}-rest-{k - 1}")
         return rest
 
     def usable(self, rest: DataFrame) -> DataFrame:
@@ -281,31 +298,33 @@ class _Join:
         by = Window.partitionBy("token", "salt")
         size = F.count(F.lit(1)).over(by)
         shared = postings.withColumn("c", size).filter((F.col("c") > 1) | (F.col("salt") > 0))
-        shared = cut(shared.select("token", "doc", (F.shiftright("meta", 8)).alias("n"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("ell"), F.col("meta").bitwiseAND(F.lit(15)).alias("at")), "shared")
-        links = None
-        labels = None
-        long_lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > self.star).select("token")
-        stars = cut(shared.join(long_lists, "token", "left_semi").select("token", "doc", "n"), "stars")
+        part = lambda by, mask: F.shiftright("meta", by).bitwiseAND(F.lit(mask))
+        shared = cut(shared.select("token", "doc", part(36, 0x7FFFFFF).alias("n"), part(9, 0x7FFFFFF).alias("s"), part(5, 15).alias("ell"), part(1, 15).alias("at"), part(0, 1).alias("in_sample")), "shared")
+        # Sampled shingles that no other document holds are in no overlap; 0.75 n must be left.
+        hold = shared.groupBy("doc").agg(F.sum("in_sample").alias("c"), F.min("n").alias("n"), F.max("s").alias("s"))
+        hold = hold.filter(4 * (F.col("n") - F.col("s") + F.col("c")) >= 3 * F.col("n")).select("doc")
+        rest = shared.filter(F.col("at") <= F.col("ell")).join(hold, "doc", "left_semi").select("token", "doc", "n", "ell", "at").withColumn("label", F.col("doc"))
+        rest = self.usable(self.still_open(rest, "first"))
+        links = labels = tried = None
+        long_lists = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > self.star).select("token")
+        stars = cut(rest.join(long_lists, "token", "left_semi").select("token", "doc", "n", "v"), "stars")
         for k in range(ROUNDS if not stars.isEmpty() else 0):
-            rows_k = stars.withColumn("label", F.col("doc")) if labels is None else stars.join(labels, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("label"))
-            low = rows_k.groupBy("token").agg(F.min(F.struct("doc", "label", "n")).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1"))
-            if labels is not None:  # the next pivot: the least member outside the first one's component
-                other = rows_k.join(low, "token").filter(F.col("label") != F.col("p.label")).groupBy("token").agg(F.min(F.struct("doc", "label", "n")).alias("p"))
-                low = other
+            rows_k = self.labelled(stars, labels)
+            # A pivot holds few shingles of its own, so that most of what it can join is near it.
+            pivot = F.min(F.struct((F.col("n") - F.col("v")).alias("own"), "doc", "label", "n")).alias("p")
+            low = rows_k.groupBy("token").agg(pivot, F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1"))
+            if labels is not None:  # the next pivot: the best member outside the first one's component
+                low = rows_k.join(low, "token").filter(F.col("label") != F.col("p.label")).groupBy("token").agg(pivot)
             pairs = rows_k.join(low.select("token", "p"), "token").filter((F.col("label") != F.col("p.label")) & (4 * F.least("n", "p.n") >= 3 * F.greatest("n", "p.n")))
             pairs = pairs.select(F.col("p.doc").alias("x"), F.col("doc").alias("y")).distinct()
-            if links is not None:
-                tried = self.tried
-                pairs = pairs.join(tried, ["x", "y"], "left_anti")
-            pairs = cut(pairs, f"star-{k}")
+            pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"star-{k}")
             if pairs.isEmpty():
                 break
-            self.tried = pairs if links is None else self.tried.unionByName(pairs)
+            tried = pairs if tried is None else tried.unionByName(pairs)
             fresh = self.verified(pairs, f"round-{k}")
             links = fresh if links is None else links.unionByName(fresh)
             labels = cut(components(links, self.scratch, f"cc-{k}"), f"labels-{k}")
-        rest = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels, F.col("doc") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "doc").alias("label"))
-        rest = self.usable(self.still_open(rest))
+        rest = self.still_open(self.labelled(rest.drop("label"), labels), "last")
         other = rest.select(*[F.col(c).alias(f"{c}2") for c in rest.columns])
         m = F.least("ell", "ell2")
         both = F.col("n") + F.col("n2")

@@ -81,7 +81,7 @@ def test_prefixes_keep_the_promise():
         b = np.unique(b)
         if not J.similar(a, b):
             continue
-        (ta, _, fa, la), (tb, _, fb, lb) = J.prefix(a, levels), J.prefix(b, levels)
+        (ta, _, fa, la, _), (tb, _, fb, lb, _) = J.prefix(a, levels), J.prefix(b, levels)
         m = min(la, lb)
         assert len(set(ta[fa <= m].tolist()) & set(tb[fb <= m].tolist())) >= m
 
