@@ -151,11 +151,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     put = places.join(names, ["kind", "entity"]).select("doc_id", "tag", "pos", written(F.col("kind"), F.col("place"), F.col("surrogate")).alias("w"))
     put = put.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("put"))
     put = scratch.cut(put.select(F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), F.transform("put", lambda x: x["w"]).alias("put")), "put")
-    joined = rows.join(put, F.col("doc_id").eqNullSafe(F.col("p_id")) & (tag == F.col("p_tag")), "left")
+    # Only texts with an entity move; the others go straight through.
+    has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+    joined = rows.filter(has).join(put, F.col("doc_id").eqNullSafe(F.col("p_id")) & (tag == F.col("p_tag")), "left")
+    plain = rows.filter(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     pieces = F.split("text", f"(?:{PATTERN})", -1)
     whole = F.concat(F.array_join(F.zip_with(pieces, "put", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     text = F.when(F.col("put").isNull(), F.col("text")).otherwise(whole)
-    return joined.select("doc_id", text.alias("text"), F.when(F.col("put").isNull(), 0).otherwise(F.size("put")).cast("long").alias("n_entities"))
+    replaced = joined.select("doc_id", text.alias("text"), F.when(F.col("put").isNull(), 0).otherwise(F.size("put")).cast("long").alias("n_entities"))
+    return replaced.unionByName(plain)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
