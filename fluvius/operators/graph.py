@@ -20,6 +20,11 @@ class CycleError(ValueError):
     """A walk that does not end."""
 
 
+def _rounds(nodes: DataFrame) -> int:
+    """Doublings after which every path of so many nodes has ended."""
+    return nodes.count().bit_length() + 2
+
+
 def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callable[[Column, Column], Column]], until: Column | None = None) -> DataFrame:
     """id, hop and values folded along the path below each node.
 
@@ -33,14 +38,14 @@ def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callab
     known = at.select(F.col("id").alias("_id"))
     at = at.join(ends, F.col("hop") == F.col("_end"), "left").withColumn("_done", (F.col("hop") == 0) | F.col("_end").isNotNull()).drop("_end", "_stop")
     at = at.join(known, F.col("hop") == F.col("_id"), "left").withColumn("_done", F.col("_done") | F.col("_id").isNull()).drop("_id")
-    for _ in range(ROUNDS):
-        at = cut(at)
+    at = cut(at)
+    for _ in range(_rounds(at)):
         if at.filter(~F.col("_done")).isEmpty():
             return at.drop("_done")
         below = at.select(F.col("id").alias("_b"), F.col("hop").alias("_h"), F.col("_done").alias("_d"), *[F.col(k).alias(f"_{k}") for k in values])
         joined = at.join(below, ~F.col("_done") & (F.col("hop") == F.col("_b")), "left")
         folded = [F.when(F.col("_done"), F.col(k)).otherwise(combine[k](F.col(k), F.col(f"_{k}"))).alias(k) for k in values]
-        at = joined.select("id", F.when(F.col("_done"), F.col("hop")).otherwise(F.col("_h")).alias("hop"), (F.col("_done") | F.col("_d")).alias("_done"), *folded)
+        at = cut(joined.select("id", F.when(F.col("_done"), F.col("hop")).otherwise(F.col("_h")).alias("hop"), (F.col("_done") | F.col("_d")).alias("_done"), *folded))
     raise CycleError("some nodes never reach an end")
 
 
@@ -71,15 +76,14 @@ def subtree_sums(nodes: DataFrame, amount: str) -> DataFrame:
     After k rounds a node has the sum of those fewer than 2^k away; the sums of the nodes
     exactly 2^k above are then added, and pointers double.
     """
-    at = nodes.select("id", F.col("next").alias("hop"), F.col(amount).alias("total"))
-    for _ in range(ROUNDS):
-        at = cut(at)
+    at = cut(nodes.select("id", F.col("next").alias("hop"), F.col(amount).alias("total")))
+    for _ in range(_rounds(at)):
         if at.filter("hop <> 0").isEmpty():
             return at.select("id", "total")
         above = at.filter("hop <> 0").groupBy(F.col("hop").alias("_h")).agg(F.sum("total").alias("_s"))
         below = at.select(F.col("id").alias("_b"), F.col("hop").alias("_n"))
         at = at.join(above, F.col("id") == F.col("_h"), "left").join(below, F.col("hop") == F.col("_b"), "left")
-        at = at.select("id", F.coalesce("_n", F.lit(0).cast("long")).alias("hop"), (F.col("total") + F.coalesce("_s", F.lit(0))).alias("total"))
+        at = cut(at.select("id", F.coalesce("_n", F.lit(0).cast("long")).alias("hop"), (F.col("total") + F.coalesce("_s", F.lit(0))).alias("total")))
     raise CycleError("some nodes never reach an end")
 
 
