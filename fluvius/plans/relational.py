@@ -80,7 +80,7 @@ def largest_share_assign(spark, d):
     return largest_share(parts, "k", "owner", "q", 0.3)
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS taxed, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 4))) AS DOUBLE) AS price,
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, CAST(sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS BIGINT) AS taxed, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 4))) AS DOUBLE) AS price,
  min(l_quantity) AS least, max(l_quantity) AS most, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS weighted FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def filtered_aggs(spark, d):
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
@@ -139,8 +139,8 @@ def cond_pivot(spark, d):
     return out.toDF("l_suppkey", "a", "n", "r")
 
 
-@query("""SELECT * FROM (SELECT 'c_acctbal' AS column_name, count(*) AS n, count(DISTINCT c_acctbal) AS uniques, sum(CASE WHEN c_acctbal IS NULL THEN 1 ELSE 0 END) AS nulls, CAST(min(c_acctbal) AS DOUBLE) AS least, CAST(max(c_acctbal) AS DOUBLE) AS most FROM customer
- UNION ALL SELECT 'c_nationkey', count(*), count(DISTINCT c_nationkey), sum(CASE WHEN c_nationkey IS NULL THEN 1 ELSE 0 END), CAST(min(c_nationkey) AS DOUBLE), CAST(max(c_nationkey) AS DOUBLE) FROM customer)""")
+@query("""SELECT * FROM (SELECT 'c_acctbal' AS column_name, count(*) AS n, count(DISTINCT c_acctbal) AS uniques, CAST(sum(CASE WHEN c_acctbal IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(min(c_acctbal) AS DOUBLE) AS least, CAST(max(c_acctbal) AS DOUBLE) AS most FROM customer
+ UNION ALL SELECT 'c_nationkey', count(*), count(DISTINCT c_nationkey), CAST(sum(CASE WHEN c_nationkey IS NULL THEN 1 ELSE 0 END) AS BIGINT), CAST(min(c_nationkey) AS DOUBLE), CAST(max(c_nationkey) AS DOUBLE) FROM customer)""")
 def profile_table(spark, d):
     from ..operators.checks import profile
 

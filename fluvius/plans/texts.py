@@ -64,7 +64,7 @@ def json_contract(spark, d):
     return check_json(table(spark, d, "events"), "props", schema).select("event_id", F.col("parsed.k").alias("k"), "ok")
 
 
-@query("SELECT p_partkey, round(p_retailprice * 0.621371, 6) AS mi, round(p_size * 3.28084, 6) AS ft, CASE WHEN p_size IN (0, -999) THEN NULL ELSE p_size END AS year, floor(p_retailprice / 250) AS cell, ceil(p_size / 7.0) AS parts FROM part")
+@query("SELECT p_partkey, round(p_retailprice * 0.621371, 6) AS mi, round(CAST(p_size AS DOUBLE) * 3.28084, 6) AS ft, CASE WHEN p_size IN (0, -999) THEN NULL ELSE p_size END AS year, floor(p_retailprice / 250) AS cell, ceil(p_size / 7.0) AS parts FROM part")
 def unit_math(spark, d):
     from ..functions.numbers import convert, sentinel_null
 
