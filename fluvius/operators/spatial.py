@@ -101,29 +101,73 @@ def covered_interval(s: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray
     return np.where(lo <= hi, lo, np.nan), np.where(lo <= hi, hi, np.nan)
 
 
+def _pieces(size: float):
+    """Segments (id, seg, x0, y0, x1, y1) cut at the lines of a grid: the piece, its cell and its start along the segment."""
+
+    def work(batches):
+        for pdf in batches:
+            xy = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
+            rows, at = [], [[], []]
+            for n, ends in enumerate(xy):
+                cuts = [0.0, 1.0]
+                for k in (0, 1):
+                    p, q = sorted((ends[k], ends[k + 2]))
+                    if p < q:
+                        lines = np.arange(np.ceil(p / size), np.floor(q / size) + 1) * size
+                        cuts += [t for t in (lines - ends[k]) / (ends[k + 2] - ends[k]) if 0 < t < 1]
+                cuts.sort()
+                parts = [(t, u) for t, u in zip(cuts, cuts[1:]) if t < u]
+                rows += [n] * len(parts)
+                for k in (0, 1):
+                    at[k] += [x[k] for x in parts]
+            t, u, s = np.array(at[0], float), np.array(at[1], float), xy[rows]
+            out = pdf[["id", "seg"]].iloc[rows].reset_index(drop=True)
+            d = s[:, 2:] - s[:, :2]
+            a, b = s[:, :2] + t[:, None] * d, s[:, :2] + u[:, None] * d
+            cells = np.floor((a + b) / 2 / size).astype("int64")
+            yield out.assign(x0=a[:, 0], y0=a[:, 1], x1=b[:, 0], y1=b[:, 1], lo=t * np.hypot(d[:, 0], d[:, 1]), hi=u * np.hypot(d[:, 0], d[:, 1]), cx=cells[:, 0], cy=cells[:, 1])
+
+    return work
+
+
 def _covered(r: float):
     def work(batches):
         for pdf in batches:
             lo, hi = covered_interval(pdf[["x0", "y0", "x1", "y1"]].to_numpy(), pdf[["u0", "v0", "u1", "v1"]].to_numpy(), r)
-            out = pdf[["id", "seg"]].assign(lo=lo, hi=hi)
+            out = pdf[["id", "seg"]].assign(lo=pdf["lo"] + lo, hi=pdf["lo"] + hi)
             yield out[out["lo"] < out["hi"]]
 
     return work
 
 
 def line_coverage(lines: DataFrame, others: DataFrame, radius: float, size: float) -> DataFrame:
-    """Length of each line (id, seg, x0, y0, x1, y1) within ``radius`` of any segment of ``others`` (x0, y0, x1, y1): id, length, covered."""
+    """Length of each line (id, seg, x0, y0, x1, y1) within ``radius`` of any segment of ``others`` (id, seg, x0, y0, x1, y1) with another id: id, length, covered.
+
+    Segments are cut at cells so small (``size`` at most) that all of a cell is within the
+    radius of whatever touches it.  A piece whose cell holds another id is covered whole;
+    only the pieces alone in their cell are tested one by one with pieces around them.
+    """
     from .sequences import interval_union
 
+    side = min(size, radius / 1.5)
+    reach = int(np.ceil(radius / side))
+    kind = dict(lines.dtypes)
+    ends = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    known = "x0 + y0 + x1 + y1 is not null"
+    form = "x0 double, y0 double, x1 double, y1 double, lo double, hi double, cx long, cy long"
+    cut = lambda df: df.filter(known).select("id", "seg", *ends).mapInPandas(_pieces(side), f"id {kind['id']}, seg {kind['seg']}, {form}")
     length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
     s = lines.withColumn("len", length).filter("len > 0")
-    t = others.select(F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
-    box = lambda a, b, r: (F.least(a, b) - r, F.greatest(a, b) + r)
-    sc = s.select("*", _cells(*box(F.col("x0"), F.col("x1"), 0.0), size).alias("cx")).select("*", _cells(*box(F.col("y0"), F.col("y1"), 0.0), size).alias("cy"))
-    tc = t.select("*", _cells(*box(F.col("u0"), F.col("u1"), radius), size).alias("cx")).select("*", _cells(*box(F.col("v0"), F.col("v1"), radius), size).alias("cy"))
-    kind = dict(lines.dtypes)
-    near = sc.join(tc, ["cx", "cy"]).drop("cx", "cy").mapInPandas(_covered(radius), f"id {kind['id']}, seg {kind['seg']}, lo double, hi double")
-    merged = interval_union(near.withColumn("k", F.struct("id", "seg")), "k", "lo", "hi").groupBy(F.col("k.id").alias("c_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
+    held = cut(others)
+    cells = held.groupBy("cx", "cy").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    met = cut(s).join(cells, ["cx", "cy"], "left").withColumn("full", F.coalesce((F.col("first") != F.col("id")) | (F.col("last") != F.col("id")), F.lit(False)))
+    whole = met.filter("full").select("id", "seg", "lo", "hi")
+    shift = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
+    around = met.filter("not full").select("id", "seg", "x0", "y0", "x1", "y1", "lo", "cx", "cy")
+    around = around.withColumn("dx", F.explode(shift)).withColumn("dy", F.explode(shift)).withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
+    t = held.select(F.col("id").alias("t_id"), F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), "cx", "cy")
+    near = around.join(t, ["cx", "cy"]).filter(F.col("id") != F.col("t_id")).drop("cx", "cy", "t_id").mapInPandas(_covered(radius), f"id {kind['id']}, seg {kind['seg']}, lo double, hi double")
+    merged = interval_union(whole.unionByName(near).withColumn("k", F.struct("id", "seg")), "k", "lo", "hi").groupBy(F.col("k.id").alias("c_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
     total = s.groupBy("id").agg(F.sum("len").alias("length"))
     return total.join(merged, F.col("id") == F.col("c_id"), "left").select("id", "length", F.coalesce("covered", F.lit(0.0)).alias("covered"))
 

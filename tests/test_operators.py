@@ -118,6 +118,27 @@ def test_coverage_interval_matches_sampling():
         assert (0 if np.isnan(lo[k]) else hi[k] - lo[k]) == pytest.approx(want, abs=2e-3)
 
 
+def test_line_coverage_meets_all_segments(spark):
+    from fluvius.plans.spatial import line_coverage
+
+    got = {r.id: (r.length, r.covered) for r in line_coverage(spark, "/root/testdata/sf0.001").collect()}
+    e = {r.vec_id: r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    seg = np.array([(*e[i][:2], *e[i + 1][:2]) for i in sorted(e) if i + 1 in e], float)
+    ids = [i for i in sorted(e) if i + 1 in e]
+    assert sorted(got) == ids
+    for k in range(0, len(ids), 7):
+        rest = np.delete(seg, k, 0)
+        lo, hi = spatial.covered_interval(np.repeat(seg[k : k + 1], len(rest), 0), rest, 0.05)
+        covered, end = 0.0, 0.0
+        for p, q in sorted((p, q) for p, q in zip(lo, hi) if p < q):
+            covered, end = covered + max(q - max(p, end), 0.0), max(end, q)
+        assert got[ids[k]] == pytest.approx((np.hypot(*(seg[k, 2:] - seg[k, :2])), covered), abs=1e-8)
+    rows = [(1, 0, 0.0, 0.0, 4.0, 0.0), (1, 1, 0.0, 0.01, 4.0, 0.01), (2, 0, 1.0, 0.5, 1.0, 0.5), (3, 0, 9.0, 9.0, 9.5, 9.5)]
+    d = spark.createDataFrame(rows, "id long, seg int, x0 double, y0 double, x1 double, y1 double")
+    few = {r.id: r.covered for r in spatial.line_coverage(d, d, 1.0, 10.0).collect()}
+    assert few == pytest.approx({1: 2 * 0.75**0.5 + 2 * (1 - 0.49**2) ** 0.5, 3: 0.0})
+
+
 def test_raster_zones_and_holes(spark):
     ring = [(r, c) for r in range(1, 4) for c in range(1, 4) if (r, c) != (2, 2)] + [(6, 6)]
     p = spark.createDataFrame(ring, "row long, col long")
