@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line (held by at most RARE documents) or, where
-lines are frequent, two lines in a row, the text's ends counting as lines.  A document is
+Documents overlap if they share a rare line (held by at most RARE documents), a line that
+is a block by itself, or, where lines are frequent and short, two lines in a row, the
+text's ends counting as lines.  A document is
 aligned with the first holder of each thing that it shares, so pairs stay in proportion to
 lines however large a group of copies is.  The alignment is a patience diff over line
 hashes; its common blocks of at least MIN_CHARS characters are deleted from the later
@@ -129,12 +130,13 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = scratch.cut(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_lines, "doc_id long, h array<long>, size array<int>, pairs array<long>"), "lines")
-    one = lines.select("doc_id", F.explode(F.array_distinct("h")).alias("key")).filter(F.col("key") != 0).select("doc_id", "key", F.lit(1).alias("kind"))
-    two = lines.select("doc_id", F.explode("pairs").alias("key"), F.lit(2).alias("kind"))
+    one = lines.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("h", "size"))).alias("z")).filter(F.col("z.h") != 0)
+    one = one.select("doc_id", F.col("z.h").alias("key"), F.lit(1).alias("kind"), (F.col("z.size") >= min_chars).alias("long"))
+    two = lines.select("doc_id", F.explode("pairs").alias("key"), F.lit(2).alias("kind"), F.lit(True).alias("long"))
     keys = one.unionByName(two)
-    held = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n"))
-    held = held.filter((F.col("n") > 1) & ((F.col("kind") == 2) | (F.col("n") <= rare))).select("kind", "key", "early")
-    pairs = keys.join(held, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("early", F.col("doc_id").alias("late")).distinct()
+    held = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
+    held = held.filter((F.col("n") > 1) & (F.col("long") | (F.col("n") <= rare))).select("kind", "key", "early")
+    pairs = keys.drop("long").join(held, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("early", F.col("doc_id").alias("late")).distinct()
     pairs = scratch.cut(pairs, "pairs")
     load = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
     heads = load.join(lines, F.col("early") == F.col("doc_id")).select("early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("early_h"))

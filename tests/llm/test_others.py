@@ -80,6 +80,14 @@ def test_frequent_lines_alone_do_not_pair(spark):
     assert L.line_dedup(copies, rare=3).filter("n_removed = 2").count() == 29
 
 
+def test_long_frequent_lines_are_deleted_between_differing_neighbours(spark):
+    line = "this sentence is a licence line that all the documents hold"
+    d = spark.createDataFrame([(k, f"own start {k}\n{line}\nown end {k}") for k in range(60)], "doc_id long, text string")
+    for rare in (3, L.RARE):
+        rows = {r.doc_id: r for r in L.line_dedup(d, rare=rare).collect()}
+        assert rows[0].n_removed == 0 and all(rows[k].kept == f"own start {k}\nown end {k}" for k in range(1, 60))
+
+
 PII = [
     (1, "Mail Ana.Diaz@corp.example.org or ana.diaz@corp.example.org, call +1 (017) 555-7713 or +1 017 555 7713."),
     (2, "Frau Schmidt met Mr Jones and Mr. Jones; Госпожа Петрова was there. Card 4111 1111 1111 1111, 4111111111111111."),
