@@ -3,8 +3,9 @@
 Documents overlap if they share a rare line (held by at most RARE documents), a line that
 is a block by itself, or, where lines are frequent and short, two lines in a row, the
 text's ends counting as lines.  A document is
-aligned with the first holder of each thing that it shares, so pairs stay in proportion to
-lines however large a group of copies is.  The alignment is a patience diff over line
+aligned with the first holder of each thing that it shares, and where this leaves shared
+lines in it, with all earlier holders of its rare things (RARE at most for each), so pairs
+stay in proportion to lines however large a group of copies is.  The alignment is a patience diff over line
 hashes; its common blocks of at least MIN_CHARS characters are deleted from the later
 document, that is the one with the larger doc_id.  Everything is judged on the input.
 """
@@ -33,6 +34,10 @@ def line_hash(line: str) -> int:
     return (xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) | 1) - (1 << 63) if s else 0
 
 
+def _pair(a: int, b: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{a},{b}".encode()) - (1 << 63)
+
+
 def _lines(batches):
     for batch in batches:
         hashes, sizes, pairs = [], [], []
@@ -42,7 +47,7 @@ def _lines(batches):
             full = [x for x in h if x]
             hashes.append(h)
             sizes.append([len(x.strip()) for x in lines])
-            pairs.append(sorted({xxhash.xxh3_64_intdigest(f"{a},{b}".encode()) - (1 << 63) for a, b in zip([1, *full], [*full, 2])}) if full else [])
+            pairs.append(sorted({_pair(a, b) for a, b in zip([1, *full], [*full, 2])}) if full else [])
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, longs), pa.array(sizes, pa.list_(pa.int32())), pa.array(pairs, longs)], ["doc_id", "h", "size", "pairs"])
 
@@ -107,6 +112,25 @@ def _align(min_chars: int):
     return work
 
 
+def _open(min_chars: int):
+    """Keys by which a document may lose more: long lines, and pairs of lines, that are not deleted in full."""
+
+    def work(batches):
+        for batch in batches:
+            docs, kinds, keys = [], [], []
+            for doc, h, size, gone in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                drop = set(gone or ())
+                full = [(x, k not in drop) for k, x in enumerate(h) if x]
+                found = {(1, x) for k, x in enumerate(h) if x and k not in drop and size[k] >= min_chars}
+                found |= {(2, _pair(a, b)) for (a, p), (b, q) in zip(full, full[1:]) if p or q}
+                docs += [doc] * len(found)
+                kinds += [k for k, _ in found]
+                keys += [x for _, x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "kind", "key"])
+
+    return work
+
+
 def _delete(batches):
     for batch in batches:
         texts, n, removed = [], [], []
@@ -119,6 +143,15 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept"])
 
 
+def _aligned(pairs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+    """late, gone: positions in ``late`` of blocks common with any ``early`` of its pairs."""
+    load = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    heads = load.join(lines, F.col("early") == F.col("doc_id")).select("early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("early_h"))
+    tails = pairs.join(load, "early").join(lines, F.col("late") == F.col("doc_id")).select("early", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int").alias("part"), "late", "h", "size")
+    aligned = tails.join(heads, ["early", "part"]).select("late", "early_h", "h", "size").mapInArrow(_align(min_chars), "late long, gone array<int>")
+    return aligned.groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
 def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text left) for every row.
 
@@ -135,15 +168,23 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id
     two = lines.select("doc_id", F.explode("pairs").alias("key"), F.lit(2).alias("kind"), F.lit(True).alias("long"))
     keys = one.unionByName(two)
     held = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
-    held = held.filter((F.col("n") > 1) & (F.col("long") | (F.col("n") <= rare))).select("kind", "key", "early")
-    pairs = keys.drop("long").join(held, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("early", F.col("doc_id").alias("late")).distinct()
+    held = scratch.cut(held.filter("n > 1"), "held")
+    firsts = held.filter(F.col("long") | (F.col("n") <= rare)).select("kind", "key", "early")
+    pairs = keys.drop("long").join(firsts, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("early", F.col("doc_id").alias("late")).distinct()
     pairs = scratch.cut(pairs, "pairs")
-    load = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    heads = load.join(lines, F.col("early") == F.col("doc_id")).select("early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("early_h"))
-    tails = pairs.join(load, "early").join(lines, F.col("late") == F.col("doc_id")).select("early", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int").alias("part"), "late", "h", "size")
-    aligned = tails.join(heads, ["early", "part"]).select("late", "early_h", "h", "size").mapInArrow(_align(min_chars), "late long, gone array<int>")
-    gone = aligned.groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = scratch.cut(gone, "gone")
+    gone = scratch.cut(_aligned(pairs, lines, min_chars), "gone")
+    # A document loses more to another holder only by a key that is still open.  Pairs come by that key, or by any rare one where it is frequent.
+    left = lines.join(gone, F.col("doc_id") == F.col("late"), "left").select("doc_id", "h", "size", "gone").mapInArrow(_open(min_chars), "doc_id long, kind int, key long")
+    left = left.join(held, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("doc_id", "kind", "key", (F.col("n") <= rare).alias("rare"))
+    left = scratch.cut(left, "open")
+    few = scratch.cut(keys.drop("long").join(held.filter(F.col("n") <= rare).select("kind", "key"), ["kind", "key"]).select("doc_id", "kind", "key"), "few")
+    often = few.join(left.filter("not rare").select("doc_id").distinct(), "doc_id")
+    asked = left.filter("rare").select("doc_id", "kind", "key").unionByName(often.select("doc_id", "kind", "key")).distinct()
+    more = asked.withColumnRenamed("doc_id", "late").join(few.withColumnRenamed("doc_id", "early"), ["kind", "key"])
+    more = more.filter(F.col("early") < F.col("late")).select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti")
+    more = _aligned(scratch.cut(more, "more"), lines, min_chars)
+    gone = gone.unionByName(more).groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = scratch.cut(gone, "all-gone")
     out = rows.join(gone, F.col("doc_id") == F.col("late"), "left").select("doc_id", "text", "gone")
     return out.mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept string")
 

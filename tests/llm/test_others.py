@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -88,6 +89,37 @@ def test_long_frequent_lines_are_deleted_between_differing_neighbours(spark):
         assert rows[0].n_removed == 0 and all(rows[k].kept == f"own start {k}\nown end {k}" for k in range(1, 60))
 
 
+def all_pairs(rows, rare):
+    """Positions deleted where every pair that shares a rare line is aligned."""
+    h = {k: [L.line_hash(x) for x in t.split("\n")] for k, t in rows}
+    size = {k: [len(x.strip()) for x in t.split("\n")] for k, t in rows}
+    n = Counter(x for v in h.values() for x in set(v) if x)
+    out = {k: set() for k in h}
+    for e in h:
+        for k in h:
+            if e < k and any(n[x] <= rare for x in set(h[e]) & set(h[k]) if x):
+                out[k] |= set(L.common_blocks(h[e], h[k], size[k], L.MIN_CHARS))
+    return out
+
+
+def test_later_holders_are_aligned_too(spark):
+    x, y = "the first line that is shared, long enough", "the second line that is shared, long enough"
+    order = [(1, f"{x}\nA\n{y}"), (2, f"{y}\nB\n{x}"), (3, f"{y}\nC\n{x}")]
+    s = [f"short part no {k}" for k in range(3)]
+    short = [(11, f"{s[0]}\n{s[1]}\nD"), (12, f"{s[1]}\n{s[2]}\nE"), (13, f"F\n{s[0]}\n{s[1]}\n{s[2]}"), (14, f"{s[0]}\n{s[1]}\n{s[2]}\nG")]
+    r = random.Random(3)
+    mixed = [(k, "\n".join(f"line {w} " + "abcdefgh" * (w % 5) for w in r.choices(range(40), k=r.randint(2, 9)))) for k in range(20, 80)]
+    for rows, rare in ((order, 50), (short, 50), (mixed, 8), (mixed, 50)):
+        got = {v.doc_id: (v.n_removed, v.kept) for v in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+        for k, gone in all_pairs(rows, rare).items():
+            lines = dict(rows)[k].split("\n")
+            want = "\n".join(v for i, v in enumerate(lines) if i not in gone)
+            if rare == 50:
+                assert got[k] == (len(gone), want)
+            else:
+                assert got[k][0] >= len(gone)
+
+
 PII = [
     (1, "Mail Ana.Diaz@corp.example.org or ana.diaz@corp.example.org, call +1 (017) 555-7713 or +1 017 555 7713."),
     (2, "Frau Schmidt met Mr Jones and Mr. Jones; Госпожа Петрова was there. Card 4111 1111 1111 1111, 4111111111111111."),
