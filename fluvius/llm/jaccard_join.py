@@ -1,16 +1,22 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its five-word shingles as 64-bit hashes, in one global order:
-rare first, by a fixed-size count sketch over all documents, then by hash.  With a
-least overlap of t = ceil(0.75 n), two similar documents share at least L shingles of
-their first n - t + L.  Each document takes the L that its estimated candidate cost
-asks for, and a pair must share min(L, L') shingles within the prefixes of that length.
-
-Documents of equal sets are one class.  In long posting lists members are first
-compared with one pivot, round by round, and what joins a component is not paired
-again; then all pairs that still cross components, in every list, face the count and
-are verified on whole sets.  Before that, shingles that one open document alone holds are
-taken off the overlap that it can reach.  No link between components can be missed by this.
+A document is the set of its five-word shingles as 64-bit hashes.  Documents of equal sets
+are one class, known by the set's 128-bit digest, so repeated and null identifiers play no
+part until the end.  With a least overlap of t = ceil(0.75 n), two similar documents share
+at least L shingles of their first n - t + L in any common order, for every L up to t.
+
+First prefixes: rare shingles first, by a fixed-size count sketch, then by hash, with one L
+for all.  Only prefixes are posted; a class that meets too few others there has no partner.
+Of the classes left, the open ones, all shingles are counted exactly among one another.
+One that a single open class holds is in no overlap: it is taken off, and classes with less
+than 0.75 n left go.
+
+Second prefixes: by exact count, then hash.  Each class takes the L that its candidate cost
+(the lists it reads, and the verifications that remain when L must be shared) asks for.  In
+lists over STAR members a pivot is compared with all members first, round by round, and
+what joins a component is not paired again.  The pairs that still cross components must
+share min(L, L') shingles, each early enough in both orders for the overlap that the
+pair's own sizes need, before whole sets are verified.
 """
 
 from __future__ import annotations
@@ -30,19 +36,17 @@ from .graph import components
 WORDS = 5
 SKETCH_BITS = 22
 CHUNK_BITS = 16
-#: L lies between these two, as far as the set's size allows.
-LEAST_SHARED = 6
-MOST_SHARED = 10
-#: Least L of what is in the sample only.
-BEYOND = 15
+#: Sketches added up in one group.
+FAN_IN = 64
+#: L of the first prefixes, as far as the set's size allows.
+FIRST_SHARED = 16
+#: Most L of the second ones.
+MOST_SHARED = 40
 #: Cost of a verification against that of reading a posting.
 VERIFY_COST = 16.0
 #: Lists longer than this meet a pivot first.
 STAR = 24
 ROUNDS = 3
-#: Ordinary shingles with hashes under this share of the range are all posted: one that then
-#: stands alone is in no other document.
-SAMPLED = 0.5
 #: Postings of one shingle in one partition; lists estimated longer are salted.
 HOT_LIST = 200_000
 #: Pairs of one document verified beside one copy of its set.
@@ -79,45 +83,61 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for the empty one."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def short(key: bytes) -> int:
+    """The first 64 bits of a digest: enough to tell which classes meet others, where two that fall together do no harm."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def row_name(doc_id, text):
+    return F.xxhash64(doc_id, text)
+
+
 def _first_pass(batches):
-    """Per document its set's size and key; per task the chunks of its count sketch."""
+    """Per row its set's size and digest; per task the chunks of its count sketch."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     shift = np.uint64(64 - SKETCH_BITS)
+    names = ["rid", "doc_id", "n", "key", "cls", "chunk", "salt", "blob"]
     for batch in batches:
         n, keys = [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             s = shingles(text)
             n.append(len(s))
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            keys.append(digest(s))
             if len(s):
                 np.add.at(counts, (s >> shift).astype(np.int64), 1)
         m = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "key", "chunk", "salt", "blob"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short(k) for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     size = 1 << CHUNK_BITS
     blobs = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(1 << (SKETCH_BITS - CHUNK_BITS)) if counts[c * size : (c + 1) * size].any()]
     m = len(blobs)
-    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([c for c, _ in blobs], pa.int32()), pa.array([task // 64] * m, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], ["doc_id", "n", "key", "chunk", "salt", "blob"])
+    none = pa.nulls(m, pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(m, pa.binary()), none, pa.array([c for c, _ in blobs], pa.int32()), pa.array([task] * m, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
 
 
 def _add_sketches(key, rows):
-    """Sum of a chunk's counts, taken batch by batch."""
+    """Sum of a chunk's counts, FAN_IN blobs at most."""
     total = np.zeros(1 << CHUNK_BITS, np.uint64)
     for b in rows.column("blob").to_pylist():
-        part = np.frombuffer(zlib.decompress(b), np.uint32)
-        total += part
+        total += np.frombuffer(zlib.decompress(b), np.uint32)
     out = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "blob": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "blob": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
     """The sketch of all documents as a level for each bucket: 0 for ordinary, else 1 + log2 of the excess count."""
-    form = "chunk int, salt int, blob binary"
     parts = rows.filter(F.col("chunk").isNotNull()).select("chunk", "salt", "blob")
-    for by in (("chunk", "salt"), ("chunk",)):
-        parts = parts.groupBy(*by).applyInArrow(_add_sketches, form)
+    tasks = (parts.agg(F.max("salt")).head()[0] or 0) + 1
+    while tasks > 1:
+        parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("chunk", "salt").applyInArrow(_add_sketches, "chunk int, salt int, blob binary")
+        tasks = -(-tasks // FAN_IN)
     counts = np.zeros(1 << SKETCH_BITS, np.float64)
     size = 1 << CHUNK_BITS
     for r in parts.toLocalIterator():  # a fixed size, whatever the input: the sketch
@@ -128,80 +148,92 @@ def _levels(rows: DataFrame) -> np.ndarray:
     return np.where(heavy, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, levels: np.ndarray):
-    """Ordered shingles of the document's prefix and sample, the level and least L of each, its L, and the size of the sample.
-
-    Ordinary shingles are ordered by hash, so the sample is the order's beginning.
-    """
+def first_prefix(s: np.ndarray, levels: np.ndarray):
+    """Ordered shingles of the first prefix and their levels, how many of these count at the L that every partner has, and that L."""
     n = len(s)
     lv = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    full = np.lexsort((s, lv))
     least = (3 * n + 3) // 4
-    top = min(MOST_SHARED, least)
-    base = n - least + 1
-    order = full[: base + top - 1]
-    est = np.where(lv[order] > 0, np.exp2(lv[order].astype(np.float64)), 0.25)
-    read = np.cumsum(est)[base - 1 :]
-    ell = np.arange(1, top + 1)
-    low = min(LEAST_SHARED, top) - 1
-    best = low + int((read * (1 + VERIFY_COST / ell))[low:].argmin())
-    end = base + best
-    sampled = int(((lv == 0) & (s < np.uint64(int(SAMPLED * 2.0**64)))).sum())
-    order = full[: max(end, sampled)]
-    first = np.maximum(1, np.arange(len(order)) - base + 2)
-    first[end:] = BEYOND
-    return s[order], lv[order], first, best + 1, sampled
-
-
-def _postings(levels_b, hot: int):
-    def work(batches):
-        levels = levels_b.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            token, doc, meta, salt = [], [], [], []
-            held = 0
+    base = n - least
+    order = np.lexsort((s, lv))[: base + min(FIRST_SHARED, least)]
+    low = min(FIRST_SHARED, -(-9 * n // 16))
+    return s[order], lv[order], base + low, low
+
+
+def _salts(doc: int, lv: np.ndarray, hot: int) -> np.ndarray:
+    """Lists that the sketch holds for longer than ``hot`` are dealt out in parts from 1; others are part 0."""
+    parts = np.where(lv > 0, np.exp2(lv.astype(np.float64)) // hot + 1, 1).astype(np.int64)
+    return np.where(parts > 1, 1 + ((doc * 2654435761) & 0x7FFFFFFF) % parts, 0).astype(np.int32)
 
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, doc, meta, salt)], ["token", "doc", "meta", "salt"])
 
-            for i, text in zip(ids, batch.column(1).to_pylist()):
+def _first_postings(levels_b, hot: int):
+    """token, cls, salt, need: a class once a task as far as 100,000 are remembered; need is L, 0 where the shingle does not count at it."""
+
+    def work(batches):
+        levels, done = levels_b.value, set()
+        for batch in batches:
+            cols, held = ([], [], [], []), 0
+            for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 if not len(s):
                     continue
-                t, lv, first, ell, sampled = prefix(s, levels)
-                parts = np.where(lv > 0, np.exp2(lv.astype(np.float64)) // hot + 1, 1).astype(np.int64)
-                token.append(t.view(np.int64))
-                doc.append(np.full(len(t), i, np.int64))
-                meta.append((len(s) << 36) + (sampled << 9) + (ell << 5) + (first.astype(np.int64) << 1) + (np.arange(len(t)) < sampled))
-                salt.append(np.where(parts > 1, 1 + ((i * 2654435761) & 0x7FFFFFFF) % parts, 0))
+                cls = short(digest(s))
+                if cls in done:
+                    continue
+                if len(done) >= 100_000:
+                    done.clear()
+                done.add(cls)
+                t, lv, count, low = first_prefix(s, levels)
+                for col, v in zip(cols, (t.view(np.int64), np.full(len(t), cls, np.int64), _salts(cls, lv, hot), np.where(np.arange(len(t)) < count, low, 0).astype(np.int32))):
+                    col.append(v)
                 held += len(t)
                 if held >= 200_000:
-                    yield out()
-                    token, doc, meta, salt, held = [], [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["token", "cls", "salt", "need"])
+                    cols, held = ([], [], [], []), 0
             if held:
-                yield out()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["token", "cls", "salt", "need"])
 
     return work
 
 
-def _tokens(batches):
-    for batch in batches:
-        token, doc, held = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            s = shingles(text)
-            token.append(s.view(np.int64))
-            doc.append(np.full(len(s), i, np.int64))
-            held += len(s)
-            if held >= 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(doc))], ["token", "doc"])
-                token, doc, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(doc))], ["token", "doc"])
+def _all_tokens(levels_b, hot: int):
+    """Texts of open classes -> token, doc, n, est (what the sketch holds the list for), salt; other texts of one identifier are passed over."""
+
+    def work(batches):
+        levels, done = levels_b.value, set()
+        for batch in batches:
+            cols, held = ([], [], [], [], []), 0
+            for text, key, doc in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                s = shingles(text)
+                if doc in done or digest(s) != key:
+                    continue
+                if len(done) >= 100_000:
+                    done.clear()
+                done.add(doc)
+                n, lv = len(s), levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                for a in range(0, n, 200_000):
+                    t, v = s[a : a + 200_000], lv[a : a + 200_000]
+                    for col, x in zip(cols, (t.view(np.int64), np.full(len(t), doc, np.int64), np.full(len(t), n, np.int32), np.exp2(v.astype(np.float64)).astype(np.int64), _salts(doc, v, hot))):
+                        col.append(x)
+                    held += len(t)
+                    if held >= 200_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["token", "doc", "n", "est", "salt"])
+                        cols, held = ([], [], [], [], []), 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["token", "doc", "n", "est", "salt"])
+
+    return work
 
 
 def _sets(batches):
+    """Texts -> the sets of the classes asked for; other texts of one identifier are passed over."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "s"])
+        docs, sets = [], []
+        for text, key, doc in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            s = shingles(text)
+            if digest(s) == key:
+                docs.append(doc)
+                sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "s"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -232,21 +264,32 @@ class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, hot_list: int, star: int):
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "jaccard")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        text, doc = F.col(text_col), F.col(id_col).cast("long")
+        self.docs = docs.select(row_name(doc, text).alias("rid"), doc.alias("doc_id"), text.alias("text"))
         self.hot_list, self.star = hot_list, star
 
+    def texts_of(self, classes: DataFrame) -> DataFrame:
+        """text, key, doc of the rows named by ``classes`` (rid, key, doc).
+
+        Only these texts move: Spark builds a Bloom filter of the names while that fits.
+        """
+        asked = classes.select(F.col("rid").alias("c_rid"), "key", "doc", F.lit(1).alias("one")).filter(F.col("one") == 1)
+        return self.docs.join(asked, F.col("rid") == F.col("c_rid")).select("text", "key", "doc")
+
+    def few(self):
+        return settings(self.spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m")
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (x, y) whose whole sets are similar, as links (a, b)."""
         cut = self.scratch.cut
         pairs = cut(pairs, f"{name}-pairs")
-        nodes = cut(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).groupBy("node").agg(F.lit(1).alias("one")), f"{name}-nodes")
-        # Only texts that are in some pair move: Spark builds a Bloom filter of them while that fits.
-        with settings(self.spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m"):
-            texts = self.docs.join(nodes.filter(F.col("one") == 1), F.col("doc_id") == F.col("node")).select("doc_id", "text")
-            sets = cut(texts.mapInArrow(_sets, "doc_id long, s binary"), f"{name}-sets")
-        load = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS_PER_COPY).cast("int")).drop("n")
-        heads = load.join(sets, F.col("x") == F.col("doc_id")).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), "s")
-        tails = pairs.join(load, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y").join(sets, F.col("y") == F.col("doc_id")).select("x", "part", "y", "s")
+        nodes = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
+        nodes = cut(self.open.join(nodes, "doc", "left_semi").select("rid", "key", "doc", F.lit(1).alias("asked")), f"{name}-nodes")
+        with self.few():
+            sets = cut(self.texts_of(nodes.filter(F.col("asked") == 1)).mapInArrow(_sets, "doc long, s binary"), f"{name}-sets")
+        load = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("parts"))
+        heads = load.join(sets, F.col("x") == F.col("doc")).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), "s")
+        tails = pairs.join(load, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y").join(sets, F.col("y") == F.col("doc")).select("x", "part", "y", "s")
         rows = heads.unionByName(tails).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
         links = cut(rows.mapInArrow(_verify, "a long, b long"), f"{name}-links")
         self.scratch.drop(f"{name}-sets", f"{name}-nodes", f"{name}-pairs")
@@ -258,64 +301,63 @@ class _Join:
             return rows.withColumn("label", F.col("doc"))
         return rows.join(labels, F.col("doc") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "doc").alias("label"))
 
-    def still_open(self, rest: DataFrame, name: str) -> DataFrame:
-        """``rest`` without lists inside one component, and without documents in too few lists for any partner."""
-        for k in range(3):
-            mixed = rest.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1")).select("token")
-            rest = self.scratch.cut(rest.join(mixed, "token", "left_semi"), f"{name}-mixed-{k}")
-            few = rest.groupBy("doc").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).filter(F.col("c") >= F.least(F.lit(LEAST_SHARED), F.ceil(F.col("n") * 0.5625))).select("doc")
-            rest = self.scratch.cut(rest.join(few, "doc", "left_semi"), f"{name}-rest-{k}")
-            self.scratch.drop(f"{name}-mixed-{k}", f"{name}-rest-{k - 1}")
-        return rest
-
-    def usable(self, rest: DataFrame) -> DataFrame:
-        """``rest`` with v, the shingles that a document shares with any other one still open.
-
-        Links still wanted are between documents of ``rest``; a shingle that one of them
-        alone holds is in no overlap.  Documents with v under 0.75 n are settled and go, and
-        v bounds the overlap of the pairs of the others: a group of copies that each differ
-        too much from the rest is not paired.
-        """
-        cut = self.scratch.cut
-        nodes = cut(rest.groupBy(F.col("doc").alias("node")).agg(F.lit(1).alias("one")), "open")
-        with settings(self.spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m"):
-            texts = self.docs.join(nodes.filter(F.col("one") == 1), F.col("doc_id") == F.col("node")).select("doc_id", "text")
-            held = texts.mapInArrow(_tokens, "token long, doc long")
-            sole = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("doc")).filter(F.col("c") == 1)
-            sole = cut(sole.groupBy(F.col("doc").alias("s_doc")).agg(F.count(F.lit(1)).alias("u")), "sole")
-        out = rest.join(sole, F.col("doc") == F.col("s_doc"), "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("s_doc", "u")
-        return cut(out.filter(4 * F.col("v") >= 3 * F.col("n")), "usable")
+    def counted(self, held: DataFrame) -> DataFrame:
+        """Shingles that two open classes hold, with c, the length of the list, and v, how many of them the class has; classes with v under 0.75 n go.
 
-    def run(self) -> DataFrame:
-        cut = self.scratch.cut
-        first = cut(self.docs.mapInArrow(_first_pass, "doc_id long, n long, key binary, chunk int, salt int, blob binary"), "first")
-        rows = first.filter(F.col("n").isNotNull()).select("doc_id", "n", "key")
-        classes = cut(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-        levels = self.spark.sparkContext.broadcast(_levels(first))
-        reps = classes.filter(F.col("rep").isNotNull())
-        texts = self.docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi")
-        postings = texts.mapInArrow(_postings(levels, self.hot_list), "token long, doc long, meta long, salt long")
-        by = Window.partitionBy("token", "salt")
-        size = F.count(F.lit(1)).over(by)
-        shared = postings.withColumn("c", size).filter((F.col("c") > 1) | (F.col("salt") > 0))
-        part = lambda by, mask: F.shiftright("meta", by).bitwiseAND(F.lit(mask))
-        shared = cut(shared.select("token", "doc", part(36, 0x7FFFFFF).alias("n"), part(9, 0x7FFFFFF).alias("s"), part(5, 15).alias("ell"), part(1, 15).alias("at"), part(0, 1).alias("in_sample")), "shared")
-        # Sampled shingles that no other document holds are in no overlap; 0.75 n must be left.
-        hold = shared.groupBy("doc").agg(F.sum("in_sample").alias("c"), F.min("n").alias("n"), F.max("s").alias("s"))
-        hold = hold.filter(4 * (F.col("n") - F.col("s") + F.col("c")) >= 3 * F.col("n")).select("doc")
-        rest = shared.filter(F.col("at") <= F.col("ell")).join(hold, "doc", "left_semi").select("token", "doc", "n", "ell", "at").withColumn("label", F.col("doc"))
-        rest = self.usable(self.still_open(rest, "first"))
+        Lists in parts have c from the sketch, the same for all that hold the shingle.
+        """
+        length = F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))
+        rows = held.withColumn("c", F.when(F.col("salt") > 0, F.col("est")).otherwise(length)).filter((F.col("c") > 1) | (F.col("salt") > 0))
+        return rows.withColumn("v", F.count(F.lit(1)).over(Window.partitionBy("doc"))).filter(4 * F.col("v") >= 3 * F.col("n"))
+
+    def second_prefixes(self, held: DataFrame) -> DataFrame:
+        """token, doc, n, v, pos, ell: the adaptive prefixes, by (c, token)."""
+        order = Window.partitionBy("doc").orderBy("c", "token")
+        rows = held.withColumn("pos", F.row_number().over(order)).withColumn("read", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        least = F.ceil(0.75 * F.col("n")).cast("int")
+        rows = rows.withColumn("ell", F.col("pos") - F.col("v") + least)
+        cost = F.when(F.col("ell").between(1, F.least(F.lit(MOST_SHARED), least)), F.struct((F.col("read") * (1 + VERIFY_COST / F.col("ell"))).alias("cost"), "ell"))
+        rows = rows.withColumn("best", F.min(cost).over(Window.partitionBy("doc"))["ell"])
+        return rows.filter(F.col("ell") <= F.col("best")).select("token", "doc", "n", "v", "pos", F.col("best").alias("ell"))
+
+    def crossing(self, rest: DataFrame) -> DataFrame:
+        """Pairs (x, y) of different labels that share min(L, L') shingles within the prefixes that their sizes ask for.
+
+        In each list, members of its largest label meet only the others.
+        """
+        labels = rest.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+        major = labels.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "major")
+        rest = self.scratch.cut(rest.join(major, "token"), "mixed")
+        other = rest.drop("major").select("token", *[F.col(c).alias(f"{c}2") for c in rest.columns if c not in ("token", "major")])
+        m = F.least("ell", "ell2")
+        need = F.ceil((F.col("n") + F.col("n2")) * 3 / 7 - F.lit(1e-9)).cast("int")
+        apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("major")) | (F.col("doc") < F.col("doc2")))
+        early = (F.col("pos") - F.col("v") + need <= m) & (F.col("pos2") - F.col("v2") + need <= m)
+        sizes = 4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")
+        met = rest.filter(F.col("label") != F.col("major")).join(other, "token").filter(apart & sizes & early & (F.least("v", "v2") >= need))
+        met = met.groupBy(F.least("doc", "doc2").alias("x"), F.greatest("doc", "doc2").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(m).alias("m"))
+        return met.filter(F.col("c") >= F.col("m")).select("x", "y")
+
+    def links(self) -> DataFrame | None:
+        """Links between open classes that join all that is similar, directly or by others."""
+        cut, drop = self.scratch.cut, self.scratch.drop
         links = labels = tried = None
+        with self.few():
+            held = self.texts_of(self.open).mapInArrow(_all_tokens(self.sketch, self.hot_list), "token long, doc long, n int, est long, salt int")
+            once = cut(self.counted(held).select(*held.columns), "held")
+        rest = cut(self.second_prefixes(self.counted(once)), "prefixes")
+        drop("held")
         long_lists = rest.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > self.star).select("token")
         stars = cut(rest.join(long_lists, "token", "left_semi").select("token", "doc", "n", "v"), "stars")
         for k in range(ROUNDS if not stars.isEmpty() else 0):
             rows_k = self.labelled(stars, labels)
             # A pivot holds few shingles of its own, so that most of what it can join is near it.
-            pivot = F.min(F.struct((F.col("n") - F.col("v")).alias("own"), "doc", "label", "n")).alias("p")
+            pivot = F.min(F.struct((F.col("n") - F.col("v")).alias("own"), "doc", "label", "n", "v")).alias("p")
             low = rows_k.groupBy("token").agg(pivot, F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("l0") != F.col("l1"))
             if labels is not None:  # the next pivot: the best member outside the first one's component
                 low = rows_k.join(low, "token").filter(F.col("label") != F.col("p.label")).groupBy("token").agg(pivot)
-            pairs = rows_k.join(low.select("token", "p"), "token").filter((F.col("label") != F.col("p.label")) & (4 * F.least("n", "p.n") >= 3 * F.greatest("n", "p.n")))
+            hope = (4 * F.least("n", "p.n") >= 3 * F.greatest("n", "p.n")) & (7 * F.least("v", "p.v") >= 3 * (F.col("n") + F.col("p.n")))
+            pairs = rows_k.join(low.select("token", "p"), "token").filter((F.col("label") != F.col("p.label")) & hope)
             pairs = pairs.select(F.col("p.doc").alias("x"), F.col("doc").alias("y")).distinct()
             pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"star-{k}")
             if pairs.isEmpty():
@@ -324,40 +366,69 @@ class _Join:
             fresh = self.verified(pairs, f"round-{k}")
             links = fresh if links is None else links.unionByName(fresh)
             labels = cut(components(links, self.scratch, f"cc-{k}"), f"labels-{k}")
-        rest = self.still_open(self.labelled(rest.drop("label"), labels), "last")
-        other = rest.select(*[F.col(c).alias(f"{c}2") for c in rest.columns])
-        m = F.least("ell", "ell2")
-        both = F.col("n") + F.col("n2")
-        cross = rest.join(other, (F.col("token") == F.col("token2")) & (F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (7 * F.least("v", "v2") >= 3 * both) & (F.greatest("at", "at2") <= m))
-        # Shared shingles outside the prefixes are max(t, t') - m at most, of the overlap that 0.75 takes.
-        need = F.ceil(both * 3 / 7 - F.lit(1e-9)) - F.greatest(F.ceil(F.col("n") * 0.75), F.ceil(F.col("n2") * 0.75))
-        met = cross.groupBy(F.col("doc").alias("x"), F.col("doc2").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(m + F.greatest(need, F.lit(0))).alias("m")).filter(F.col("c") >= F.col("m")).select("x", "y")
-        last = self.verified(met, "last")
-        links = last if links is None else links.unionByName(last)
-        labels = components(links, self.scratch, "cc")
-        named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("c_key"), F.coalesce("component", "rep").alias("component_id"))
+        last = self.verified(self.crossing(self.labelled(rest, labels)), "last")
+        return last if links is None else links.unionByName(last)
+
+    def run(self) -> DataFrame:
+        """rid, doc_id, n, component_id, keep_doc and keep_rid of each row."""
+        cut, drop = self.scratch.cut, self.scratch.drop
+        first = cut(self.docs.mapInArrow(_first_pass, "rid long, doc_id long, n long, key binary, cls long, chunk int, salt int, blob binary"), "first")
+        self.sketch = self.spark.sparkContext.broadcast(_levels(first))
+        rows = cut(first.filter(F.col("n").isNotNull()).select("rid", "doc_id", "n", "key", "cls"), "rows")
+        drop("first")
+        # The row that stands for a class: the least identifier, nulls last.
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("r")
+        classes = cut(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(least, F.min("cls").alias("cls")), "classes")
+        postings = self.docs.select("text").mapInArrow(_first_postings(self.sketch, self.hot_list), "token long, cls long, salt int, need int")
+        by = Window.partitionBy("token", "salt")
+        shared = postings.withColumn("c0", F.min("cls").over(by)).withColumn("c1", F.max("cls").over(by)).filter(((F.col("c0") != F.col("c1")) | (F.col("salt") > 0)) & (F.col("need") > 0))
+        shared = shared.groupBy("token", "salt", "cls").agg(F.max("need").alias("need"))
+        hopeful = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).filter(F.col("c") >= F.col("need"))
+        hopeful = cut(hopeful.select("cls"), "hopeful")
+        opened = classes.join(hopeful, "cls", "left_semi").select("key", F.col("r.rid").alias("rid"))
+        # Numbers are given once, as the table is written.
+        self.open = cut(opened.withColumn("doc", F.monotonically_increasing_id()), "open")
+        labels = components(self.links(), self.scratch, "cc")
+        named = classes.join(self.open.select("key", "doc"), "key", "left").join(labels, F.col("doc") == F.col("node"), "left")
+        alone = F.coalesce(F.col("component").cast("string"), F.hex("key"))
+        named = cut(named.select("key", "r", alone.alias("group")), "named")
+        keep = named.groupBy("group").agg(F.min("r").alias("keep"))
+        named = named.join(keep, "group").select(F.col("key").alias("c_key"), "keep")
         out = rows.join(named, F.col("key") == F.col("c_key"), "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+        return out.withColumn("keep", F.when(F.col("key").isNull(), own).otherwise(F.col("keep")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST, star: int = STAR) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Links: 100 * intersection >= 75 * union of the shingle sets.  A null or wordless text
-    has no shingles and links with nothing: it is its own component.  Rows of equal sets
-    are linked, whatever their identifiers; a row with a null doc_id belongs to its text's
-    component, which is null where no other row has the text's set.  An empty table gives
-    no rows; other columns are not looked at.
+    has no shingles and links with nothing: it is its own component.  Rows are told apart by
+    their sets, never by doc_id: rows that repeat a doc_id with other texts are documents of
+    their own, and rows with a null doc_id link like others.  component_id is the least
+    doc_id of the component, null where all its rows have none.  An empty table gives no
+    rows; other columns are not looked at.
     """
-    return _Join(docs, id_col, text_col, hot_list, star).run()
+    return _Join(docs, id_col, text_col, hot_list, star).run().select("doc_id", F.col("n").alias("n_shingles"), F.col("keep.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, of each component the one with the smallest doc_id; rows with a null doc_id stay."""
+    """Rows of ``docs``, one of each component: that with the smallest doc_id, nulls last.
+
+    Rows without shingles stay.  Of rows that repeat doc_id and text one stays.  All columns
+    stay as they are.
+    """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("near_id")).distinct()
-    found = scratch.cut(found, "decisions")
-    return docs.join(found, docs["doc_id"] == found["near_id"], "left_anti")
+    decided = scratch.cut(_Join(docs, "doc_id", "text", HOT_LIST, STAR).run().select("rid", (F.col("rid") == F.col("keep.rid")).alias("kept"), "n"), "decisions")
+    gone = decided.filter(~F.col("kept")).select(F.col("rid").alias("gone_rid")).distinct()
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own_row")
+    rows = docs.select(own, row_name(F.col("doc_id").cast("long"), F.col("text")).alias("own_rid"))
+    rows = rows.join(gone, F.col("own_rid") == F.col("gone_rid"), "left_anti")
+    twice = scratch.cut(decided.filter(F.col("kept") & (F.col("n") > 0)).groupBy("rid").count().filter("count > 1").select(F.col("rid").alias("twice_rid")), "twice")
+    if not twice.isEmpty():
+        again = rows.join(twice, F.col("own_rid") == F.col("twice_rid"), "left_semi").dropDuplicates(["own_rid"])
+        rows = rows.join(twice, F.col("own_rid") == F.col("twice_rid"), "left_anti").unionByName(again)
+    return rows.select("own_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from fluvius.llm import jaccard_join as J
 
-from .edge import documents, texts
+from .edge import documents, texts, words
 
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -68,27 +68,49 @@ def test_many_near_copies(spark):
     assert len(Counter(x[2] for x in got)) > 4
 
 
-def test_prefixes_keep_the_promise():
-    """Of similar sets, the prefixes of the lesser L share at least that many shingles."""
+def test_first_prefixes_keep_the_promise():
+    """Of similar sets, the first prefixes share as many shingles as each side counts on."""
     r = np.random.default_rng(1)
     levels = r.integers(0, 3, 1 << J.SKETCH_BITS).astype(np.uint8)
-    for _ in range(300):
-        n = int(r.integers(1, 60))
+    tried = 0
+    while tried < 300:
+        n = int(r.integers(1, 80))
         a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
         b = a.copy()
         for k in r.integers(0, len(a), int(len(a) * 0.12)):
             b[k] = r.integers(0, 1 << 63)
-        b = np.unique(b)
-        if not J.similar(a, b):
+        b = np.unique(b)[: len(b) - int(r.integers(0, 1 + len(b) // 9))]
+        if not len(b) or not J.similar(a, b):
             continue
-        (ta, _, fa, la, _), (tb, _, fb, lb, _) = J.prefix(a, levels), J.prefix(b, levels)
-        m = min(la, lb)
-        assert len(set(ta[fa <= m].tolist()) & set(tb[fb <= m].tolist())) >= m
+        tried += 1
+        (ta, _, ca, la), (tb, _, cb, lb) = J.first_prefix(a, levels), J.first_prefix(b, levels)
+        assert len(set(ta[:ca].tolist()) & set(tb.tolist())) >= la
+        assert len(set(tb[:cb].tolist()) & set(ta.tolist())) >= lb
+
+
+def test_identifiers_that_repeat_or_lack(spark):
+    """Texts link by themselves: two texts of one identifier, near copies without one, a bridge without one."""
+    base = words(1, 160)
+    at = lambda *ks: " ".join("changed" if k in ks else w for k, w in enumerate(base.split()))
+    other = words(9, 120)
+    rows = [(3, base), (3, other), (0, at(80)), (5, other.replace(other.split()[60], "new")), (None, at(10)), (7, at(10, 80)), (None, words(4, 50))]
+    bridge = words(12, 100).split()
+    rows += [(20, " ".join(bridge)), (None, " ".join(bridge[:84])), (21, " ".join(bridge[:70]))]
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == by_hand(rows)
+    assert {x[2] for x in got if x[0] in (20, 21)} == {20}
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == sorted([(0, at(80)), (3, other), (20, " ".join(bridge))])
+    assert [r.text for r in kept if r.doc_id is None] == [words(4, 50)]
 
 
 def test_keep_one_and_empty(spark):
     d = documents(spark)
     out = J.keep_one(d)
-    want = [x for x in by_hand(texts()) if x[0] is None or x[0] == x[2]]
-    assert out.columns == d.columns and out.count() == len(want)
-    assert J.jaccard_components(d.limit(0)).count() == 0
+    want = {x[2] for x in by_hand(texts()) if x[1] and x[2] is not None}
+    assert out.columns == d.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(i for i, t in got if i is not None and (t or "").split()) == sorted(want)
+    assert len([1 for i, t in got if i is None]) == 1
+    assert len([1 for _, t in got if not (t or "").split()]) == len([1 for _, t in texts() if not (t or "").split()])
+    assert J.jaccard_components(d.limit(0)).count() == 0 and J.keep_one(d.limit(0)).count() == 0
