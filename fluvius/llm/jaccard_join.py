@@ -38,8 +38,9 @@ SKETCH_BITS = 22
 CHUNK_BITS = 16
 #: Sketches added up in one group.
 FAN_IN = 64
-#: L of the first prefixes, as far as the set's size allows.
-FIRST_SHARED = 16
+#: L of the first prefixes is FIRST_SHARED + n // FIRST_PART, as far as the set's size allows.
+FIRST_SHARED = 8
+FIRST_PART = 8
 #: Most L of the second ones.
 MOST_SHARED = 40
 #: Cost of a verification against that of reading a posting.
@@ -54,33 +55,78 @@ PAIRS_PER_COPY = 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes hashed together; longer texts are cut at white space.
+PIECE = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int):
+    """Powers of the base and of its inverse, ``n`` of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _powers[k : k + 1] = [np.cumprod(p, dtype=np.uint64)]
+    return _powers
 
 
-_hashes = _Hashes()
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word of ASCII-lower-cased bytes: differences of one running polynomial sum, then mixed."""
+    gap = np.concatenate(([True], _SPACE[raw], [True]))
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(7)) * up[: len(raw)], out=total[1:])
+    h = (total[end] - total[begin]) * down[begin]
+    h ^= (end - begin).astype(np.uint64) << np.uint64(40)
+    h ^= h >> np.uint64(31)
+    h *= _ODD[3]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _words(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    if len(data) <= PIECE:
+        return _word_hashes(data)
+    out, a = [], 0
+    while a < len(data):
+        b = min(a + PIECE, len(data))
+        gaps = np.flatnonzero(_SPACE[data[a:b]])
+        if b < len(data):
+            if len(gaps):
+                b = a + int(gaps[-1]) + 1
+            else:
+                later = np.flatnonzero(_SPACE[data[b:]])
+                b = b + int(later[0]) if len(later) else len(data)
+        out.append(_word_hashes(data[a:b]))
+        a = b
+    return np.concatenate(out)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes; fewer than five words are one shingle, none are no shingle."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(w)
+    h = _words((text or "").encode("utf-8", "surrogatepass").lower())
+    n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
+        return h
     if n < WORDS:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=n)], np.uint64)
-    h = np.array([_hashes[x] for x in w], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=n)], np.uint64)
     s = h[: n - WORDS + 1] * _ODD[0]
     for k in range(1, WORDS):
         s = (s ^ (s >> np.uint64(29))) + h[k : n - WORDS + 1 + k] * _ODD[k]
     s ^= s >> np.uint64(32)
     s *= _ODD[1]
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def digest(s: np.ndarray) -> bytes | None:
@@ -103,7 +149,7 @@ def _first_pass(batches):
 
     task = TaskContext.get().partitionId()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    shift = np.uint64(64 - SKETCH_BITS)
+    shift, held, loose = np.uint64(64 - SKETCH_BITS), [], 0
     names = ["rid", "doc_id", "n", "key", "cls", "chunk", "salt", "blob"]
     for batch in batches:
         n, keys = [], []
@@ -112,9 +158,14 @@ def _first_pass(batches):
             n.append(len(s))
             keys.append(digest(s))
             if len(s):
-                np.add.at(counts, (s >> shift).astype(np.int64), 1)
+                held.append((s >> shift).astype(np.int64))
+            if (loose := loose + len(s)) > 1 << 20:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                held, loose = [], 0
         m = len(n)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short(k) for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
     size = 1 << CHUNK_BITS
     blobs = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(1 << (SKETCH_BITS - CHUNK_BITS)) if counts[c * size : (c + 1) * size].any()]
     m = len(blobs)
@@ -149,13 +200,16 @@ def _levels(rows: DataFrame) -> np.ndarray:
 
 
 def first_prefix(s: np.ndarray, levels: np.ndarray):
-    """Ordered shingles of the first prefix and their levels, how many of these count at the L that every partner has, and that L."""
+    """Ordered shingles of the first prefix and their levels, how many of these count at the L that every partner has, and that L.
+
+    A partner has 0.75 n shingles at least.
+    """
     n = len(s)
     lv = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     least = (3 * n + 3) // 4
     base = n - least
-    order = np.lexsort((s, lv))[: base + min(FIRST_SHARED, least)]
-    low = min(FIRST_SHARED, -(-9 * n // 16))
+    order = np.argsort(lv, kind="stable")[: base + min(FIRST_SHARED + n // FIRST_PART, least)]  # s is sorted
+    low = min(FIRST_SHARED + 3 * n // (4 * FIRST_PART), -(-9 * n // 16))
     return s[order], lv[order], base + low, low
 
 
@@ -269,11 +323,11 @@ class _Join:
         self.hot_list, self.star = hot_list, star
 
     def texts_of(self, classes: DataFrame) -> DataFrame:
-        """text, key, doc of the rows named by ``classes`` (rid, key, doc).
+        """text, key, doc of the rows named by ``classes`` (rid, key, doc and asked, which is 1).
 
         Only these texts move: Spark builds a Bloom filter of the names while that fits.
         """
-        asked = classes.select(F.col("rid").alias("c_rid"), "key", "doc", F.lit(1).alias("one")).filter(F.col("one") == 1)
+        asked = classes.filter(F.col("asked") == 1).select(F.col("rid").alias("c_rid"), "key", "doc")
         return self.docs.join(asked, F.col("rid") == F.col("c_rid")).select("text", "key", "doc")
 
     def few(self):
@@ -284,9 +338,9 @@ class _Join:
         cut = self.scratch.cut
         pairs = cut(pairs, f"{name}-pairs")
         nodes = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
-        nodes = cut(self.open.join(nodes, "doc", "left_semi").select("rid", "key", "doc", F.lit(1).alias("asked")), f"{name}-nodes")
+        nodes = cut(self.open.join(nodes, "doc", "left_semi").select("rid", "key", "doc", "asked"), f"{name}-nodes")
         with self.few():
-            sets = cut(self.texts_of(nodes.filter(F.col("asked") == 1)).mapInArrow(_sets, "doc long, s binary"), f"{name}-sets")
+            sets = cut(self.texts_of(nodes).mapInArrow(_sets, "doc long, s binary"), f"{name}-sets")
         load = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("parts"))
         heads = load.join(sets, F.col("x") == F.col("doc")).select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), "s")
         tails = pairs.join(load, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y").join(sets, F.col("y") == F.col("doc")).select("x", "part", "y", "s")
@@ -314,14 +368,15 @@ class _Join:
         """token, doc, n, v, pos, ell: the adaptive prefixes, by (c, token)."""
         order = Window.partitionBy("doc").orderBy("c", "token")
         rows = held.withColumn("pos", F.row_number().over(order)).withColumn("read", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        least = F.ceil(0.75 * F.col("n")).cast("int")
-        rows = rows.withColumn("ell", F.col("pos") - F.col("v") + least)
-        cost = F.when(F.col("ell").between(1, F.least(F.lit(MOST_SHARED), least)), F.struct((F.col("read") * (1 + VERIFY_COST / F.col("ell"))).alias("cost"), "ell"))
-        rows = rows.withColumn("best", F.min(cost).over(Window.partitionBy("doc"))["ell"])
-        return rows.filter(F.col("ell") <= F.col("best")).select("token", "doc", "n", "v", "pos", F.col("best").alias("ell"))
+        least, alike = F.ceil(0.75 * F.col("n")).cast("int"), F.ceil(F.col("n") * 6 / 7 - F.lit(1e-9)).cast("int")
+        # The cost of each L is that of a partner of equal size; the prefix goes on as far as the smallest partner asks.
+        ell = F.col("pos") - F.col("v") + alike
+        cost = F.when(ell.between(1, F.least(F.lit(MOST_SHARED), least)), F.struct((F.col("read") * (1 + VERIFY_COST / ell)).alias("cost"), ell.alias("ell")))
+        rows = rows.withColumn("best", F.when(F.col("v") < alike, 1).otherwise(F.coalesce(F.min(cost).over(Window.partitionBy("doc"))["ell"], F.lit(1))))
+        return rows.filter(F.col("pos") - F.col("v") + least <= F.col("best")).select("token", "doc", "n", "v", "pos", F.col("best").alias("ell"))
 
-    def crossing(self, rest: DataFrame) -> DataFrame:
-        """Pairs (x, y) of different labels that share min(L, L') shingles within the prefixes that their sizes ask for.
+    def meetings(self, rest: DataFrame) -> DataFrame:
+        """x, y, m of pairs with different labels, once for each shingle within the prefixes that their sizes ask for at m = min(L, L').
 
         In each list, members of its largest label meet only the others.
         """
@@ -335,7 +390,11 @@ class _Join:
         early = (F.col("pos") - F.col("v") + need <= m) & (F.col("pos2") - F.col("v2") + need <= m)
         sizes = 4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")
         met = rest.filter(F.col("label") != F.col("major")).join(other, "token").filter(apart & sizes & early & (F.least("v", "v2") >= need))
-        met = met.groupBy(F.least("doc", "doc2").alias("x"), F.greatest("doc", "doc2").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(m).alias("m"))
+        return met.select(F.least("doc", "doc2").alias("x"), F.greatest("doc", "doc2").alias("y"), m.alias("m"))
+
+    def crossing(self, rest: DataFrame) -> DataFrame:
+        """Pairs (x, y) that meet m times."""
+        met = self.meetings(rest).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("m"))
         return met.filter(F.col("c") >= F.col("m")).select("x", "y")
 
     def links(self) -> DataFrame | None:
@@ -387,7 +446,7 @@ class _Join:
         hopeful = cut(hopeful.select("cls"), "hopeful")
         opened = classes.join(hopeful, "cls", "left_semi").select("key", F.col("r.rid").alias("rid"))
         # Numbers are given once, as the table is written.
-        self.open = cut(opened.withColumn("doc", F.monotonically_increasing_id()), "open")
+        self.open = cut(opened.withColumn("doc", F.monotonically_increasing_id()).withColumn("asked", F.lit(1)), "open")
         labels = components(self.links(), self.scratch, "cc")
         named = classes.join(self.open.select("key", "doc"), "key", "left").join(labels, F.col("doc") == F.col("node"), "left")
         alone = F.coalesce(F.col("component").cast("string"), F.hex("key"))
