@@ -328,7 +328,7 @@ class _Join:
         Only these texts move: Spark builds a Bloom filter of the names while that fits.
         """
         asked = classes.filter(F.col("asked") == 1).select(F.col("rid").alias("c_rid"), "key", "doc")
-        return self.docs.join(asked, F.col("rid") == F.col("c_rid")).select("text", "key", "doc")
+        return self.docs.join(asked.hint("merge"), F.col("rid") == F.col("c_rid")).select("text", "key", "doc")
 
     def few(self):
         return settings(self.spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m")

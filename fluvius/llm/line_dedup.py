@@ -1,20 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line (held by at most RARE documents), a line that
-is a block by itself, or, where lines are frequent and short, two lines in a row, the
-text's ends counting as lines.  A document is
-aligned with the first holder of each thing that it shares, and where this leaves shared
-lines in it, with all earlier holders of its rare things (RARE at most for each), so pairs
-stay in proportion to lines however large a group of copies is.  The alignment is a patience diff over line
-hashes; its common blocks of at least MIN_CHARS characters are deleted from the later
-document, that is the one with the larger doc_id.  Everything is judged on the input.
+A document is its sequence of lines that are not blank, as hashes.  A block is a run of
+lines with at least MIN_CHARS characters; the least blocks that begin or end at each line
+are a document's anchors, so two documents can lose a common block only if they share an
+anchor.  Documents of equal sequences are one class, of which the first row alone is
+aligned; the others lose every line.
+
+A document is aligned by patience diff with the first holder of each anchor that it shares,
+and, where this leaves lines of a shared anchor, with all earlier holders of its rare anchors
+(RARE holders at most), so it loses just what alignment with every earlier document would
+take.  An anchor held more often is itself the excerpt that the rest is aligned with: what
+the first holder's alignment left of it goes.  Common blocks are deleted from the later
+document, the one with the larger doc_id.  Everything is judged on the input, and a blank
+line goes with the lines around it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,31 +36,51 @@ PARTNERS = 1024
 
 
 def line_hash(line: str) -> int:
-    """Hash of a line without white space at its ends; 0 for a blank one."""
-    s = line.strip()
-    return (xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) | 1) - (1 << 63) if s else 0
+    """Hash of a line without white space at its ends."""
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _pair(a: int, b: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{a},{b}".encode()) - (1 << 63)
+def split_lines(text: str | None) -> tuple[list[str], list[int], list[int], list[int]]:
+    """All lines; place, hash and size of those that are not blank."""
+    lines = (text or "").split("\n")
+    full = [(k, s) for k, x in enumerate(lines) if (s := x.strip())]
+    return lines, [k for k, _ in full], [line_hash(s) for _, s in full], [len(s) for _, s in full]
 
 
-def _lines(batches):
-    for batch in batches:
-        hashes, sizes, pairs = [], [], []
-        for t in batch.column(1).to_pylist():
-            lines = (t or "").split("\n")
-            h = [line_hash(x) for x in lines]
-            full = [x for x in h if x]
-            hashes.append(h)
-            sizes.append([len(x.strip()) for x in lines])
-            pairs.append(sorted({_pair(a, b) for a, b in zip([1, *full], [*full, 2])}) if full else [])
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, longs), pa.array(sizes, pa.list_(pa.int32())), pa.array(pairs, longs)], ["doc_id", "h", "size", "pairs"])
+def least_blocks(sizes: list[int], min_chars: int) -> set[tuple[int, int]]:
+    """Half-open runs with ``min_chars`` characters that are the least from their first or to their last line."""
+    sums = [0, *accumulate(sizes)]
+    from_line = {(a, bisect_left(sums, x + min_chars)) for a, x in enumerate(sums)}
+    to_line = {(bisect_right(sums, x - min_chars) - 1, b) for b, x in enumerate(sums) if x >= min_chars}
+    return {(a, b) for a, b in from_line | to_line if b < len(sums)}
+
+
+def anchors(h: list[int], sizes: list[int], min_chars: int) -> dict[int, list[tuple[int, int]]]:
+    """Hash of each least block -> the runs where it stands."""
+    raw, out = np.array(h, np.int64), {}
+    for a, b in least_blocks(sizes, min_chars):
+        out.setdefault(xxhash.xxh3_64_intdigest(raw[a:b].tobytes()) - (1 << 63), []).append((a, b))
+    return out
+
+
+def _rows(min_chars: int):
+    def work(batches):
+        for batch in batches:
+            keys, hashes, sizes, grams = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                _, _, h, size = split_lines(t)
+                keys.append(xxhash.xxh3_128_digest(np.array(h, np.int64).tobytes()))
+                hashes.append(h)
+                sizes.append(size)
+                grams.append(sorted(anchors(h, size, min_chars)))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(hashes, longs), pa.array(sizes, pa.list_(pa.int32())), pa.array(grams, longs)], ["rid", "doc_id", "key", "h", "size", "grams"])
+
+    return work
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions of a patience diff, in order; blank lines (0) match only beside others."""
+    """Matched positions of a patience diff, in order."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -66,7 +93,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         if a0 >= a1 or b0 >= b1:
             continue
         na, nb = Counter(a[a0:a1]), Counter(b[b0:b1])
-        at = {v: j for j, v in enumerate(b[b0:b1], b0) if v and nb[v] == 1}
+        at = {v: j for j, v in enumerate(b[b0:b1], b0) if nb[v] == 1}
         both = [(i, at[v]) for i, v in enumerate(a[a0:a1], a0) if v in at and na[v] == 1]
         tails, last, back = [], [], [None] * len(both)
         for k, (_, j) in enumerate(both):
@@ -113,79 +140,101 @@ def _align(min_chars: int):
 
 
 def _open(min_chars: int):
-    """Keys by which a document may lose more: long lines, and pairs of lines, that are not deleted in full."""
+    """Anchors that have a line which is not deleted, with the lines where they stand."""
 
     def work(batches):
         for batch in batches:
-            docs, kinds, keys = [], [], []
+            docs, keys, places = [], [], []
             for doc, h, size, gone in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 drop = set(gone or ())
-                full = [(x, k not in drop) for k, x in enumerate(h) if x]
-                found = {(1, x) for k, x in enumerate(h) if x and k not in drop and size[k] >= min_chars}
-                found |= {(2, _pair(a, b)) for (a, p), (b, q) in zip(full, full[1:]) if p or q}
-                docs += [doc] * len(found)
-                kinds += [k for k, _ in found]
-                keys += [x for _, x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "kind", "key"])
+                for key, runs in anchors(h, size, min_chars).items():
+                    at = sorted({k for a, b in runs for k in range(a, b)})
+                    if not drop.issuperset(at):
+                        docs.append(doc)
+                        keys.append(key)
+                        places.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["doc", "gram", "at"])
 
     return work
 
 
+def delete_lines(text: str | None, gone: list[int] | None, all_gone: bool) -> tuple[int, int, str]:
+    """Number of lines, of deleted ones, and the text left; ``gone`` counts lines that are not blank."""
+    lines, place, _, _ = split_lines(text)
+    drop = set(place) if all_gone else {place[k] for k in gone or ()}
+    if drop:
+        full, before, after = set(place), set(), set()
+        for order, seen in ((range(len(lines)), before), (range(len(lines) - 1, -1, -1), after)):
+            goes = True
+            for k in order:
+                if k in full:
+                    goes = k in drop
+                elif goes:
+                    seen.add(k)
+        drop |= before & after  # blank lines between deleted lines, or the text's end
+    return len(lines) if text else 0, len(drop), "\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else text or ""
+
+
 def _delete(batches):
     for batch in batches:
-        texts, n, removed = [], [], []
-        for t, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = (t or "").split("\n")
-            drop = set(gone or ())
-            n.append(len(lines) if t else 0)
-            removed.append(len(drop))
-            texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t or "")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "kept"])
+        out = [delete_lines(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_lines", "n_removed", "kept"])
 
 
 def _aligned(pairs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     """late, gone: positions in ``late`` of blocks common with any ``early`` of its pairs."""
     load = pairs.groupBy("early").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-    heads = load.join(lines, F.col("early") == F.col("doc_id")).select("early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("early_h"))
-    tails = pairs.join(load, "early").join(lines, F.col("late") == F.col("doc_id")).select("early", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int").alias("part"), "late", "h", "size")
-    aligned = tails.join(heads, ["early", "part"]).select("late", "early_h", "h", "size").mapInArrow(_align(min_chars), "late long, gone array<int>")
-    return aligned.groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    heads = load.join(lines, F.col("early") == F.col("doc")).select("early", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("early_h"))
+    tails = pairs.join(load, "early").join(lines, F.col("late") == F.col("doc")).select("early", F.pmod(F.xxhash64("late"), F.col("parts")).cast("int").alias("part"), "late", "h", "size")
+    return tails.join(heads, ["early", "part"]).select("late", "early_h", "h", "size").mapInArrow(_align(min_chars), "late long, gone array<int>")
+
+
+def _together(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text left) for every row.
 
-    A null or empty text has no lines and stays empty.  A row with a null doc_id takes no
-    part and keeps its text.  Rows that share a doc_id are not compared with each other,
-    and each loses the lines that any of them loses to earlier documents.  An empty table
-    gives no rows; other columns are not looked at.
+    A null or empty text has no lines and stays empty; a document without ``min_chars``
+    characters in its lines loses nothing.  Documents are told apart by their lines: of
+    equal ones the least doc_id stays (with all rows of that id), nulls last, and rows that
+    repeat a doc_id with other texts are documents of their own, ordered by a digest.  An
+    empty table gives no rows; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = scratch.cut(rows.filter(F.col("doc_id").isNotNull()).mapInArrow(_lines, "doc_id long, h array<long>, size array<int>, pairs array<long>"), "lines")
-    one = lines.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("h", "size"))).alias("z")).filter(F.col("z.h") != 0)
-    one = one.select("doc_id", F.col("z.h").alias("key"), F.lit(1).alias("kind"), (F.col("z.size") >= min_chars).alias("long"))
-    two = lines.select("doc_id", F.explode("pairs").alias("key"), F.lit(2).alias("kind"), F.lit(True).alias("long"))
-    keys = one.unionByName(two)
-    held = keys.groupBy("kind", "key").agg(F.min("doc_id").alias("early"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
-    held = scratch.cut(held.filter("n > 1"), "held")
-    firsts = held.filter(F.col("long") | (F.col("n") <= rare)).select("kind", "key", "early")
-    pairs = keys.drop("long").join(firsts, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("early", F.col("doc_id").alias("late")).distinct()
-    pairs = scratch.cut(pairs, "pairs")
-    gone = scratch.cut(_aligned(pairs, lines, min_chars), "gone")
-    # A document loses more to another holder only by a key that is still open.  Pairs come by that key, or by any rare one where it is frequent.
-    left = lines.join(gone, F.col("doc_id") == F.col("late"), "left").select("doc_id", "h", "size", "gone").mapInArrow(_open(min_chars), "doc_id long, kind int, key long")
-    left = left.join(held, ["kind", "key"]).filter(F.col("early") < F.col("doc_id")).select("doc_id", "kind", "key", (F.col("n") <= rare).alias("rare"))
-    left = scratch.cut(left, "open")
-    few = scratch.cut(keys.drop("long").join(held.filter(F.col("n") <= rare).select("kind", "key"), ["kind", "key"]).select("doc_id", "kind", "key"), "few")
-    often = few.join(left.filter("not rare").select("doc_id").distinct(), "doc_id")
-    asked = left.filter("rare").select("doc_id", "kind", "key").unionByName(often.select("doc_id", "kind", "key")).distinct()
-    more = asked.withColumnRenamed("doc_id", "late").join(few.withColumnRenamed("doc_id", "early"), ["kind", "key"])
-    more = more.filter(F.col("early") < F.col("late")).select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti")
-    more = _aligned(scratch.cut(more, "more"), lines, min_chars)
-    gone = gone.unionByName(more).groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    gone = scratch.cut(gone, "all-gone")
-    out = rows.join(gone, F.col("doc_id") == F.col("late"), "left").select("doc_id", "text", "gone")
+    cut, drop = scratch.cut, scratch.drop
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(F.xxhash64(doc_id, text).alias("rid"), doc_id.alias("doc_id"), text.alias("text"))
+    lines = cut(rows.mapInArrow(_rows(min_chars), "rid long, doc_id long, key binary, h array<long>, size array<int>, grams array<long>"), "lines").filter(F.size("grams") > 0)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("r")
+    classes = cut(lines.groupBy("key").agg(first, F.count(F.lit(1)).alias("copies")), "classes")
+    copies = classes.filter("copies > 1").select(F.col("key").alias("c_key"), F.col("r.doc_id").alias("first_id"))
+    whole = lines.select("rid", "doc_id", "key").join(copies, F.col("key") == F.col("c_key")).filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("rid").distinct()
+    reps = lines.join(classes.select(F.col("key").alias("c_key"), "r"), (F.col("key") == F.col("c_key")) & (F.col("rid") == F.col("r.rid"))).dropDuplicates(["key"])
+    # Numbers that grow with (doc_id, digest), given once as the table is written.
+    reps = reps.orderBy("r.none", "r.doc_id", "key").withColumn("doc", F.monotonically_increasing_id()).select("doc", "rid", "h", "size", "grams")
+    reps = cut(reps, "reps")
+    keys = reps.select("doc", F.explode("grams").alias("gram"))
+    held = cut(keys.groupBy("gram").agg(F.min("doc").alias("early"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "held")
+    shared = cut(keys.join(held, "gram"), "shared")
+    pairs = cut(shared.filter(F.col("early") < F.col("doc")).select("early", F.col("doc").alias("late")).distinct(), "pairs")
+    gone = cut(_together(_aligned(pairs, reps, min_chars)), "gone")
+    # A document loses more to another holder only by an anchor that is still open.
+    later = pairs.select(F.col("late").alias("doc")).distinct()
+    left = reps.join(later, "doc", "left_semi").join(gone, F.col("doc") == F.col("late"), "left").select("doc", "h", "size", "gone").mapInArrow(_open(min_chars), "doc long, gram long, at array<int>")
+    left = cut(left.join(held, "gram").filter(F.col("early") < F.col("doc")), "open")
+    asked = left.filter(F.col("n") <= rare).select("gram", F.col("doc").alias("late"))
+    more = asked.join(shared.filter(F.col("n") <= rare).select("gram", F.col("doc").alias("early")), "gram").filter(F.col("early") < F.col("late"))
+    more = cut(more.select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti"), "more")
+    often = left.filter(F.col("n") > rare).select(F.col("doc").alias("late"), F.col("at").alias("gone"))
+    gone = _together(gone.unionByName(_aligned(more, reps, min_chars)).unionByName(often))
+    gone = gone.join(reps.select("doc", "rid"), F.col("late") == F.col("doc")).select("rid", "gone", F.lit(False).alias("whole"))
+    gone = cut(gone.unionByName(whole.select("rid", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole"))), "all-gone")
+    drop("shared", "open", "pairs", "more", "held")
+    out = rows.join(gone.select(F.col("rid").alias("g_rid"), "gone", "whole").hint("merge"), F.col("rid") == F.col("g_rid"), "left")
+    out = out.select("doc_id", "text", "gone", F.coalesce("whole", F.lit(False)).alias("whole"))
     return out.mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept string")
 
 

@@ -73,14 +73,6 @@ def test_line_dedup_deletes_from_later_documents(spark):
     assert L.line_dedup(documents(spark).limit(0)).count() == 0
 
 
-def test_frequent_lines_alone_do_not_pair(spark):
-    rows = [(k, f"a line that all of them share\nown line number {k} of its document") for k in range(8)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert L.line_dedup(d.withColumn("text", F.concat(F.lit("own start "), "doc_id", F.lit("\n"), "text")), rare=3).filter("n_removed > 0").count() == 0
-    copies = spark.createDataFrame([(k, "first of many lines here\nsecond of many lines here") for k in range(30)], "doc_id long, text string")
-    assert L.line_dedup(copies, rare=3).filter("n_removed = 2").count() == 29
-
-
 def test_long_frequent_lines_are_deleted_between_differing_neighbours(spark):
     line = "this sentence is a licence line that all the documents hold"
     d = spark.createDataFrame([(k, f"own start {k}\n{line}\nown end {k}") for k in range(60)], "doc_id long, text string")
@@ -90,34 +82,47 @@ def test_long_frequent_lines_are_deleted_between_differing_neighbours(spark):
 
 
 def all_pairs(rows, rare):
-    """Positions deleted where every pair that shares a rare line is aligned."""
-    h = {k: [L.line_hash(x) for x in t.split("\n")] for k, t in rows}
-    size = {k: [len(x.strip()) for x in t.split("\n")] for k, t in rows}
-    n = Counter(x for v in h.values() for x in set(v) if x)
-    out = {k: set() for k in h}
-    for e in h:
-        for k in h:
-            if e < k and any(n[x] <= rare for x in set(h[e]) & set(h[k]) if x):
-                out[k] |= set(L.common_blocks(h[e], h[k], size[k], L.MIN_CHARS))
+    """What is left of each text where every pair that shares a rare anchor is aligned, and frequent anchors of earlier documents go."""
+    part = [L.split_lines(t) for _, t in rows]
+    grams = [L.anchors(h, size, L.MIN_CHARS) for _, _, h, size in part]
+    kinds = {}
+    for k, (_, _, h, _) in enumerate(part):
+        kinds.setdefault(tuple(h), k)
+    n = Counter(g for k in kinds.values() for g in grams[k])
+    out = []
+    for k, (_, _, h, size) in enumerate(part):
+        gone = set()
+        for e in range(k):
+            both = grams[e].keys() & grams[k].keys()
+            if tuple(h) == tuple(part[e][2]) or any(n[g] <= rare for g in both):
+                gone |= set(L.common_blocks(part[e][2], h, size, L.MIN_CHARS))
+            gone |= {i for g in both if n[g] > rare for a, b in grams[k][g] for i in range(a, b)}
+        out.append(L.delete_lines(rows[k][1], sorted(gone), False))
     return out
 
 
-def test_later_holders_are_aligned_too(spark):
+def test_line_dedup_equals_alignment_of_all_pairs(spark):
     x, y = "the first line that is shared, long enough", "the second line that is shared, long enough"
-    order = [(1, f"{x}\nA\n{y}"), (2, f"{y}\nB\n{x}"), (3, f"{y}\nC\n{x}")]
+    order = [(1, f"{x}\nA\n{y}"), (2, f"{y}\nB\n{x}"), (3, f"{y}\n\nC\n{x}\n")]
     s = [f"short part no {k}" for k in range(3)]
-    short = [(11, f"{s[0]}\n{s[1]}\nD"), (12, f"{s[1]}\n{s[2]}\nE"), (13, f"F\n{s[0]}\n{s[1]}\n{s[2]}"), (14, f"{s[0]}\n{s[1]}\n{s[2]}\nG")]
+    short = [(11, f"{s[0]}\n{s[1]}\nD"), (12, f"{s[1]}\n{s[2]}\nE"), (13, f"F\n{s[0]}\n{s[1]}\n{s[2]}"), (14, f"{s[0]}\n\n{s[1]}\n{s[2]}\nG")]
     r = random.Random(3)
-    mixed = [(k, "\n".join(f"line {w} " + "abcdefgh" * (w % 5) for w in r.choices(range(40), k=r.randint(2, 9)))) for k in range(20, 80)]
-    for rows, rare in ((order, 50), (short, 50), (mixed, 8), (mixed, 50)):
-        got = {v.doc_id: (v.n_removed, v.kept) for v in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
-        for k, gone in all_pairs(rows, rare).items():
-            lines = dict(rows)[k].split("\n")
-            want = "\n".join(v for i, v in enumerate(lines) if i not in gone)
-            if rare == 50:
-                assert got[k] == (len(gone), want)
-            else:
-                assert got[k][0] >= len(gone)
+    mixed = [(k, "\n".join(f"line {w} " + "abcdefgh" * (w % 5) for w in r.choices(range(-4, 40), k=r.randint(2, 9)))) for k in range(20, 80)]
+    mixed = [(k, t.replace("line -4 ", "  ")) for k, t in mixed] + [(90 + k, mixed[k][1]) for k in range(4)]
+    many = [(k, "\n".join([f"own {k}", "passage of two", "lines that is in all of them", f"end {k}"])) for k in range(100, 112)] + [(120, "lines that is in all of them\nx\npassage of two\nlines that is in all of them\ny\n" * 2)]
+    rows = order + short + mixed + many + [(200, "x" * 70_000), (201, "y\n" + "x" * 70_000), (202, ""), (203, "\n\n"), (204, "ab\ncd"), (205, "ab\ncd")]
+    for rare in (3, 100):
+        got = {v.doc_id: tuple(v[1:]) for v in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rare=rare).collect()}
+        for (k, _), want in zip(rows, all_pairs(rows, rare)):
+            assert got[k] == want, k
+    assert any(v[1] for v in got.values())
+
+
+def test_rows_that_share_an_identifier_keep_their_own_lines(spark):
+    shared, other = "a line that both of them share, long enough", "a line of its own, and long enough as well"
+    rows = [(1, shared), (2, shared), (2, other), (None, other), (None, shared + "\n" + other), (None, "a line that nobody else has, long enough")]
+    got = Counter((r.doc_id, r.kept) for r in L.line_dedup(spark.createDataFrame([(*x, 5, "k") for x in rows], "doc_id long, text string, early long, key string")).collect())
+    assert got == Counter([(1, shared), (2, ""), (2, other), (None, ""), (None, ""), (None, "a line that nobody else has, long enough")])
 
 
 PII = [
