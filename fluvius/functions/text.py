@@ -63,9 +63,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def damaged(x: Column) -> Column:
-    """Signs of a broken name: replacement characters, question marks, odd brackets, capitals inside words."""
+    """Signs of a broken name: replacement characters, question marks, odd brackets or one between letters, capitals inside words."""
     count = lambda c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    return x.rlike("[�?]") | (count("(") != count(")")) | x.rlike(r"\p{Ll}\p{Lu}") | x.rlike(r"\p{L}\(")
+    return x.rlike("[�?]") | (count("(") != count(")")) | x.rlike(r"\p{Ll}\p{Lu}") | x.rlike(r"\p{L}\(\p{L}")
 
 
 def drop_words(x: Column, words: list[str]) -> Column:
@@ -74,16 +74,17 @@ def drop_words(x: Column, words: list[str]) -> Column:
 
 
 def numbers_in(question: Column) -> Column:
-    """Numbers of a question as plain digit texts: grouping by space or dot dropped, and read as decimals too."""
-    raw = F.regexp_extract_all(question, F.lit(r"\d+(?:[ .,]\d+)*"), F.lit(0))
-    forms = F.transform(raw, lambda r: F.array(F.regexp_replace(r, r"[ .,]", ""), F.regexp_replace(r, r"[ ,]", "."), r))
-    return F.array_distinct(F.flatten(forms))
+    """Numbers that a question can mean: of digits in groups, the whole, a decimal point at each separator, and each group alone."""
+    groups = F.transform(F.regexp_extract_all(question, F.lit(r"\d+(?:[ .,]\d+)*"), F.lit(0)), lambda g: F.split(g, "[ .,]"))
+    point = lambda p, i: F.concat(F.array_join(F.slice(p, 1, i), ""), F.lit("."), F.array_join(F.slice(p, i + 1, F.size(p)), ""))
+    places = lambda p: F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: i < F.size(p))
+    forms = F.transform(groups, lambda p: F.concat(F.array(F.array_join(p, "")), F.transform(places(p), lambda i: point(p, i)), p))
+    return F.array_distinct(F.transform(F.flatten(forms), lambda x: x.cast("double")))
 
 
 def grounded(question: Column, number: Column) -> Column:
     """Whether a number is written in the question."""
-    text = F.regexp_replace(number.cast("string"), r"\.0$", "")
-    return F.array_contains(numbers_in(question), text)
+    return F.array_contains(numbers_in(question), number.cast("double"))
 
 
 def short_sha(x: Column, length: int = 12) -> Column:

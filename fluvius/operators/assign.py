@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by an order that ends in a unique column; nulls last.
@@ -28,11 +30,11 @@ def largest_share(parts: DataFrame, key: str, owner: str, amount: str, least: fl
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1, 2, 3, ... in the order of unique columns, without a sort in one task.
 
-    Rows are range-partitioned and sorted; counts by partition give each its offset.
+    Rows are range-partitioned and sorted, and written once, so that counts by partition
+    (each row's offset) and the rows themselves see the same partitions.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    ranged = ranged.withColumn("_in", inside)
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))  # a row per partition, not per row

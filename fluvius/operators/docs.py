@@ -21,7 +21,21 @@ def upsert_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(key), action.alias("action"))
 
 
+#: Digests of identifiers are taken over buckets of this width, then over the buckets.
+BUCKET = 1024
+
+
 def ids_key(df: DataFrame, key: str) -> DataFrame:
-    """One row, ids_sha: digest of the sorted distinct identifiers, joined by commas."""
-    ids = F.array_join(F.transform(F.sort_array(F.collect_set(key)), lambda x: x.cast("string")), ",")
-    return df.agg(F.sha2(ids, 256).alias("ids_sha"))
+    """One row, ids_sha: digest of the distinct whole-number identifiers.
+
+    A tree of digests, so that no task holds all of them: identifiers fall into buckets of
+    BUCKET neighbours, the sorted list of each bucket is digested, and so are neighbouring
+    buckets with their digests, until the root is left.  No identifiers have the digest of
+    an empty text.
+    """
+    level = df.select(F.col(key).cast("long").alias("at")).filter("at IS NOT NULL").distinct().withColumn("sha", F.col("at").cast("string"))
+    for _ in range(7):  # 1024 ** 6.4 is the range of a long
+        level = level.groupBy(F.floor(F.col("at") / BUCKET).alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "sha"))).alias("l"))
+        level = level.select(F.col("up").alias("at"), F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["at"].cast("string"), x["sha"])), ","), 256).alias("sha"))
+    both = level.agg(F.array_join(F.array_sort(F.collect_list("sha")), ","))  # two at most: numbers below and from 0
+    return both.select(F.sha2(F.col(both.columns[0]), 256).alias("ids_sha"))

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (at or _own()).rstrip("/")
+
+
+@functools.cache
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="fluvius-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df``: what follows starts from written rows and survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="fluvius-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -16,24 +16,20 @@ def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 
 
 def smooth(values: list, step: float, shortest: float) -> list[tuple[int, int, object]]:
-    """Runs of one sequence in which a run shorter than ``shortest`` between two equal ones takes their value, to a fixpoint."""
-    out: list[list] = []
-    for i, v in enumerate(values):
-        v = None if pd.isna(v) else v
-        if out and out[-1][2] == v:
-            out[-1][1] = i + 1
-        else:
-            out.append([i, i + 1, v])
-    changed = True
-    while changed:
-        changed = False
-        for k in range(1, len(out) - 1):
-            a, b, c = out[k - 1 : k + 2]
-            if (b[1] - b[0]) * step < shortest and a[2] == c[2]:
-                out[k - 1 : k + 2] = [[a[0], c[1], a[2]]]
-                changed = True
-                break
-    return [tuple(x) for x in out]
+    """Runs of one sequence, smoothed pass by pass until none changes anything.
+
+    A pass judges the runs as it finds them: one shorter than ``shortest`` between two runs
+    of one value, which is not null, takes that value.
+    """
+    now = [None if pd.isna(v) else v for v in values]
+    while True:
+        edges = [0, *(i for i in range(1, len(now)) if now[i] != now[i - 1]), len(now)]
+        found = [(a, b, now[a]) for a, b in zip(edges, edges[1:]) if a < b]
+        short = [(b, a[2]) for a, b, c in zip(found, found[1:], found[2:]) if a[2] is not None and a[2] == c[2] and (b[1] - b[0]) * step < shortest]
+        if not short:
+            return found
+        for (a, b, _), v in short:
+            now[a:b] = [v] * (b - a)
 
 
 def runs_smoothed(df: DataFrame, key: str, order: list[str], value: str, step: float, shortest: float) -> DataFrame:

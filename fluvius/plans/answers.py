@@ -66,8 +66,14 @@ def catalogue_lines(spark, d):
     return rows.select("n_nationkey", F.format_string("%s (%s)", "n_name", "r_name").alias("line"), X.short_sha(F.concat_ws("|", "n_name", "r_name")).alias("version"))
 
 
-@query("""SELECT o_orderkey, k, CASE k WHEN 100 THEN o_orderkey % 3 = 0 WHEN 1000 THEN o_orderkey % 3 = 1 ELSE false END AS ok FROM orders CROSS JOIN (VALUES (100), (1000), (5)) AS n(k) WHERE o_orderkey < 300""")
+#: Questions, and the numbers among 100, 1000, 10, 5 and 1.5 that each names: fixed values.
+QUESTIONS = {"rivers of more than 100 km": [100], "at least 1 000 km long": [1000], "entre 10 20 km": [10], "over 50 reaches": [], "100,200 km": [100], "slope above 1,50": [1.5]}
+_NAMED = ", ".join(f"({k}, {n})" for k, found in enumerate(QUESTIONS.values()) for n in found)
+
+
+@query(f"""SELECT o_orderkey, CAST(k AS DOUBLE) AS k, EXISTS (SELECT 1 FROM (VALUES {_NAMED}) AS named(q, n) WHERE named.q = o_orderkey % {len(QUESTIONS)} AND named.n = k) AS ok
+ FROM orders CROSS JOIN (VALUES (100), (1000), (10), (5), (1.5)) AS n(k)""")
 def number_grounding(spark, d):
-    q = F.when(F.col("o_orderkey") % 3 == 0, "rivers of more than 100 km").when(F.col("o_orderkey") % 3 == 1, "at least 1 000 km long").otherwise("over 50 reaches")
-    rows = table(spark, d, "orders").filter("o_orderkey < 300").select("o_orderkey", q.alias("q"), F.explode(F.array(*map(F.lit, (100, 1000, 5)))).alias("k"))
+    q = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("o_orderkey") % len(QUESTIONS) + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", q.alias("q"), F.explode(F.array(*[F.lit(float(x)) for x in (100, 1000, 10, 5, 1.5)])).alias("k"))
     return rows.select("o_orderkey", "k", X.grounded(F.col("q"), F.col("k")).alias("ok"))

@@ -41,7 +41,12 @@ def conservation_check(spark, d):
     return C.conserved(rows, rows.filter("l_linenumber < 7"), "k", "v", 0.5)
 
 
-@query("SELECT sha256((SELECT string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_acctbal > 9000))) AS ids_sha")
+_TREE = "SELECT DISTINCT c_custkey AS num, CAST(c_custkey AS VARCHAR) AS sha FROM customer WHERE c_acctbal > 9000"
+for _ in range(7):
+    _TREE = f"SELECT CAST(floor(num / 1024.0) AS BIGINT) AS num, sha256(string_agg(num || ':' || sha, ',' ORDER BY num)) AS sha FROM ({_TREE}) GROUP BY 1"
+
+
+@query(f"SELECT sha256(coalesce(string_agg(sha, ',' ORDER BY sha), '')) AS ids_sha FROM ({_TREE})")
 def subset_key(spark, d):
     return D.ids_key(table(spark, d, "customer").filter("c_acctbal > 9000"), "c_custkey")
 

@@ -63,10 +63,10 @@ def cross_one_row(spark, d):
 
 
 @query("""SELECT l.l_orderkey, l.l_linenumber, CASE WHEN e.e = 0 THEN 'from' ELSE 'to' END AS side, CASE WHEN e.e = 0 THEN l.l_partkey ELSE l.l_suppkey END AS node
- FROM lineitem l CROSS JOIN (VALUES (0), (1)) AS e(e) WHERE l.l_orderkey % 10 = 0""")
+ FROM lineitem l CROSS JOIN (VALUES (0), (1)) AS e(e)""")
 def lateral_ends(spark, d):
     ends = F.array(F.struct(F.lit("from").alias("side"), F.col("l_partkey").alias("node")), F.struct(F.lit("to").alias("side"), F.col("l_suppkey").alias("node")))
-    return table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.inline(ends))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.inline(ends))
 
 
 @query("""WITH s AS (SELECT l_partkey AS k, s_nationkey AS owner, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
@@ -118,8 +118,11 @@ def arg_extrema(spark, d):
 @query("""SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS first_keys, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT o_orderpriority AS p FROM orders i WHERE i.o_custkey = s.o_custkey)) AS priorities
  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) s WHERE rn <= 10 GROUP BY o_custkey""")
 def ordered_list(spark, d):
-    keys = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))), 1, 10), lambda x: x["o_orderkey"].cast("string"))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(keys, ",").alias("first_keys"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    first = o.withColumn("rn", rank).filter("rn <= 10").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("rn", "o_orderkey"))).alias("l"))
+    kinds = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+    return first.select("o_custkey", F.array_join(F.transform("l", lambda x: x["o_orderkey"].cast("string")), ",").alias("first_keys")).join(kinds, "o_custkey")
 
 
 @query("SELECT user_id, bool_or(value > 90) AS any_high, bool_and(value > 1) AS all_over, any_value(user_id) AS some FROM events GROUP BY user_id")

@@ -14,10 +14,10 @@ KEYS = ("l_orderkey", "l_linenumber")
 
 
 def reaches(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey % 5 = 0").select(*KEYS, F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("grad"), (F.col("l_tax") * 100 + 10).alias("t"), (F.col("l_extendedprice") / 1000).alias("bod"))
+    return table(spark, d, "lineitem").select(*KEYS, F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("grad"), (F.col("l_tax") * 100 + 10).alias("t"), (F.col("l_extendedprice") / 1000).alias("bod"))
 
 
-_R = "r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount * 100 AS grad, l_tax * 100 + 10 AS t, l_extendedprice / 1000 AS bod FROM lineitem WHERE l_orderkey % 5 = 0)"
+_R = "r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount * 100 AS grad, l_tax * 100 + 10 AS t, l_extendedprice / 1000 AS bod FROM lineitem)"
 _W = f"{_R}, w AS (SELECT *, 5.0 * pow(q, 0.5) AS w, greatest(grad / 1000, 0.0002) AS s FROM r), h AS (SELECT *, pow(0.035 * q / (w * sqrt(s)), 0.6) AS h FROM w), v AS (SELECT *, q / (w * h) AS v FROM h)"
 _KA = "CASE WHEN h < 0.61 THEN 5.32 * pow(v, 0.67) / pow(h, 1.85) WHEN h > 3.45 * pow(v, 2.5) THEN 3.93 * pow(v, 0.5) / pow(h, 1.5) ELSE 5.026 * v / pow(h, 1.67) END"
 
@@ -49,11 +49,11 @@ def streeter_phelps(spark, d):
     return rows.select(*KEYS, F.round(H.deficit(F.col("bod"), F.lit(1.0), F.lit(H.KD), F.col("ka"), F.lit(2.0)), 6).alias("deficit"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax) AS n, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS load FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax) AS n, CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS load FROM lineitem),
  f AS (SELECT k, n, q, 0.1 + load / q AS c FROM p WHERE n = 1 UNION ALL SELECT p.k, p.n, greatest(f.q, p.q), (f.c * f.q + greatest(p.q - f.q, 0) * 0.1) / greatest(f.q + greatest(p.q - f.q, 0), 1e-12) + p.load / p.q FROM f JOIN p ON p.k = f.k AND p.n = f.n + 1)
  SELECT k, n, round(c, 9) AS c FROM f""")
 def mix_path(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 20 = 0")
+    rows = table(spark, d, "lineitem")
     path = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("q"), F.col("l_tax").cast("double").alias("load"))))
     folded = rows.groupBy(F.col("l_orderkey").alias("k")).agg(path.alias("p")).withColumn("c", H.path_fold(F.col("p"), 0.1))
     return folded.select("k", F.posexplode("c").alias("pos", "v")).select("k", (F.col("pos") + 1).cast("long").alias("n"), F.round("v", 9).alias("c"))
@@ -72,10 +72,10 @@ def uncertainty_grid(spark, d):
     return out.select(*KEYS, *[F.round(c, 6).alias(c) for c in ("least", "most", "central")])
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS base, l_discount * 10 + l_tax * 5 AS run FROM lineitem WHERE l_orderkey % 7 = 0), s AS (SELECT *, run - base AS slope FROM a)
+@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_discount * 10 AS base, l_discount * 10 + l_tax * 5 AS run FROM lineitem), s AS (SELECT *, run - base AS slope FROM a)
  SELECT k, CASE WHEN max(base) > 0.9 THEN 0.0 ELSE round(min(CASE WHEN slope > 0 THEN (0.9 - base) / slope END), 6) END AS admissible, CASE WHEN max(base) > 0.9 THEN 'base' ELSE 'load' END AS cause FROM s GROUP BY k""")
 def admissible_load(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("k"), (F.col("l_discount") * 10).alias("base"), (F.col("l_discount") * 10 + F.col("l_tax") * 5).alias("run"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_discount") * 10).alias("base"), (F.col("l_discount") * 10 + F.col("l_tax") * 5).alias("run"))
     slope = F.col("run") - F.col("base")
     room = F.min(F.when(slope > 0, (0.9 - F.col("base")) / slope))
     over = F.max("base") > 0.9
@@ -96,11 +96,11 @@ def scenario_shape(spark, d):
     return x.join(f, "user_id").groupBy("user_id").agg(F.round(F.max(F.when(F.col("day") == F.col("today"), F.col("v"))), 6).alias("today_value"), F.count_if(F.col("day") > F.col("today")).alias("following"), F.when(F.min("types") >= 1, F.round(F.avg("v"), 6)).alias("mean"))
 
 
-@query("WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS share FROM lineitem WHERE l_orderkey % 9 = 0) SELECT k, n, round(sum(share) OVER (PARTITION BY k ORDER BY n, share ROWS UNBOUNDED PRECEDING), 9) AS cumulative FROM s")
+@query("WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) SELECT k, n, round(sum(share) OVER (PARTITION BY k ORDER BY n, share ROWS UNBOUNDED PRECEDING), 9) AS cumulative FROM s")
 def network_shares(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("k").orderBy("n", "share")
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 9 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_quantity")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_quantity")
     share = F.col("l_quantity") / F.sum("l_quantity").over(Window.partitionBy("k"))
     return rows.withColumn("share", share).select("k", "n", F.round(F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("cumulative"))

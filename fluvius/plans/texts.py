@@ -10,22 +10,22 @@ from .registry import catalogue
 
 QUERIES, ORACLES, query = catalogue()
 
-_SQL_BARE = "lower(translate(substr(text, 1, 400), 'áéíóúüñäößàâçèêëîïôûùÁÉÍÓÚÜÑÄÖÀÂÇÈÊ', 'aeiouunaoßaaceeeiiouuAEIOUUNAOAACEE'))"
+_SQL_BARE = "lower(strip_accents(text))"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace({_SQL_BARE}, '\\s+', ' ', 'g')) AS norm FROM documents WHERE lang IN ('es', 'fr')")
+@query(f"SELECT doc_id, trim(regexp_replace({_SQL_BARE}, '\\s+', ' ', 'g')) AS norm FROM documents")
 def normalize_text(spark, d):
-    return table(spark, d, "documents").filter(F.col("lang").isin("es", "fr")).select("doc_id", X.normalize(F.substring("text", 1, 400)).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace({_SQL_BARE}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents WHERE lang IN ('es', 'fr')")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace({_SQL_BARE}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
 def slugify(spark, d):
-    return table(spark, d, "documents").filter(F.col("lang").isin("es", "fr")).select("doc_id", X.slugify(F.substring("text", 1, 400)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace({_SQL_BARE}, '[^a-z0-9°]+', ' ', 'g')) AS k FROM documents WHERE lang = 'de'")
+@query(f"SELECT doc_id, trim(regexp_replace({_SQL_BARE}, '[^a-z0-9°]+', ' ', 'g')) AS k FROM documents")
 def name_key(spark, d):
-    return table(spark, d, "documents").filter("lang = 'de'").select("doc_id", X.name_key(F.substring("text", 1, 400)).alias("k"))
+    return table(spark, d, "documents").select("doc_id", X.name_key(F.col("text")).alias("k"))
 
 
 @query("SELECT token, count(*) AS n FROM (SELECT regexp_extract(text, '^\\s*(\\S+)', 1) AS token FROM documents WHERE trim(text) <> '') WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 30")

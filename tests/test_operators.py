@@ -71,11 +71,29 @@ def test_flux_by_capacity(spark):
 
 
 @pytest.mark.parametrize(
-    "values, step, shortest, n",
-    [([1, 1, 1, 2, 1, 1, 1, 1, 1, 1], 1000, 2500, 1), ([1, 1, None, 1, 1], 500, 1500, 1), ([1, 2, 2, 1], 400, 200, 3), ([1, 1, 2, 3, 3], 500, 501, 3), ([2, 1, 1, 1], 400, 500, 2), ([None, 5, None], 300, 200, 3), ([1, 2, 1, 3, 1], 500, 1500, 1)],
+    "values, length, shortest, n",
+    [([1, 1, 1, 2, 1, 1, 1, 1, 1, 1], 1000, 250, 1), ([1, 1, None, 1, 1], 500, 150, 1), ([1, 2, 2, 1], 400, 200, 3), ([1, 1, 2, 3, 3], 500, 500, 3), ([2, 1, 1, 1], 400, 150, 2), ([None, 5, None], 300, 500, 3), ([1, 2, 1, 3, 1], 500, 150, 1)],
 )
-def test_smoothing(values, step, shortest, n):
-    assert len(sequences.smooth(values, step, shortest)) == n
+def test_smoothing(values, length, shortest, n):
+    assert len(sequences.smooth(values, length / len(values), shortest)) == n
+
+
+def test_smoothing_judges_all_runs_of_a_pass():
+    assert sequences.smooth([0, 1, 0, 1, 0, 0], 1, 2) == [(0, 6, 0)]
+    assert sequences.smooth([1, 2, 1, 2, 2], 1, 2) == [(0, 2, 1), (2, 5, 2)]
+
+
+@pytest.mark.parametrize(
+    "number, question, found",
+    [(100, "rios de mas de 100 km", True), (1000, "mas de 1 000 m", True), (1000, "mas de 1.000 m", True), (1.5, "pendiente mayor a 1 5", True), (1.5, "slope above 1.5", True), (5, "mas de 50 km", False), (300, "mas de 200 km", False), (100, "the longest river", False), (10, "entre 10 20 km", True), (200, "100,200 km", True), (1.5, "1,50", True)],
+)
+def test_number_in_question(spark, number, question, found):
+    assert spark.range(1).select(X.grounded(F.lit(question), F.lit(float(number))).alias("x")).head().x is found
+
+
+@pytest.mark.parametrize("name, broken", [("Rio(2)", False), ("Rio (Viejo)", False), ("Rio(Viejo)", True), ("ParedPn", True), ("Ca?ada", True), ("Rio (Viejo", True), ("Rio Negro", False)])
+def test_damaged_names(spark, name, broken):
+    assert spark.range(1).select(X.damaged(F.lit(name)).alias("x")).head().x is broken
 
 
 def test_runs_of_nulls(spark):
