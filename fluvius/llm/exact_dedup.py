@@ -17,6 +17,8 @@ from .common import Scratch, collapsed, settings, table
 
 #: Copies compared with one replica of the keeper's text; larger groups get more replicas.
 COPIES_PER_REPLICA = 256
+#: Batches in which a whole table is indexed: each is flushed as runs and merged with the level so far.
+BATCHES = 2
 FILTERED = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "200000"}
 
 
@@ -37,8 +39,8 @@ class DigestIndex:
     def flush(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Write a batch's sorted runs, without a shuffle; a batch flushed again replaces its runs."""
         sha = F.unhex(F.sha2(F.encode(collapsed(F.col(text_col)), "UTF-8"), 256))
-        rows = docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha"))
-        rows = rows.select("doc_id", "sha", F.substring("sha", 1, self.key_bytes).alias("key"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("name"), sha.alias("sha"))
+        rows = rows.select("doc_id", "name", "sha", F.substring("sha", 1, self.key_bytes).alias("key"))
         run = self.scratch.cut(rows.sortWithinPartitions("key", "doc_id"), f"run-{batch}", **FILTERED)
         if f"run-{batch}" not in self.runs:
             self.runs.append(f"run-{batch}")
@@ -79,32 +81,34 @@ def resolve(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_co
     spark, scratch = index.spark, index.scratch
     level = scratch.read(index.level)
     joined = index.entries().join(level, "key")
-    members = scratch.cut(joined.select("doc_id", "sha", "key", "keep_id", "n"), "members")
-    groups = members.filter(F.col("n") >= 2).select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"), "key", "keep_id", "n").dropDuplicates(["m_id", "m_sha"])
+    members = scratch.cut(joined.select("doc_id", "name", "sha", "key", "keep_id", "n"), "members")
+    # Rows are known by a hash of identifier and text, so a null identifier is no exception; those that share it are compared by their digests.
+    groups = members.filter(F.col("n") >= 2).select(F.col("doc_id").alias("m_id"), F.col("name").alias("m_name"), F.col("sha").alias("m_sha"), "key", "keep_id", "n").dropDuplicates(["m_name", "m_sha"])
     groups = scratch.cut(groups.withColumn("in_group", F.lit(1)), "groups").filter(F.col("in_group") == 1).drop("in_group")
-    texts = docs.select(F.col(id_col).alias("t_id"), collapsed(F.col(text_col)).alias("t"))
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("t_name"), collapsed(F.col(text_col)).alias("t"))
     # Only members of groups move: Spark builds a Bloom filter of their identifiers while that fits.
     with settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="256m"):
-        whole = texts.join(groups, F.col("t_id") == F.col("m_id"))
-        whole = whole.filter(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("m_sha")).drop("t_id")
+        whole = texts.join(groups, F.col("t_name") == F.col("m_name"))
+        whole = whole.filter(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("m_sha")).drop("t_name")
         replicas = F.greatest(F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int"), F.lit(1))
-        part = F.pmod(F.xxhash64("m_id"), replicas).cast("int")
-        keepers = whole.filter(F.col("m_id") == F.col("keep_id")).dropDuplicates(["key"])
+        part = F.pmod(F.col("m_name"), replicas).cast("int")
+        keepers = whole.filter(F.col("m_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["key"])
         keepers = keepers.select(F.col("key").alias("k_key"), F.col("t").alias("k_t"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("k_part"))
-        copies = whole.filter(F.col("m_id") != F.col("keep_id")).withColumn("part", part)
+        copies = whole.filter(~F.col("m_id").eqNullSafe(F.col("keep_id"))).withColumn("part", part)
         checked = copies.join(keepers, (F.col("key") == F.col("k_key")) & (F.col("part") == F.col("k_part")), "left")
         strays = checked.filter(~F.coalesce(F.encode("t", "UTF-8") == F.encode("k_t", "UTF-8"), F.lit(False)))
         strays = scratch.cut(strays.select("key").distinct(), "strays")
     if strays.isEmpty():
         return members.select("doc_id", "keep_id", F.col("n").alias("group_size"), "sha")
     # Digests collided: in those groups the bytes themselves are the key.
-    open_groups = groups.join(F.broadcast(strays) if strays.count() < 10_000 else strays, "key", "left_semi")
-    apart = texts.join(open_groups, F.col("t_id") == F.col("m_id")).filter(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("m_sha"))
-    apart = scratch.cut(apart.select("m_id", "m_sha", F.col("key").alias("a_key"), "t"), "apart")
+    open_groups = groups.join(strays, "key", "left_semi")
+    apart = texts.join(open_groups, F.col("t_name") == F.col("m_name")).filter(F.unhex(F.sha2(F.encode("t", "UTF-8"), 256)) == F.col("m_sha"))
+    apart = scratch.cut(apart.select("m_id", "m_name", "m_sha", F.col("key").alias("a_key"), "t"), "apart")
     by_text = apart.groupBy("a_key", "t").agg(F.min("m_id").alias("a_keep"), F.count(F.lit(1)).alias("a_n"))
-    fixed = apart.join(by_text, ["a_key", "t"]).select("m_id", "m_sha", "a_keep", "a_n").dropDuplicates(["m_id", "m_sha"])
-    out = members.join(fixed, (F.col("doc_id") == F.col("m_id")) & (F.col("sha") == F.col("m_sha")), "left")
-    return out.select("doc_id", F.coalesce("a_keep", "keep_id").alias("keep_id"), F.coalesce("a_n", "n").alias("group_size"), "sha")
+    fixed = apart.join(by_text, ["a_key", "t"]).select("m_name", "m_sha", "a_keep", "a_n").dropDuplicates(["m_name", "m_sha"])
+    out = members.join(fixed, (F.col("name") == F.col("m_name")) & (F.col("sha") == F.col("m_sha")), "left")
+    fixed_one = F.col("m_name").isNotNull()
+    return out.select("doc_id", F.when(fixed_one, F.col("a_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("a_n", "n").alias("group_size"), "sha")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = 32) -> DataFrame:
@@ -117,8 +121,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is kept.  An empty table gives no rows.  Other columns are not looked at.
     """
     index = DigestIndex(docs.sparkSession, key_bytes)
-    index.flush(docs, "all", id_col, text_col)
-    index.compact()
+    share = F.pmod(F.xxhash64(id_col), F.lit(BATCHES))
+    for k in range(BATCHES):
+        index.flush(docs.filter(share == k), str(k), id_col, text_col)
+        index.compact()
     rows = resolve(index, docs, id_col, text_col)
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
