@@ -34,6 +34,18 @@ def test_rollup_follows_inserts_revisions_and_deletes(spark):
     assert sorted(rollup.committed()) == ["a", "b"]
 
 
+def test_query_counts_the_whole_table(spark):
+    """Against tokens counted text by text, without batches."""
+    import re
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for name, n in ((T.WORDS, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), (T.BPE, len(T.encoding(T.BPE_FILE).encode_ordinary(r.text or "")))):
+            docs, tokens = want.get((r.source, r.lang, name), (0, 0))
+            want[r.source, r.lang, name] = docs + 1, tokens + n
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in T.query(spark, sf).collect()} == want
+
+
 def test_long_texts_are_cut_where_tokens_end(monkeypatch):
     monkeypatch.setattr(T, "PART", 50)
     text = " ".join(t or "" for _, t in texts())[:20000]
