@@ -109,6 +109,15 @@ def search(a: np.ndarray, sa: np.ndarray, items: Items):
     return length, lo, hi, wlo, whi
 
 
+def ranges(items: Items, lo: np.ndarray, hi: np.ndarray):
+    """Bounds and window of each range that some window has, once however many windows are equal, and the numbers of their items."""
+    picks = np.flatnonzero(hi > lo)
+    which, back = np.unique(np.stack([lo[picks], hi[picks], items.window[picks]], 1), axis=0, return_inverse=True)
+    order = np.argsort(back.ravel(), kind="stable")
+    owners = np.split(items.item[picks[order]], np.cumsum(np.bincount(back.ravel(), minlength=len(which)))[:-1]) if len(which) else []
+    return which[:, 0], which[:, 1], which[:, 2], [np.unique(x) for x in owners]
+
+
 class Shard:
     """The words of some documents, and the suffix array of the stretches that can match."""
 
@@ -165,11 +174,13 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.append(reach[first[1:] - 1], reach[-1])], 1)
 
 
-def _mark(items: Items, last: bool, kind):
+def _mark(block, last: bool, kind):
     def mark(batches):
+        items = block.value
         for held, texts, shard in _shards(batches, items):
             _, _, _, lo, hi = search(shard.a, shard.sa, items)
-            doc, place, which = shard.where(lo, hi, np.flatnonzero(hi > lo))
+            lo, hi, window, owners = ranges(items, lo, hi)
+            doc, place, which = shard.where(lo, hi, np.arange(len(lo)))
             order = np.argsort(doc, kind="stable")
             doc, place, which = doc[order], place[order], which[order]
             cuts = np.searchsorted(doc, np.arange(len(held) + 1))
@@ -177,10 +188,10 @@ def _mark(items: Items, last: bool, kind):
             for k, row in enumerate(held):
                 c = slice(cuts[k], cuts[k + 1])
                 local = place[c] - shard.starts[k]
-                spans = np.stack([local, local + items.window[which[c]]], 1)
+                spans = np.stack([local, local + window[which[c]]], 1)
                 old = np.array(row["spans"], np.int64).reshape(-1, 2)
                 spans = _merge(np.concatenate([old, spans]))
-                found = sorted({items.ids[i] for i in np.unique(items.item[which[c]])} | set(row["item_ids"]))
+                found = sorted({items.ids[i] for r in np.unique(which[c]) for i in owners[r]} | set(row["item_ids"]))
                 for col, v in zip(out, (row["doc_id"], None if last else row["text"], len(texts[k]), spans.ravel().tolist(), found)):
                     col.append(v)
             kinds = (kind, pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
@@ -189,8 +200,9 @@ def _mark(items: Items, last: bool, kind):
     return mark
 
 
-def _longest(items: Items):
+def _longest(block):
     def longest(batches):
+        items = block.value
         for held, _, shard in _shards(batches, items):
             length, lo, hi, _, _ = search(shard.a, shard.sa, items)
             doc, place, which = shard.where(lo, hi, np.flatnonzero(length >= items.window))
@@ -200,13 +212,14 @@ def _longest(items: Items):
     return longest
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[Items]:
-    """The benchmark in blocks of bounded size; each is what one pass carries."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) :
+    """The number of blocks, and the benchmark block by block: of bounded size, broadcast, the one before given up by the driver."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head().n
     n = -(-total // BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [Items([(r.item_id, r.text) for r in rows.filter(part == k).collect()], window) for k in range(n)]
+    send = rows.sparkSession.sparkContext.broadcast
+    return n, (send(Items([(r.item_id, r.text) for r in rows.filter(part == k).collect()], window)) for k in range(n))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
@@ -221,12 +234,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
     kind = next(t for c, t in rows.dtypes if c == "doc_id")
     arrow = to_arrow_type(rows.schema["doc_id"].dataType)
-    blocks = _blocks(benchmark, item_col, bench_text_col, window)
+    n, blocks = _blocks(benchmark, item_col, bench_text_col, window)
     for k, items in enumerate(blocks):
-        rows = rows.select("doc_id", "text", "spans", "item_ids").mapInArrow(_mark(items, k + 1 == len(blocks), arrow), f"doc_id {kind}, text string, n_words long, spans array<long>, item_ids array<string>")
-        if k + 1 < len(blocks):
+        rows = rows.select("doc_id", "text", "spans", "item_ids").mapInArrow(_mark(items, k + 1 == n, arrow), f"doc_id {kind}, text string, n_words long, spans array<long>, item_ids array<string>")
+        if k + 1 < n:
             rows = scratch.cut(rows, f"pass-{k}")
             scratch.drop(f"pass-{k - 1}")
+            items.unpersist()
     return rows.drop("text")
 
 
@@ -234,7 +248,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """For each item suffix that matches a window or more: the longest match over all shards and every place of it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
-    for items in _blocks(benchmark, item_col, bench_text_col, window):
+    for items in _blocks(benchmark, item_col, bench_text_col, window)[1]:
         part = rows.mapInArrow(_longest(items), "item_id string, item_pos long, n_words long, doc_id long, doc_pos long")
         found = part if found is None else found.unionByName(part)
     found = Scratch(docs.sparkSession, "matches").cut(found, "all")
@@ -243,17 +257,27 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` without a hit word, all columns as they are; a pass over the rows, without a shuffle."""
+    """Rows of ``docs`` without a hit word, all columns as they are; a pass over the rows for each block, without a shuffle.
+
+    A null text has no words and stays, repeated rows are judged alike, and an empty
+    benchmark or table is no error.
+    """
+    scratch = Scratch(docs.sparkSession, "clean")
+    n, blocks = _blocks(benchmark, "item_id", "text", window)
     out = docs
-    for items in _blocks(benchmark, "item_id", "text", window):
+    for k, items in enumerate(blocks):
         out = out.mapInArrow(_drop(items), docs.schema)
+        if k + 1 < n:
+            out = scratch.cut(out, f"pass-{k}")
+            scratch.drop(f"pass-{k - 1}")
+            items.unpersist()
     return out
 
 
-def _drop(items: Items):
-    get = items.vocabulary.get
-
+def _drop(block):
     def drop(batches):
+        items = block.value
+        get = items.vocabulary.get
         for batch in batches:
             texts = [[get(w, 0) for w in words(t)] for t in batch.column("text").to_pylist()]
             total = np.cumsum([len(t) for t in texts])
@@ -263,7 +287,8 @@ def _drop(items: Items):
                 rows = np.flatnonzero(part == p)
                 shard = Shard([texts[i] for i in rows], items)
                 _, _, _, lo, hi = search(shard.a, shard.sa, items)
-                doc, _, _ = shard.where(lo, hi, np.flatnonzero(hi > lo))
+                lo, hi, _, _ = ranges(items, lo, hi)
+                doc, _, _ = shard.where(lo, hi, np.arange(len(lo)))
                 keep[rows[doc]] = False
             yield batch.filter(pa.array(keep))
 

@@ -65,3 +65,12 @@ def test_empty_tables(spark):
     d, b = documents(spark), items(spark)[1]
     assert D.contaminated_spans(d.limit(0), b).count() == 0
     assert D.contaminated_spans(d, b.limit(0)).filter("size(spans) > 0").count() == 0
+
+
+def test_equal_windows_are_expanded_once():
+    items = D.Items([("a", "go " * 400), ("b", "go " * 30)], 10)
+    word = next(iter(items.vocabulary.values()))
+    shard = D.Shard([[word] * 20_000], items)
+    _, _, _, lo, hi = D.search(shard.a, shard.sa, items)
+    lo, hi, window, owners = D.ranges(items, lo, hi)
+    assert len(lo) == 1 and hi[0] - lo[0] == 19_991 and window[0] == 10 and sorted(items.ids[i] for i in owners[0]) == ["a", "b"]
