@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -22,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="fluvius-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (at or _own()).rstrip("/")
+
+
+@functools.cache
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="fluvius-")
 
 
 @contextlib.contextmanager
@@ -50,14 +55,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
 
     def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
-        df.write.options(**options).mode("overwrite").parquet(self.path(name))
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+            df.write.options(**options).mode("overwrite").parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
