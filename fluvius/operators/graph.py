@@ -36,7 +36,7 @@ def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callab
     # A hop to a stop node is final: the walk ends above it.
     ends = at.filter("_stop").select(F.col("id").alias("_end"))
     known = at.select(F.col("id").alias("_id"))
-    at = at.join(ends, F.col("hop") == F.col("_end"), "left").withColumn("_done", (F.col("hop") == 0) | F.col("_end").isNotNull()).drop("_end", "_stop")
+    at = at.join(ends, F.col("hop") == F.col("_end"), "left").withColumn("_done", F.col("hop").isNull() | (F.col("hop").cast("string") == "0") | F.col("_end").isNotNull()).drop("_end", "_stop")
     at = at.join(known, F.col("hop") == F.col("_id"), "left").withColumn("_done", F.col("_done") | F.col("_id").isNull()).drop("_id")
     at = cut(at)
     for _ in range(_rounds(at)):
