@@ -199,7 +199,7 @@ def stations_padded(spark, d):
     return rows.select("p_partkey", "t.first", "t.last", F.array_join(F.transform("t.s", lambda s: s.cast("long").cast("string")), ",").alias("s"))
 
 
-@query("SELECT s_suppkey, 3 AS n, CAST(s_suppkey AS DOUBLE) AS x1, 0.5 AS y1, CASE WHEN s_nationkey < 10 THEN 0 ELSE 1 END AS segment FROM supplier")
+@query("SELECT s_suppkey, 3 AS n, CAST(s_suppkey AS DOUBLE) AS x1, CAST(0.5 AS DOUBLE) AS y1, CASE WHEN s_nationkey < 10 THEN 0 ELSE 1 END AS segment FROM supplier")
 def wkt_points(spark, d):
     k = F.col("s_suppkey")
     points = R.line_wkt(F.concat(F.lit("LINESTRING ("), k, F.lit(" 0.5, "), k + 10, F.lit(" 0.5, "), k + 30, F.lit(" 0.5)")))
