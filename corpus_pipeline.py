@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept and
 returns the rows that go on; all but the last keep the columns of ``documents``.  A stage
 is written as Parquet in the cluster's shared folder and read again for the next one.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty
+tables and further columns of any name.  A null text counts as empty: the model judges it,
+one of all empty texts stays, it is near nothing and holds no benchmark window.  Rows with
+a null doc_id are judged by their text and stay behind those that have one.  Of rows that
+repeat doc_id and text one stays.  An empty table gives no rows; without labels the model is
+fitted on nothing, and without a benchmark all rows are clean.
 """
 
 from __future__ import annotations
