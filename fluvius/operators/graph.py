@@ -62,7 +62,9 @@ def terminal(nodes: DataFrame) -> DataFrame:
 def first_marked_below(nodes: DataFrame, marked: Column) -> DataFrame:
     """id, found: the first node strictly below for which ``marked`` holds, or null."""
     out = climb(nodes.withColumn("_m", marked), {"_x": F.lit(0)}, {"_x": lambda a, b: a}, until=F.col("_m"))
-    return out.select("id", F.nullif("hop", F.lit(0).cast("long")).alias("found"))
+    # A walk also ends where the table lacks the node below: nothing is found there.
+    there = nodes.filter(marked).select(F.col("id").alias("found")).distinct()
+    return out.select("id", "hop").join(there, F.col("hop") == F.col("found"), "left").select("id", "found")
 
 
 def crosses(nodes: DataFrame, flag: Column) -> DataFrame:
@@ -88,13 +90,22 @@ def subtree_sums(nodes: DataFrame, amount: str) -> DataFrame:
 
 
 def closure(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """id: the roots (column id) and everything that drains to them; cycles do no harm."""
-    seen = front = cut(roots.select("id").distinct())
-    while not front.isEmpty():
-        up = nodes.join(front.select(F.col("id").alias("_r")), F.col("next") == F.col("_r")).select("id").distinct()
-        front = cut(up.join(seen, "id", "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+    """id: the roots (column id) and everything that drains to them, in log2(depth) rounds; cycles do no harm.
+
+    After k rounds a node knows whether a root is fewer than 2^k below it.  What is still
+    open once that exceeds the number of nodes goes round in a cycle without a root.
+    """
+    marks = roots.select(F.col("id").alias("_r")).distinct()
+    at = nodes.join(marks, F.col("id") == F.col("_r"), "left").select("id", F.col("next").alias("hop"), F.col("_r").isNotNull().alias("hit"))
+    at = cut(at.join(marks, F.col("hop") == F.col("_r"), "left").select("id", "hop", (F.col("hit") | F.col("_r").isNotNull()).alias("hit")))
+    for _ in range(_rounds(at)):
+        open_ = at.filter(~F.col("hit") & (F.col("hop") != 0))
+        if open_.isEmpty():
+            break
+        below = at.select(F.col("id").alias("_b"), F.col("hop").alias("_h"), F.col("hit").alias("_hit"))
+        moved = open_.join(below, F.col("hop") == F.col("_b"), "left").select("id", F.coalesce("_h", F.lit(0).cast("long")).alias("hop"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+        at = cut(at.filter(F.col("hit") | (F.col("hop") == 0)).unionByName(moved))
+    return at.filter("hit").select("id").unionByName(marks.select(F.col("_r").alias("id"))).distinct()
 
 
 def best_children(nodes: DataFrame, area: str, claimed: Column | None = None) -> DataFrame:
@@ -196,13 +207,14 @@ def streams(nodes: DataFrame, key: str, max_gap: int) -> DataFrame:
 
 
 def prune_ends(nodes: DataFrame, keep: Column) -> DataFrame:
-    """Nodes left after removing, again and again, ends (nothing above or nothing below) that do not qualify."""
-    left = cut(nodes.withColumn("_keep", keep))
-    while True:
-        ids = left.select(F.col("id").alias("_i"))
-        nexts = left.select(F.col("next").alias("_n")).distinct()
-        marked = left.join(ids, F.col("next") == F.col("_i"), "left").join(nexts, F.col("id") == F.col("_n"), "left")
-        fresh = cut(marked.filter(F.col("_keep") | (F.col("_i").isNotNull() & F.col("_n").isNotNull())).drop("_i", "_n"))
-        if fresh.count() == left.count():
-            return left.drop("_keep")
-        left = fresh
+    """Nodes left after removing, again and again, ends (nothing above or nothing below) that do not qualify.
+
+    Those are the nodes that qualify, and the ones between two such: with one above and one
+    below.  Both are known in log2(depth) rounds; a cycle raises.
+    """
+    marked = cut(nodes.withColumn("_keep", F.coalesce(keep, F.lit(False))))
+    links = marked.select("id", "next", F.col("_keep").alias("_own"))
+    below = first_marked_below(links, F.col("_own")).filter("found IS NOT NULL").select(F.col("id").alias("_below"))
+    above = subtree_sums(links.withColumn("_n", F.col("_own").cast("long")), "_n").filter("total > 0").select(F.col("id").alias("_above"))
+    between = marked.filter(~F.col("_keep")).join(below, F.col("id") == F.col("_below"), "left_semi").join(above, F.col("id") == F.col("_above"), "left_semi")
+    return marked.filter("_keep").unionByName(between).drop("_keep")

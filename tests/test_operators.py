@@ -35,6 +35,34 @@ def test_closure_and_cycles(spark):
         graph.depth(loop)
 
 
+def test_closure_of_a_long_chain(spark):
+    n = 100_000
+    t = spark.range(1, n + 1).select("id", (F.col("id") - 1).alias("next"))
+    assert graph.closure(t, roots(spark, 40_000)).count() == n - 40_000 + 1
+
+
+def test_closure_roots_and_side_cycles(spark):
+    t = nodes(spark, [(1, 0), (2, 1), (3, 2), (5, 6), (6, 5), (7, 5), (8, 99)])
+    assert ids(graph.closure(t, roots(spark, 1, 3))) == [1, 2, 3]
+    assert ids(graph.closure(t, roots(spark, 6))) == [5, 6, 7]
+    assert ids(graph.closure(t, roots(spark, 99))) == [8, 99]
+    assert ids(graph.closure(t.limit(0), roots(spark, 4))) == [4]
+
+
+def test_pruned_ends_equal_repeated_removal(spark):
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        below = {k: (0 if k == 1 or r.random() < 0.05 else 999 if r.random() < 0.05 else r.randint(1, k - 1)) for k in range(1, 61)}
+        keep = {k for k in below if r.random() < 0.15}
+        left = set(below)
+        while gone := {k for k in left if k not in keep and (below[k] not in left or not any(below[x] == k for x in left))}:
+            left -= gone
+        t = nodes(spark, [(k, n, k in keep) for k, n in below.items()], "id long, next long, good boolean")
+        assert ids(graph.prune_ends(t, F.col("good"))) == sorted(left)
+
+
 def test_deep_chain(spark):
     n = 3_000
     t = spark.range(1, n + 1).select("id", (F.col("id") - 1).alias("next"))
