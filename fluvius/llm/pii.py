@@ -1,12 +1,16 @@
 """PII: keyed surrogates for detected entities, with DataFrame functions only.
 
-One pattern finds e-mail and IP addresses, phone numbers, card numbers, secrets in hex and
-titled names.  Every distinct entity (in canonical form: lower case, digits only, ...)
-gets a surrogate of its type from a keyed digest: same shape, same script, same gender for
-names, a valid check digit where the card had one.  A surrogate that two entities share, or
-that is an entity of the corpus itself, is drawn again with the next attempt, until all are
-distinct.  Since the mapping is by canonical form, an entity has one surrogate everywhere,
-written in the format of each place.
+One pattern finds e-mail, IPv4 and IPv6 addresses, phone, card, social-security and account
+(IBAN) numbers, secrets (hex digests and tokens with public prefixes) and titled names.  An
+alternative can only start where a word starts, so a text is read about once.  Every distinct
+entity (in canonical form: lower case, digits only, ...) gets a surrogate of its type from a
+keyed digest: same shape, same script, same gender for names, valid check digits where the
+card or account had them.  Names are replaced word by word, so that a surname stands for one
+surrogate with and without a given name.  A surrogate that two entities share, or that is an
+entity of the corpus itself, is drawn again with the next attempt, until all are distinct.
+Since the mapping is by canonical form, an entity has one surrogate everywhere, written in
+the format of each place.  Untitled names are not found, nor are IBANs with letters beyond
+the bank code; two spellings of one IPv6 address count as two entities.
 """
 
 from __future__ import annotations
@@ -17,36 +21,72 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 # The forms that are looked for.
-EMAIL = r"[A-Za-z0-9._%+\-\p{L}]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+HOST = r"[\p{L}\p{N}\-]++"
+EMAIL = rf"(?<![._%+\-\p{{L}}])[A-Za-z0-9._%+\-\p{{L}}]++@{HOST}(?:\.{HOST})+"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
-PHONE = r"(?<![\dA-Za-z])\+\d{1,3}[ \-]?\(?\d{2,4}\)?[ \-]?\d{3}[ \-]?\d{4}(?!\d)"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])"
-CARD = r"(?<![\dA-Za-z])(?:\d{4}[ \-]?){3}\d{4}(?![\dA-Za-z])"
+HEX = r"[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![:.])(?:(?:{HEX}:){{7}}{HEX}|(?:[0-9A-Fa-f]{{4}}|{HEX}(?::{HEX}){{1,5}})::(?:{HEX}(?::{HEX}){{0,4}})?)(?![0-9A-Za-z:])"
+CARD = r"(?:\d{4}[ \-]?){3}\d{4}(?![\dA-Za-z])"
+PHONE = r"\+\d{1,3}[ \-]?\(?\d{2,4}\)?[ \-]?\d{3}[ \-]?\d{4}(?!\d)"
+LOCAL = r"(?<![\-./])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|0\d{2,4}[/\-]\d{3,4}[ \-]?\d{3,4})(?![\d\-])"
+SSN = r"(?<![\-./])\d{3}-\d{2}-\d{4}(?![\d\-])"
+IBAN = r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?\d{4}){2,6}(?: ?\d{1,3})?(?![0-9A-Za-z])"
+SECRET = r"(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])"
+TOKEN = r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![0-9A-Za-z])"
 MALE = r"(?:Mr|Herr|Monsieur|Señor|Sr|Господин)"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)"
-NAME = rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-PATTERN = "|".join((EMAIL, IPV4, PHONE, SECRET, CARD, NAME))
-TITLE = rf"^({MALE}|{FEMALE})(\.? )"
+NEUTRAL = r"(?:Dr|Dra|Prof|Доктор|Профессор)"
+LEAD = rf"(?:(?:{MALE}|{FEMALE})\.? (?:{NEUTRAL}\.? )?|{NEUTRAL}\.? )"
+WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){LEAD}{WORD}(?: {WORD})?"
+PATTERN = rf"(?<![A-Za-z0-9])(?:{'|'.join((EMAIL, IPV6, CARD, PHONE, LOCAL, SSN, IBAN, SECRET, TOKEN, NAME))})|{IPV4}"
+TITLE = rf"^{LEAD}"
 # Syllables of invented names, by script, and their ends by gender.
 LATIN = ("ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta", "ve", "li", "no", "ka", "re")
 CYRILLIC = ("ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ли", "но", "ка", "ре")
-ENDS = {("m", "l"): "n", ("f", "l"): "na", ("m", "c"): "н", ("f", "c"): "на"}
+# Syllables end in a vowel, so a written name tells its stem.
+ENDS = {"l": {"m": "n", "f": "na", "n": "s"}, "c": {"m": "н", "f": "на", "n": "с"}}
+END = "(?:na|n|s|на|н|с)$"
+LETTERS = {"l": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзиклмнопрстуфхцчшыэюя"}
+CYR = r"\p{IsCyrillic}"
+
+
+#: The key of the query, where the session sets no ``spark.fluvius.pii.key``.
+KEY = "release-1"
 
 
 def kind_of(e: Column) -> Column:
+    """The type of a place; ``name`` for titled names."""
     return (
         F.when(e.contains("@"), "email")
-        .when(e.rlike(TITLE), F.when(e.rlike(rf"^{FEMALE}\b"), "name_f").otherwise("name_m"))
-        .when(e.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ipv4")
-        .when(e.startswith("+"), "phone")
-        .when(F.length(e) == 40, "secret")
-        .otherwise("card")
+        .when(e.rlike(TITLE), "name")
+        .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
+        .when(e.contains(":"), "ipv6")
+        .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(e.rlike(r"^(?:[0-9a-f]{40}|[0-9A-F]{40})$"), "secret")
+        .when(e.rlike(r"^(?:AKIA|gh[pousr]_)"), "token")
+        .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
+        .when(e.rlike(r"^(?:\d{4}[ \-]?){3}\d{4}$"), "card")
+        .otherwise("phone")
     )
 
 
+def parts_of(place: Column) -> Column:
+    """A place as an array of (lead, kind, gender, piece): the words of a name, or the place alone."""
+    part = lambda lead, kind, gender, piece: F.struct(lead.alias("lead"), kind.alias("kind"), gender.alias("gender"), piece.alias("piece"))
+    lead, none = F.regexp_extract(place, TITLE, 0), F.lit("")
+    words = F.split(F.regexp_replace(place, TITLE, ""), " ")
+    gender = F.when(lead.rlike(rf"^{FEMALE}[. ]"), "f").when(lead.rlike(rf"^{MALE}[. ]"), "m").otherwise("n")
+    given, surname, last = F.lit("given"), F.lit("surname"), F.element_at(words, -1)
+    two = F.array(part(lead, given, gender, F.get(words, F.lit(0))), part(F.lit(" "), surname, gender, last))
+    named = F.when(F.size(words) == 2, two).otherwise(F.array(part(lead, surname, gender, last)))
+    kind = kind_of(place)
+    return F.when(kind == "name", named).otherwise(F.array(part(none, kind, none, place)))
+
+
 def canonical(kind: Column, e: Column) -> Column:
     digits = F.regexp_replace(e, r"[^0-9]", "")
-    return F.when(kind.isin("phone", "card"), digits).when(kind.startswith("name"), F.regexp_replace(e, TITLE, "")).otherwise(F.lower(e))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind.isin("email", "ipv4", "ipv6", "secret"), F.lower(e)).otherwise(e)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -61,11 +101,13 @@ def _chars(text: Column, f) -> Column:
 
 
 def _like(text: Column, digest: Column) -> Column:
-    """Letters for letters, digits for digits, all else as it is."""
+    """Letters for letters of their script and case, digits for digits, all else as it is."""
 
     def one(c, i):
         b = _byte(digest, i)
-        return F.when(c.rlike(r"\d"), F.pmod(b, F.lit(10)).cast("string")).when(c.rlike(r"[\p{L}]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(b, F.lit(26)) + 1, F.lit(1))).otherwise(c)
+        pick = lambda letters: F.substring(F.lit(letters), F.pmod(b, F.lit(len(letters))) + 1, F.lit(1))
+        letter = F.when(c.rlike(CYR), pick(LETTERS["c"])).otherwise(pick(LETTERS["l"]))
+        return F.when(c.rlike(r"\d"), F.pmod(b, F.lit(10)).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return _chars(text, one)
 
@@ -81,8 +123,19 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
 
 
+def _mod97(account: Column) -> Column:
+    """An account in canonical form, its first four characters last, as a number mod 97 (1 if its check digits are right)."""
+    turned = F.concat(F.substring(account, 5, 60), F.substring(account, 1, 4))
+
+    def add(total, i):
+        c = F.substring(turned, i + 1, F.lit(1))
+        return F.pmod(F.when(c.rlike(r"\d"), total * 10 + c.cast("int")).otherwise(total * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(turned) - 1), F.lit(0), add)
+
+
 def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
-    """The canonical surrogate of a canonical entity."""
+    """The canonical surrogate of a canonical entity; of a name, the stem."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 512)
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(domain, ".", -1)
@@ -93,27 +146,40 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
     body = F.substring(_like(entity, digest), 1, 15)
     card = F.concat(body, F.when(_luhn(entity) == 0, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.pmod(_byte(digest, F.lit(40)), F.lit(10)).cast("string")))
 
+    hexed = _chars(entity, lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(F.pmod(_byte(digest, i), F.lit(16))))))
+    country, bank = F.substring(entity, 1, 2), _like(F.substring(entity, 5, 60), digest)
+    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), bank))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_mod97(entity) == 1, check).otherwise(_like(F.substring(entity, 3, 2), F.reverse(digest))), bank)
+    token = F.concat(F.substring(entity, 1, 4), _like(F.substring(entity, 5, 60), digest))
+
     def name(script, syllables):
         parts = F.array(*[F.lit(s) for s in syllables])
-        word = lambda w: F.initcap(F.concat(*[F.element_at(parts, F.pmod(_byte(digest, F.lit(8 * w + k)), F.lit(16)) + 1) for k in range(4)], F.when(kind == "name_f", ENDS["f", script]).otherwise(ENDS["m", script])))
-        return F.when(entity.contains(" "), F.concat(word(0), F.lit(" "), word(1))).otherwise(word(0))
-
-    names = F.when(entity.rlike(r"\p{IsCyrillic}"), name("c", CYRILLIC)).otherwise(name("l", LATIN))
-    return F.when(kind == "email", email).when(kind == "ipv4", ip).when(kind == "secret", secret).when(kind == "phone", phone).when(kind == "card", card).otherwise(names)
-
-
-def written(kind: Column, place: Column, out: Column) -> Column:
-    """A canonical surrogate in the format of one place: separators, case, title."""
-    ordinal = lambda i: F.length(F.regexp_replace(F.substring(place, F.lit(1), i + 1), r"[^0-9]", ""))
-    spaced = _chars(place, lambda c, i: F.when(c.rlike(r"\d"), F.substring(out, ordinal(i), F.lit(1))).otherwise(c))
+        one = lambda k: F.element_at(parts, F.pmod(_byte(digest, F.lit(k)), F.lit(16)) + 1)
+        # Later attempts draw longer words, so that any number of names finds distinct ones.
+        more = [F.when(attempt >= 2 * k, one(3 + k)).otherwise("") for k in range(1, 9)]
+        return F.initcap(F.concat(*[one(k) for k in range(4)], *more))
+
+    names = F.when(entity.rlike(CYR), name("c", CYRILLIC)).otherwise(name("l", LATIN))
+    made = {"email": email, "ipv4": ip, "ipv6": hexed, "secret": secret, "token": token, "phone": phone, "ssn": _like(entity, digest), "iban": iban, "card": card}
+    return F.coalesce(*[F.when(kind == k, v) for k, v in made.items()], names)
+
+
+def written(kind: Column, gender: Column, place: Column, out: Column) -> Column:
+    """A canonical surrogate in the format of one place: separators, case, the end for the gender."""
+    ends = {k: F.coalesce(*[F.when(gender == g, F.lit(e)) for g, e in v.items()], F.lit("")) for k, v in ENDS.items()}
+    named = F.concat(out, F.when(out.rlike(CYR), ends["c"]).otherwise(ends["l"]))
+    ordinal = lambda i: F.length(F.regexp_replace(F.substring(place, F.lit(1), i + 1), r"[^0-9A-Z]", ""))
+    spaced = _chars(place, lambda c, i: F.when(c.rlike(r"[0-9A-Z]"), F.substring(out, ordinal(i), F.lit(1))).otherwise(c))
     cased = _chars(out, lambda c, i: F.when(F.substring(place, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    titled = F.concat(F.regexp_extract(place, TITLE, 1), F.regexp_extract(place, TITLE, 2), out)
-    return F.when(kind.isin("phone", "card"), spaced).when(kind == "email", cased).when(kind.startswith("name"), titled).otherwise(out)
+    # In hex a digit may stand where a capital was: the place's own case is that of all its letters.
+    hexed = F.when(place.rlike("[A-F]"), F.upper(out)).otherwise(out)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "email", cased).when(kind.isin("secret", "ipv6"), hexed).when(kind.isin("given", "surname"), named).otherwise(out)
 
 
 def mapping(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """kind, entity -> surrogate: distinct within a kind and never an entity of the corpus."""
-    known = entities.select(F.col("kind").alias("k_kind"), F.col("entity").alias("k_entity"))
+    stem = F.when(F.col("kind").isin("given", "surname"), F.regexp_replace("entity", END, "")).otherwise(F.col("entity"))
+    known = entities.select(F.col("kind").alias("k_kind"), stem.alias("k_entity"))
     now = scratch.cut(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), key, F.lit(0))), "map-0")
     k = 0
     while True:
@@ -135,7 +201,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """doc_id, text (entities replaced), n_entities for every row.
 
     A null text stays null with no entities; an empty one stays empty.  Rows that repeat
-    are replaced alike; a row with a null doc_id is treated like any other.  An empty
+    are replaced alike; a row with a null doc_id is treated like any other.  ``key`` is a
+    secret of the caller: the same key gives the same surrogates.  An empty
     table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -145,12 +212,14 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     tag = F.xxhash64("doc_id", "text")
     found = F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1))
     places = rows.select("doc_id", tag.alias("tag"), F.posexplode(found).alias("pos", "place")).distinct()
-    places = places.withColumn("kind", kind_of(F.col("place")))
-    places = scratch.cut(places.withColumn("entity", canonical(F.col("kind"), F.col("place"))), "places")
+    places = places.select("doc_id", "tag", "pos", F.posexplode(parts_of(F.col("place"))).alias("part", "p")).select("doc_id", "tag", "pos", "part", "p.*")
+    places = scratch.cut(places.withColumn("entity", canonical(F.col("kind"), F.col("piece"))), "places")
     names = mapping(places.select("kind", "entity").distinct(), key, scratch)
-    put = places.join(names, ["kind", "entity"]).select("doc_id", "tag", "pos", written(F.col("kind"), F.col("place"), F.col("surrogate")).alias("w"))
-    put = put.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("put"))
-    put = scratch.cut(put.select(F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), F.transform("put", lambda x: x["w"]).alias("put")), "put")
+    put = places.join(names, ["kind", "entity"]).select("doc_id", "tag", "pos", "part", F.concat("lead", written(F.col("kind"), F.col("gender"), F.col("piece"), F.col("surrogate"))).alias("w"))
+    in_order = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "w"))), lambda x: x["w"])
+    put = put.repartition("doc_id", "tag").groupBy("doc_id", "tag", "pos").agg(F.array_join(in_order("part"), "").alias("w"))
+    put = put.groupBy("doc_id", "tag").agg(in_order("pos").alias("put"))
+    put = scratch.cut(put.select(F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), "put"), "put")
     # Only texts with an entity move; the others go straight through.
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
     joined = rows.filter(has).join(put, F.col("doc_id").eqNullSafe(F.col("p_id")) & (tag == F.col("p_tag")), "left")
@@ -163,5 +232,5 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents"), "release-1")
+    out = pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.fluvius.pii.key", KEY))
     return out.select("doc_id", "n_entities", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"), F.when(F.col("n_entities") > 0, F.col("text")).alias("replaced_text"))
