@@ -218,3 +218,25 @@ def prune_ends(nodes: DataFrame, keep: Column) -> DataFrame:
     above = subtree_sums(links.withColumn("_n", F.col("_own").cast("long")), "_n").filter("total > 0").select(F.col("id").alias("_above"))
     between = marked.filter(~F.col("_keep")).join(below, F.col("id") == F.col("_below"), "left_semi").join(above, F.col("id") == F.col("_above"), "left_semi")
     return marked.filter("_keep").unionByName(between).drop("_keep")
+
+
+def shortest(edges: DataFrame, sources: DataFrame, blocked: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Least distance from any of ``sources`` (id) along directed edges (a, b, w >= 0): id, dist, source; ties go to the lowest source.
+
+    ``blocked`` nodes (id) are never entered, ``ends`` (id) are reached but not passed.  Each
+    round relaxes the edges of the nodes that the round before has improved, so a run takes
+    as many rounds as the longest least path has edges, at least, and each is two joins by key.
+    """
+    open_edges = edges.join(blocked.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "w")
+    if ends is not None:
+        open_edges = open_edges.join(ends.select(F.col("id").alias("a")), "a", "left_anti")
+    open_edges = cut(open_edges)
+    best = frontier = cut(sources.select("id").join(blocked.select("id"), "id", "left_anti").distinct().select("id", F.struct(F.lit(0.0).alias("dist"), F.col("id").alias("source")).alias("m")))
+    while True:
+        to = F.struct((F.col("m.dist") + F.col("w")).alias("dist"), F.col("m.source").alias("source"))
+        step = frontier.join(open_edges, F.col("id") == F.col("a")).select(F.col("b").alias("id"), to.alias("m")).groupBy("id").agg(F.min("m").alias("m"))
+        known = best.select("id", F.col("m").alias("old"))
+        frontier = cut(step.join(known, "id", "left").filter(F.col("old").isNull() | (F.col("m") < F.col("old"))).select("id", "m"))
+        if frontier.isEmpty():
+            return best.select("id", "m.dist", "m.source")
+        best = cut(best.unionByName(frontier).groupBy("id").agg(F.min("m").alias("m")))

@@ -68,6 +68,60 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, size: float) -> DataFr
     return rows.groupBy("id", "poly").agg(F.count_if(crossing).alias("n")).filter("n % 2 = 1").select("id", "poly")
 
 
+def clip_lines(segments: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """Parts of segments (id, seg, x0, y0, x1, y1) inside polygons of edges (poly, x0, y0, x1, y1): id, seg, poly, lo, hi as shares of the segment.
+
+    Segments and edges meet in the cells of a grid; a crossing counts in the cell that holds
+    it.  Between crossings the side alternates from that of the segment's start (even-odd, so
+    that rings inside rings are holes).  Parts come out whole, one row for each run inside.
+    A segment without length, or with a null, has no part.
+    """
+    from pyspark.sql import Window
+
+    key = ["id", "seg", "poly"]
+    s = segments.select("id", "seg", "x0", "y0", "x1", "y1").filter("x0 + y0 + x1 + y1 IS NOT NULL AND NOT (x0 = x1 AND y0 = y1)")
+    e = edges.select("poly", *[F.col(c).alias(f"{c[0]}{c[1]}e") for c in ("x0", "y0", "x1", "y1")])
+    s_cells = s.select("*", _cells(F.least("x0", "x1"), F.greatest("x0", "x1"), size).alias("cx")).select("*", _cells(F.least("y0", "y1"), F.greatest("y0", "y1"), size).alias("cy"))
+    e_cells = e.select("*", _cells(F.least("x0e", "x1e"), F.greatest("x0e", "x1e"), size).alias("cx")).select("*", _cells(F.least("y0e", "y1e"), F.greatest("y0e", "y1e"), size).alias("cy"))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    # On which side of the segment's line an end of the edge lies; an end on the line is on the right.
+    side = lambda k: dx * (F.col(f"y{k}e") - F.col("y0")) - dy * (F.col(f"x{k}e") - F.col("x0"))
+    met = s_cells.join(e_cells, ["cx", "cy"]).withColumn("a", side(0)).withColumn("b", side(1)).filter("(a > 0) != (b > 0)")
+    u = F.col("a") / (F.col("a") - F.col("b"))
+    met = met.withColumn("px", F.col("x0e") + u * (F.col("x1e") - F.col("x0e"))).withColumn("py", F.col("y0e") + u * (F.col("y1e") - F.col("y0e")))
+    t = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / (dx * dx + dy * dy)
+    # Rounding may put the point just outside both boxes: it then counts in their nearest cell.
+    held = lambda v, *ends: cell(F.greatest(F.least(v, F.least(F.greatest(*ends[:2]), F.greatest(*ends[2:]))), F.greatest(F.least(*ends[:2]), F.least(*ends[2:]))), size)
+    here = (F.col("cx") == held(F.col("px"), "x0", "x1", "x0e", "x1e")) & (F.col("cy") == held(F.col("py"), "y0", "y1", "y0e", "y1e"))
+    crossings = met.withColumn("t", t).filter(here & (F.col("t") > 0) & (F.col("t") < 1)).select(*key, "t", F.lit(1).alias("flip"))
+    starts = point_in_polygon(s.select(F.struct("id", "seg").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y")), edges, size)
+    starts = starts.select("id.id", "id.seg", "poly", F.lit(0.0).alias("t"), F.lit(1).alias("flip"))
+    rows = crossings.unionByName(starts).groupBy(*key, "t").agg(F.sum("flip").alias("flip"))
+    w = Window.partitionBy(*key).orderBy("t")
+    runs = rows.withColumn("inside", F.sum("flip").over(w.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1).withColumn("hi", F.coalesce(F.lead("t").over(w), F.lit(1.0)))
+    return runs.filter("inside").select(*key, F.col("t").alias("lo"), "hi")
+
+
+def locate(line: Column, point: Column) -> Column:
+    """Where a line (array of (x, y)) is nearest to a point: struct of share (0 to 1) of its length, dist, x, y; the first of equal places."""
+    n = F.size(line) - 2
+    leg = lambda i: F.sqrt(F.pow(F.get(line, i + 1)["x"] - F.get(line, i)["x"], 2) + F.pow(F.get(line, i + 1)["y"] - F.get(line, i)["y"], 2))
+
+    def near(i):
+        a, b = F.get(line, i), F.get(line, i + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.when(leg(i) == 0, F.lit(0.0)).otherwise(((point["x"] - a["x"]) * dx + (point["y"] - a["y"]) * dy) / (dx * dx + dy * dy))
+        t = F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0))
+        x, y = a["x"] + t * dx, a["y"] + t * dy
+        return F.struct(F.sqrt(F.pow(point["x"] - x, 2) + F.pow(point["y"] - y, 2)).alias("dist"), i.alias("i"), t.alias("t"), x.alias("x"), y.alias("y"))
+
+    at = F.sequence(F.lit(0), n)
+    sum_to = lambda k: F.aggregate(F.filter(at, lambda i: i < k), F.lit(0.0), lambda acc, i: acc + leg(i))
+    best = F.array_min(F.transform(at, near))
+    share = (sum_to(best["i"]) + best["t"] * leg(best["i"])) / F.nullif(sum_to(n + 1), F.lit(0.0))
+    return F.struct(F.coalesce(share, F.lit(0.0)).alias("share"), best["dist"].alias("dist"), best["x"].alias("x"), best["y"].alias("y"))
+
+
 def covered_interval(s: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     """Arc length [lo, hi] of segments s (n, 4) within ``r`` of segments t (n, 4); nan if none.
 

@@ -147,3 +147,16 @@ def path_metrics(spark, d):
     add = lambda a, b: a + b
     out = G.climb(t, {"reaches": F.lit(1).cast("long"), "km": F.col("area"), "wx": F.col("wx")}, {"reaches": add, "km": add, "wx": add})
     return out.select("id", "reaches", "km", F.round(F.col("wx") / F.col("km"), 6).alias("weighted"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT c_custkey + 1 AS id FROM customer),
+ e AS (SELECT a, b, w FROM (SELECT id AS a, 2 * id AS b, id % 7 + 1 AS w FROM n UNION ALL SELECT id, 2 * id + 1, id % 5 + 2 FROM n UNION ALL SELECT id, 3 * id, id % 3 + 3 FROM n) WHERE b IN (SELECT id FROM n) AND b % 17 <> 0 AND a % 23 <> 0),
+ p AS (SELECT id, CAST(0 AS BIGINT) AS dist, id AS source FROM n WHERE id IN (1, 5) UNION SELECT b, dist + w, source FROM p JOIN e ON e.a = p.id)
+ SELECT id, CAST(min(dist) AS DOUBLE) AS dist, arg_min(source, dist * 10 + source) AS source FROM p GROUP BY id""")
+def shortest_paths(spark, d):
+    n = tree(spark, d).select("id")
+    to = lambda b, w: n.select(F.col("id").alias("a"), b.alias("b"), w.cast("double").alias("w"))
+    i = F.col("id")
+    e = to(2 * i, i % 7 + 1).unionByName(to(2 * i + 1, i % 5 + 2)).unionByName(to(3 * i, i % 3 + 3))
+    e = e.join(n.withColumnRenamed("id", "b"), "b", "left_semi")
+    return G.shortest(e, n.filter("id IN (1, 5)"), n.filter("id % 17 = 0"), n.filter("id % 23 = 0"))

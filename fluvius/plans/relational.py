@@ -245,3 +245,8 @@ def range_join(spark, d):
     return table(spark, d, "orders").join(F.broadcast(periods), (day >= F.col("f")) & (day < F.col("t"))).select("o_orderkey", "period")
 
 
+@query("SELECT p_partkey, p_size FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity = p_size)")
+def exists_two_columns(spark, d):
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("q"))
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    return part.withColumn("q", F.col("p_size").cast("double")).join(sold, ["p_partkey", "q"], "left_semi").select("p_partkey", "p_size")

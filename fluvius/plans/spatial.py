@@ -55,19 +55,61 @@ def snap_clusters(spark, d):
     return G.components(links, p).withColumnRenamed("component", "cluster")
 
 
-@query(f"WITH {_P} SELECT id, 'box' AS poly FROM p WHERE x > -0.5 AND x <= 0.4 AND y >= -0.3 AND y < 0.6 AND NOT (x > 0.1 AND x <= 0.2 AND y >= 0.0 AND y < 0.2)")
-def point_in_polygon(spark, d):
+def _box(spark):
+    """Edges of a rectangle with a rectangular hole."""
     rings = [[(-0.5, -0.3), (0.4, -0.3), (0.4, 0.6), (-0.5, 0.6)], [(0.1, 0.0), (0.2, 0.0), (0.2, 0.2), (0.1, 0.2)]]
     rows = [("box", *a, *b) for r in rings for a, b in zip(r, r[1:] + r[:1])]
-    edges = spark.createDataFrame(rows, "poly string, x0 double, y0 double, x1 double, y1 double")
-    return S.point_in_polygon(points(spark, d).select("id", "x", "y"), edges, 0.1)
+    return spark.createDataFrame(rows, "poly string, x0 double, y0 double, x1 double, y1 double")
 
 
-@query()
-def line_coverage(spark, d):
+@query(f"WITH {_P} SELECT id, 'box' AS poly FROM p WHERE x > -0.5 AND x <= 0.4 AND y >= -0.3 AND y < 0.6 AND NOT (x > 0.1 AND x <= 0.2 AND y >= 0.0 AND y < 0.2)")
+def point_in_polygon(spark, d):
+    return S.point_in_polygon(points(spark, d).select("id", "x", "y"), _box(spark), 0.1)
+
+
+def segments(spark, d):
+    """A segment from each point to that of the next id."""
     p = points(spark, d).select("id", "x", "y")
     q = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    seg = p.join(q, "id").select("id", F.lit(0).alias("seg"), F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+    return p.join(q, "id").select("id", F.lit(0).alias("seg"), F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+
+
+def _share(x0, x1, y0, y1) -> str:
+    """SQL: the share of a segment inside a rectangle, by the parameters at its sides."""
+    axis = lambda c, lo, hi, pick: f"{pick}(({lo} - {c}0) / ({c}1 - {c}0), ({hi} - {c}0) / ({c}1 - {c}0))"
+    last = f"least(1.0, {axis('x', x0, x1, 'greatest')}, {axis('y', y0, y1, 'greatest')})"
+    first = f"greatest(0.0, {axis('x', x0, x1, 'least')}, {axis('y', y0, y1, 'least')})"
+    return f"greatest(0.0, {last} - {first})"
+
+
+@query(f"""WITH {_P}, s AS (SELECT a.id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM p a JOIN p b ON b.id = a.id + 1),
+ c AS (SELECT id, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, {_share(-0.5, 0.4, -0.3, 0.6)} - {_share(0.1, 0.2, 0.0, 0.2)} AS share FROM s)
+ SELECT id, round(share * len, 6) AS inside, round((1 - share) * len, 6) AS outside, share > 0 AS meets FROM c""")
+def line_clip(spark, d):
+    s = segments(spark, d).withColumn("len", F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2)))
+    parts = S.clip_lines(s, _box(spark), 0.1).groupBy("id", "seg").agg(F.sum(F.col("hi") - F.col("lo")).alias("share"))
+    share = F.coalesce("share", F.lit(0.0))
+    return s.join(parts, ["id", "seg"], "left").select("id", F.round(share * F.col("len"), 6).alias("inside"), F.round((1 - share) * F.col("len"), 6).alias("outside"), (share > 0).alias("meets"))
+
+
+def _foot(a, b) -> str:
+    t = f"greatest(0.0, least(1.0, ((q.x - {a}.x) * ({b}.x - {a}.x) + (q.y - {a}.y) * ({b}.y - {a}.y)) / (pow({b}.x - {a}.x, 2) + pow({b}.y - {a}.y, 2))))"
+    return f"{t} AS t{a}, sqrt(pow(q.x - {a}.x - {t} * ({b}.x - {a}.x), 2) + pow(q.y - {a}.y - {t} * ({b}.y - {a}.y), 2)) AS d{a}, sqrt(pow({b}.x - {a}.x, 2) + pow({b}.y - {a}.y, 2)) AS l{a}"
+
+
+@query(f"""WITH {_P}, f AS (SELECT a.id, {_foot('a', 'b')}, {_foot('b', 'c')} FROM p a JOIN p b ON b.id = a.id + 1 JOIN p c ON c.id = a.id + 2 JOIN p q ON q.id = a.id + 3)
+ SELECT id, round(least(da, db), 6) AS dist, round((CASE WHEN da <= db THEN ta * la ELSE la + tb * lb END) / (la + lb), 6) AS share FROM f""")
+def line_locate(spark, d):
+    p = points(spark, d).select("id", F.struct("x", "y").alias("p"))
+    later = [p.select((F.col("id") - k).alias("id"), F.col("p").alias(f"p{k}")) for k in (1, 2, 3)]
+    rows = p.join(later[0], "id").join(later[1], "id").join(later[2], "id")
+    at = S.locate(F.array("p", "p1", "p2"), F.col("p3"))
+    return rows.select("id", at.alias("at")).select("id", F.round("at.dist", 6).alias("dist"), F.round("at.share", 6).alias("share"))
+
+
+@query()
+def line_coverage(spark, d):
+    seg = segments(spark, d)
     out = S.line_coverage(seg, seg, 0.05, 0.25)
     return out.select("id", F.round("length", 9).alias("length"), F.round("covered", 9).alias("covered"))
 

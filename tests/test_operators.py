@@ -233,3 +233,36 @@ def test_mass_balance(spark):
     pts = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(x).alias("load")) for q, x in ((2.0, 0.0), (5.0, 0.0), (5.5, 0.0))])
     c = spark.range(1).select(H.path_fold(pts, 0.1).alias("c")).head().c
     assert c == pytest.approx([0.1, 0.1, 0.1])
+
+
+def test_clip_lines_alternates_at_crossings(spark):
+    rings = [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (2, 1), (2, 2), (1, 2)]]
+    edges = spark.createDataFrame([("p", *map(float, a + b)) for r in rings for a, b in zip(r, r[1:] + r[:1])], "poly string, x0 double, y0 double, x1 double, y1 double")
+    rows = [(1, -1.0, 1.5, 5.0, 1.5), (2, 3.0, 3.0, 3.5, 3.0), (3, 5.0, 5.0, 6.0, 5.0), (4, -1.0, -1.0, 5.0, 5.0), (5, 1.5, 1.5, 1.5, 3.0), (6, 3.0, 3.0, 3.0, 3.0), (7, 3.0, None, 3.0, 3.0)]
+    s = spark.createDataFrame([(i, 0, *r) for i, *r in rows], "id long, seg int, x0 double, y0 double, x1 double, y1 double")
+    for size in (0.5, 1.0, 10.0):
+        got = sorted((r.id, round(r.lo * 6, 6), round(r.hi * 6, 6)) for r in spatial.clip_lines(s, edges, size).collect())
+        assert got == [(1, 1.0, 2.0), (1, 3.0, 5.0), (2, 0.0, 6.0), (4, 1.0, 2.0), (4, 3.0, 5.0), (5, 2.0, 6.0)]
+    assert spatial.clip_lines(s, edges.limit(0), 1.0).count() == 0 == spatial.clip_lines(s.limit(0), edges, 1.0).count()
+
+
+def test_shortest_equals_a_heap(spark):
+    import heapq
+    import random
+
+    r = random.Random(3)
+    links = [(r.randrange(60), r.randrange(60), float(r.randint(0, 9))) for _ in range(220)]
+    blocked, ends, sources = {7, 11}, {13}, [0, 5]
+    want, heap = {}, [(0.0, s, s) for s in sources]
+    while heap:
+        d, src, n = heapq.heappop(heap)
+        if n in want or n in blocked:
+            continue
+        want[n] = (d, src)
+        if n not in ends:
+            for a, b, w in links:
+                if a == n:
+                    heapq.heappush(heap, (d + w, src, b))
+    one = lambda xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    out = graph.shortest(spark.createDataFrame(links, "a long, b long, w double"), one(sources), one(blocked), one(ends)).collect()
+    assert {x.id: (x.dist, x.source) for x in out} == want
