@@ -122,6 +122,17 @@ def locate(line: Column, point: Column) -> Column:
     return F.struct(F.coalesce(share, F.lit(0.0)).alias("share"), best["dist"].alias("dist"), best["x"].alias("x"), best["y"].alias("y"))
 
 
+def substring(line: Column, lo: Column, hi: Column) -> Column:
+    """The part of a line (array of (x, y)) between two shares (lo <= hi) of its length: its ends and the vertices strictly between."""
+    at = F.sequence(F.lit(0), F.size(line) - 2)
+    legs = F.transform(at, lambda i: F.sqrt(F.pow(F.get(line, i + 1)["x"] - F.get(line, i)["x"], 2) + F.pow(F.get(line, i + 1)["y"] - F.get(line, i)["y"], 2)))
+    sum_to = lambda k: F.aggregate(F.slice(legs, 1, k), F.lit(0.0), lambda a, b: a + b)
+    total = sum_to(F.size(legs))
+    between = F.filter(line, lambda p, i: (sum_to(i) > lo * total) & (sum_to(i) < hi * total))
+    xy = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    return F.concat(F.array(xy(interpolate_at(line, lo))), F.transform(between, xy), F.array(xy(interpolate_at(line, hi))))
+
+
 def covered_interval(s: np.ndarray, t: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     """Arc length [lo, hi] of segments s (n, 4) within ``r`` of segments t (n, 4); nan if none.
 

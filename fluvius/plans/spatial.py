@@ -107,6 +107,22 @@ def line_locate(spark, d):
     return rows.select("id", at.alias("at")).select("id", F.round("at.dist", 6).alias("dist"), F.round("at.share", 6).alias("share"))
 
 
+def _at(share: str, axis: str) -> str:
+    """SQL: a coordinate at a share of the line a, b, c with legs la, lb."""
+    t = f"({share} * (la + lb))"
+    return f"CASE WHEN {t} <= la THEN {axis}a + {t} / la * ({axis}b - {axis}a) ELSE {axis}b + ({t} - la) / lb * ({axis}c - {axis}b) END"
+
+
+@query(f"""WITH {_P}, f AS (SELECT a.id, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb, c.x AS xc, c.y AS yc, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS la, sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2)) AS lb FROM p a JOIN p b ON b.id = a.id + 1 JOIN p c ON c.id = a.id + 2)
+ SELECT id, CAST(CASE WHEN la > 0.4 * (la + lb) AND la < 0.7 * (la + lb) THEN 3 ELSE 2 END AS INTEGER) AS points, round({_at('0.4', 'x')}, 6) AS x_start, round({_at('0.4', 'y')}, 6) AS y_start, round({_at('0.7', 'x')}, 6) AS x_end, round({_at('0.7', 'y')}, 6) AS y_end FROM f""")
+def line_substring(spark, d):
+    p = points(spark, d).select("id", F.struct("x", "y").alias("p"))
+    b, c = (p.select((F.col("id") - k).alias("id"), F.col("p").alias(f"p{k}")) for k in (1, 2))
+    part = p.join(b, "id").join(c, "id").select("id", S.substring(F.array("p", "p1", "p2"), F.lit(0.4), F.lit(0.7)).alias("part"))
+    first, last = F.element_at("part", 1), F.element_at("part", -1)
+    return part.select("id", F.size("part").alias("points"), F.round(first["x"], 6).alias("x_start"), F.round(first["y"], 6).alias("y_start"), F.round(last["x"], 6).alias("x_end"), F.round(last["y"], 6).alias("y_end"))
+
+
 @query()
 def line_coverage(spark, d):
     seg = segments(spark, d)

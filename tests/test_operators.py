@@ -266,3 +266,10 @@ def test_shortest_equals_a_heap(spark):
     one = lambda xs: spark.createDataFrame([(x,) for x in xs], "id long")
     out = graph.shortest(spark.createDataFrame(links, "a long, b long, w double"), one(sources), one(blocked), one(ends)).collect()
     assert {x.id: (x.dist, x.source) for x in out} == want
+
+
+def test_substring_keeps_vertices_between(spark):
+    line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 0), (2, 2), (4, 2))])
+    row = spark.range(1).select(spatial.substring(line, F.lit(0.25), F.lit(0.75)).alias("a"), spatial.substring(line, F.lit(0.0), F.lit(1.0)).alias("b")).first()
+    assert [tuple(p) for p in row.a] == [(1.5, 0), (2, 0), (2, 0), (2, 2), (2.5, 2)]
+    assert [tuple(p) for p in row.b] == [(0, 0), (2, 0), (2, 0), (2, 2), (4, 2)]
