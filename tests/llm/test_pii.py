@@ -4,6 +4,8 @@ import re
 
 from fluvius.llm import pii as P
 
+from .edge import documents, texts
+
 FOUND = {
     "email": ["ann.lee@mail5.example.com", "Bob+x@corp-site.org", "иван@почта.рф", "иван@example.org"],
     "ipv4": ["10.0.0.1", "192.168.254.3"],
@@ -70,3 +72,11 @@ def test_many_names_stay_distinct(spark):
     words = [a + b + c for a in ("Ab", "Ce", "Di", "Fo") for b in ("ra", "lo", "mi", "ne", "pu") for c in ("na", "ck", "st", "lm", "rt", "x")]
     out = run(spark, [f"Mr {w}" for w in words])
     assert len({t for t, _ in out}) == len(words)
+
+
+def test_edge_rows_pass(spark):
+    """Nulls, empty and long texts, repeats and clashing columns: every row once, texts without entities as they were."""
+    d = documents(spark)
+    got = P.pseudonymise(d, "k").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((i, t) for i, t in texts()), key=repr)
+    assert {r.n_entities for r in got} == {0}
