@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_counts, warc
+from . import align, decontaminate, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_quality": quality.query,
+    "op11_token_alignment": align.query,
+    "op12_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_warc": warc.SQL,
     "op6_mixing": mixing.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
