@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontaminate, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, suffix_dedup, token_counts, warc
+from . import align, attention_lm, decontaminate, exact_dedup, jaccard_join, line_dedup, merkle, mixing, pii, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_token_alignment": align.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_attention_lm": attention_lm.query,
 }
 
 ORACLES = {
