@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is the set of its five-word shingles as 64-bit hashes.  Documents of equal sets
-are one class, known by the set's 128-bit digest, so repeated and null identifiers play no
+A document is the set of its five-word shingles as 128-bit hashes, of which the first
+halves find candidates and both halves decide a link.  Documents of equal sets are one class, known by the set's 128-bit digest, so repeated and null identifiers play no
 part until the end.  With a least overlap of t = ceil(0.75 n), two similar documents share
 at least L shingles of their first n - t + L in any common order, for every L up to t.
 
@@ -57,66 +57,65 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
 #: Bytes hashed together; longer texts are cut at white space.
 PIECE = 1 << 20
-_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int):
-    """Powers of the base and of its inverse, ``n`` of each at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k : k + 1] = [np.cumprod(p, dtype=np.uint64)]
-    return _powers
+def _word_hashes(raw: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word of ASCII-lower-cased bytes: the sum of mixed values of (place in the word, byte), mixed with the length.
 
-
-def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of each word of ASCII-lower-cased bytes: differences of one running polynomial sum, then mixed."""
+    The values follow from no recurrence, so no words cancel out by their structure.
+    """
     gap = np.concatenate(([True], _SPACE[raw], [True]))
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw))
+    size = end - begin
+    place = np.zeros(len(raw), np.int64)
+    place[begin] = begin - np.concatenate(([0], begin[:-1]))
+    v = (np.arange(len(raw)) - np.cumsum(place)).astype(np.uint64)  # the place in the word; what lies between words is not summed
+    v <<= np.uint64(8)
+    v |= raw
+    v += np.uint64(seed)
+    v *= _ODD[0]
+    v ^= v >> np.uint64(32)
+    v *= _ODD[3]
+    v ^= v >> np.uint64(29)
+    v *= _ODD[4]
+    v ^= v >> np.uint64(32)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(7)) * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[begin]) * down[begin]
-    h ^= (end - begin).astype(np.uint64) << np.uint64(40)
+    np.cumsum(v, out=total[1:])
+    h = total[end] - total[begin]
+    h += size.astype(np.uint64) * _ODD[2]
     h ^= h >> np.uint64(31)
     h *= _ODD[3]
     h ^= h >> np.uint64(32)
     return h
 
 
-def _words(raw: bytes) -> np.ndarray:
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word."""
     data = np.frombuffer(raw, np.uint8)
-    if len(data) <= PIECE:
-        return _word_hashes(data)
-    out, a = [], 0
+    cuts, a = [], 0
     while a < len(data):
         b = min(a + PIECE, len(data))
-        gaps = np.flatnonzero(_SPACE[data[a:b]])
         if b < len(data):
+            gaps = np.flatnonzero(_SPACE[data[a:b]])
             if len(gaps):
                 b = a + int(gaps[-1]) + 1
             else:
                 later = np.flatnonzero(_SPACE[data[b:]])
                 b = b + int(later[0]) if len(later) else len(data)
-        out.append(_word_hashes(data[a:b]))
+        cuts.append(data[a:b])
         a = b
-    return np.concatenate(out)
+    none = [np.zeros(0, np.uint64)]
+    return tuple(np.concatenate([_word_hashes(c, seed) for c in cuts] or none) for seed in (1, 0x51ED270B0A1F39C1))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes; fewer than five words are one shingle, none are no shingle."""
-    h = _words((text or "").encode("utf-8", "surrogatepass").lower())
+def _of_five(h: np.ndarray) -> np.ndarray:
+    """A hash of each five words; of all words where they are fewer."""
     n = len(h)
-    if not n:
-        return h
     if n < WORDS:
         return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=n)], np.uint64)
     s = h[: n - WORDS + 1] * _ODD[0]
@@ -125,13 +124,29 @@ def shingles(text: str | None) -> np.ndarray:
     s ^= s >> np.uint64(32)
     s *= _ODD[1]
     s ^= s >> np.uint64(29)
-    s.sort()
-    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+    return s
+
+
+def pairs_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles as 128 bits: the first halves, sorted, and the second ones beside them."""
+    h1, h2 = _words((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h1):
+        return h1, h2
+    first, second = _of_five(h1), _of_five(h2)
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate(([True], first[1:] != first[:-1]))
+    return first[new], second[order][new]
 
 
-def digest(s: np.ndarray) -> bytes | None:
-    """128 bits that stand for a set; None for the empty one."""
-    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+def shingles(text: str | None) -> np.ndarray:
+    """First halves, which find candidates; fewer than five words are one shingle, none are no shingle."""
+    return pairs_of(text)[0]
+
+
+def digest(s: tuple[np.ndarray, np.ndarray]) -> bytes | None:
+    """128 bits that stand for a set of 128-bit shingles; None for the empty one."""
+    return xxhash.xxh3_128_digest(s[0].tobytes() + s[1].tobytes()) if len(s[0]) else None
 
 
 def short(key: bytes) -> int:
@@ -143,6 +158,11 @@ def row_name(doc_id, text):
     return F.xxhash64(doc_id, text)
 
 
+def second_name(doc_id, text):
+    """Rows are the same where both names are."""
+    return F.xxhash64(F.lit("second"), text, doc_id)
+
+
 def _first_pass(batches):
     """Per row its set's size and digest; per task the chunks of its count sketch."""
     from pyspark import TaskContext
@@ -150,27 +170,28 @@ def _first_pass(batches):
     task = TaskContext.get().partitionId()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     shift, held, loose = np.uint64(64 - SKETCH_BITS), [], 0
-    names = ["rid", "doc_id", "n", "key", "cls", "chunk", "salt", "blob"]
+    names = ["rid", "sid", "doc_id", "n", "key", "cls", "chunk", "salt", "blob"]
     for batch in batches:
         n, keys = [], []
-        for text in batch.column(2).to_pylist():
-            s = shingles(text)
+        for text in batch.column(3).to_pylist():
+            both = pairs_of(text)
+            s = both[0]
             n.append(len(s))
-            keys.append(digest(s))
+            keys.append(digest(both))
             if len(s):
                 held.append((s >> shift).astype(np.int64))
             if (loose := loose + len(s)) > 1 << 20:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                 held, loose = [], 0
         m = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short(k) for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and short(k) for k in keys], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     if held:
         counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
     size = 1 << CHUNK_BITS
     blobs = [(c, zlib.compress(counts[c * size : (c + 1) * size].tobytes(), 1)) for c in range(1 << (SKETCH_BITS - CHUNK_BITS)) if counts[c * size : (c + 1) * size].any()]
     m = len(blobs)
     none = pa.nulls(m, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(m, pa.binary()), none, pa.array([c for c, _ in blobs], pa.int32()), pa.array([task] * m, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(m, pa.binary()), none, pa.array([c for c, _ in blobs], pa.int32()), pa.array([task] * m, pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
 
 
 def _add_sketches(key, rows):
@@ -227,10 +248,11 @@ def _first_postings(levels_b, hot: int):
         for batch in batches:
             cols, held = ([], [], [], []), 0
             for text in batch.column(0).to_pylist():
-                s = shingles(text)
+                both = pairs_of(text)
+                s = both[0]
                 if not len(s):
                     continue
-                cls = short(digest(s))
+                cls = short(digest(both))
                 if cls in done:
                     continue
                 if len(done) >= 100_000:
@@ -257,8 +279,9 @@ def _all_tokens(levels_b, hot: int):
         for batch in batches:
             cols, held = ([], [], [], [], []), 0
             for text, key, doc in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                s = shingles(text)
-                if doc in done or digest(s) != key:
+                both = pairs_of(text)
+                s = both[0]
+                if doc in done or digest(both) != key:
                     continue
                 if len(done) >= 100_000:
                     done.clear()
@@ -283,16 +306,19 @@ def _sets(batches):
     for batch in batches:
         docs, sets = [], []
         for text, key, doc in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            s = shingles(text)
-            if digest(s) == key:
+            both = pairs_of(text)
+            if digest(both) == key:
                 docs.append(doc)
-                sets.append(s.tobytes())
+                sets.append(both[0].tobytes() + both[1].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "s"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+    """Whether two sets, as rows of first halves and second ones (if any), are similar; a shingle is shared where all halves are."""
+    a, b = np.atleast_2d(a), np.atleast_2d(b)
+    _, at, by = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int((a[1:, at] == b[1:, by]).all(0).sum())
+    return 100 * both >= 75 * (a.shape[1] + b.shape[1] - both)
 
 
 def _verify(batches):
@@ -305,7 +331,7 @@ def _verify(batches):
         for k in range(len(xs)):
             if (xs[k], parts[k]) != at:
                 at, own = (xs[k], parts[k]), []
-            s = np.frombuffer(sets[k].as_buffer(), np.uint64)
+            s = np.frombuffer(sets[k].as_buffer(), np.uint64).reshape(2, -1)
             if ys[k] is None:
                 own.append(s.copy())
             elif any(similar(o, s) for o in own):
@@ -319,7 +345,7 @@ class _Join:
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "jaccard")
         text, doc = F.col(text_col), F.col(id_col).cast("long")
-        self.docs = docs.select(row_name(doc, text).alias("rid"), doc.alias("doc_id"), text.alias("text"))
+        self.docs = docs.select(row_name(doc, text).alias("rid"), second_name(doc, text).alias("sid"), doc.alias("doc_id"), text.alias("text"))
         self.hot_list, self.star = hot_list, star
 
     def texts_of(self, classes: DataFrame) -> DataFrame:
@@ -429,14 +455,14 @@ class _Join:
         return last if links is None else links.unionByName(last)
 
     def run(self) -> DataFrame:
-        """rid, doc_id, n, component_id, keep_doc and keep_rid of each row."""
+        """rid, sid, doc_id, n, key and keep (the row that stands for the component) of each row."""
         cut, drop = self.scratch.cut, self.scratch.drop
-        first = cut(self.docs.mapInArrow(_first_pass, "rid long, doc_id long, n long, key binary, cls long, chunk int, salt int, blob binary"), "first")
+        first = cut(self.docs.mapInArrow(_first_pass, "rid long, sid long, doc_id long, n long, key binary, cls long, chunk int, salt int, blob binary"), "first")
         self.sketch = self.spark.sparkContext.broadcast(_levels(first))
-        rows = cut(first.filter(F.col("n").isNotNull()).select("rid", "doc_id", "n", "key", "cls"), "rows")
+        rows = cut(first.filter(F.col("n").isNotNull()).select("rid", "sid", "doc_id", "n", "key", "cls"), "rows")
         drop("first")
         # The row that stands for a class: the least identifier, nulls last.
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("r")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "sid")).alias("r")
         classes = cut(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(least, F.min("cls").alias("cls")), "classes")
         postings = self.docs.select("text").mapInArrow(_first_postings(self.sketch, self.hot_list), "token long, cls long, salt int, need int")
         by = Window.partitionBy("token", "salt")
@@ -454,7 +480,7 @@ class _Join:
         keep = named.groupBy("group").agg(F.min("r").alias("keep"))
         named = named.join(keep, "group").select(F.col("key").alias("c_key"), "keep")
         out = rows.join(named, F.col("key") == F.col("c_key"), "left")
-        own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+        own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "sid")
         return out.withColumn("keep", F.when(F.col("key").isNull(), own).otherwise(F.col("keep")))
 
 
@@ -478,15 +504,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    decided = scratch.cut(_Join(docs, "doc_id", "text", HOT_LIST, STAR).run().select("rid", (F.col("rid") == F.col("keep.rid")).alias("kept"), "n"), "decisions")
-    gone = decided.filter(~F.col("kept")).select(F.col("rid").alias("gone_rid")).distinct()
+    kept = (F.col("rid") == F.col("keep.rid")) & (F.col("sid") == F.col("keep.sid"))
+    decided = scratch.cut(_Join(docs, "doc_id", "text", HOT_LIST, STAR).run().select("rid", "sid", kept.alias("kept"), "n"), "decisions")
+    gone = decided.filter(~F.col("kept")).select(F.col("rid").alias("gone_rid"), F.col("sid").alias("gone_sid")).distinct()
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("own_row")
-    rows = docs.select(own, row_name(F.col("doc_id").cast("long"), F.col("text")).alias("own_rid"))
-    rows = rows.join(gone, F.col("own_rid") == F.col("gone_rid"), "left_anti")
-    twice = scratch.cut(decided.filter(F.col("kept") & (F.col("n") > 0)).groupBy("rid").count().filter("count > 1").select(F.col("rid").alias("twice_rid")), "twice")
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(own, row_name(doc, F.col("text")).alias("own_rid"), second_name(doc, F.col("text")).alias("own_sid"))
+    rows = rows.join(gone, (F.col("own_rid") == F.col("gone_rid")) & (F.col("own_sid") == F.col("gone_sid")), "left_anti")
+    twice = decided.filter(F.col("kept") & (F.col("n") > 0)).groupBy("rid", "sid").count().filter("count > 1")
+    twice = scratch.cut(twice.select(F.col("rid").alias("twice_rid"), F.col("sid").alias("twice_sid")), "twice")
     if not twice.isEmpty():
-        again = rows.join(twice, F.col("own_rid") == F.col("twice_rid"), "left_semi").dropDuplicates(["own_rid"])
-        rows = rows.join(twice, F.col("own_rid") == F.col("twice_rid"), "left_anti").unionByName(again)
+        same = (F.col("own_rid") == F.col("twice_rid")) & (F.col("own_sid") == F.col("twice_sid"))
+        again = rows.join(twice, same, "left_semi").dropDuplicates(["own_rid", "own_sid"])
+        rows = rows.join(twice, same, "left_anti").unionByName(again)
     return rows.select("own_row.*")
 
 

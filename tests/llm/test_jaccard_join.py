@@ -114,3 +114,40 @@ def test_keep_one_and_empty(spark):
     assert len([1 for i, t in got if i is None]) == 1
     assert len([1 for _, t in got if not (t or "").split()]) == len([1 for _, t in texts() if not (t or "").split()])
     assert J.jaccard_components(d.limit(0)).count() == 0 and J.keep_one(d.limit(0)).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_long_words_without_a_common_letter_stay_apart(spark):
+    """Words and their complements, which sums of powers of an odd base cannot tell apart."""
+    rows, k = [], 0
+    for n in (64, 1024, 2048, 4096):
+        for letters in ("ab", "ba"):
+            rows.append((k, thue_morse(n, letters)))
+            rows.append((k + 1, "one two three four " + thue_morse(n, letters) + " five six seven"))
+            k += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df).collect()), key=repr) == by_hand(rows)
+    assert all(r.doc_id == r.component_id for r in J.jaccard_components(df).collect())
+    assert sorted(r.doc_id for r in J.keep_one(df).collect()) == [i for i, _ in rows]
+
+
+def test_words_hash_alike_wherever_they_stand():
+    r = random.Random(9)
+    some = ["".join(r.choice("abABé") for _ in range(r.randint(1, 40))) for _ in range(400)]
+    text = " \n".join(some)
+    raw = text.encode().lower()
+    for half, seed in zip(J._words(raw), (1, 0x51ED270B0A1F39C1), strict=True):
+        each = [int(J._word_hashes(np.frombuffer(w.encode().lower(), np.uint8), seed)[0]) for w in some]
+        assert half.tolist() == each
+        assert len(set(each)) == len({w.encode().lower() for w in some})
+
+
+def test_links_are_decided_by_both_halves():
+    a = np.array([[1, 2, 3, 4], [5, 6, 7, 8]], np.uint64)
+    b = a.copy()
+    assert J.similar(a, b)
+    b[1, :2] += np.uint64(1)
+    assert not J.similar(a, b)
