@@ -7,44 +7,43 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import cut, plain_plans
 
 
 def chase(rows: DataFrame) -> DataFrame:
-    """(id, nxt) -> (id, end, steps, low): where the walk ends, in how many steps, and the least id on it.
+    """(id, nxt) -> (id, end, steps, low, far): where the walk ends, in how many steps, the least id on it, and in how many steps that is met.
 
     Each id has one successor at most and is the successor of one at most; ``nxt`` is null
     at an end.  On a cycle ``end`` is null and ``low`` is the cycle's least id.  A round
     doubles what every walk has seen, so log2 of the longest walk rounds suffice.
     """
-    now = cut(rows.select("id", "nxt", F.col("id").alias("low"), F.when(F.col("nxt").isNull(), F.col("id")).alias("end"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("jump")))
-    n = now.count()
-    for _ in range(math.ceil(math.log2(max(n, 2))) + 1):
-        if not now.filter("end is null").limit(1).count():
-            break
-        ahead = now.select(F.col("id").alias("a_id"), F.col("nxt").alias("a_nxt"), F.col("low").alias("a_low"), F.col("end").alias("a_end"), F.col("steps").alias("a_steps"), F.col("jump").alias("a_jump"))
-        done = F.col("end").isNotNull()
-        now = cut(
-            now.join(ahead, F.col("nxt") == F.col("a_id"), "left").select(
-                "id",
-                F.when(~done, F.col("a_nxt")).alias("nxt"),
-                F.when(done, F.col("low")).otherwise(F.least("low", "a_low")).alias("low"),
-                F.when(done, F.col("end")).otherwise(F.col("a_end")).alias("end"),
-                F.when(done, F.col("steps")).when(F.col("a_end").isNotNull(), F.col("jump") + F.col("a_steps")).otherwise(F.lit(0)).alias("steps"),
-                F.when(done, F.col("jump")).otherwise(F.col("jump") + F.col("a_jump")).alias("jump"),
+    with plain_plans(rows.sparkSession):
+        now = cut(rows.select("id", "nxt", F.col("id").alias("low"), F.when(F.col("nxt").isNull(), F.col("id")).alias("end"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("jump"), F.lit(0).cast("long").alias("far")))
+        n = now.count()
+        for _ in range(math.ceil(math.log2(max(n, 2))) + 1):
+            if not now.filter("end is null").limit(1).count():
+                break
+            ahead = now.select(F.col("id").alias("a_id"), F.col("nxt").alias("a_nxt"), F.col("low").alias("a_low"), F.col("end").alias("a_end"), F.col("steps").alias("a_steps"), F.col("jump").alias("a_jump"), F.col("far").alias("a_far"))
+            done = F.col("end").isNotNull()
+            now = cut(
+                now.join(ahead, F.col("nxt") == F.col("a_id"), "left").select(
+                    "id",
+                    F.when(~done, F.col("a_nxt")).alias("nxt"),
+                    F.when(done, F.col("low")).otherwise(F.least("low", "a_low")).alias("low"),
+                    F.when(done, F.col("end")).otherwise(F.col("a_end")).alias("end"),
+                    F.when(done, F.col("steps")).when(F.col("a_end").isNotNull(), F.col("jump") + F.col("a_steps")).otherwise(F.lit(0)).alias("steps"),
+                    F.when(done, F.col("jump")).otherwise(F.col("jump") + F.col("a_jump")).alias("jump"),
+                    F.when(done | (F.col("low") <= F.col("a_low")), F.col("far")).otherwise(F.col("jump") + F.col("a_far")).alias("far"),
+                )
             )
-        )
-    return now.select("id", "end", "steps", "low")
+    return now.select("id", "end", "steps", "low", "far")
 
 
 def cycle_order(rows: DataFrame) -> DataFrame:
     """(id, nxt) of cycles only -> (id, ring, seq): the cycle's least id, and the place on the cycle from it."""
-    label = chase(rows).select(F.col("id").alias("l_id"), F.col("low").alias("ring"))
-    opened = rows.join(label, F.col("id") == F.col("l_id")).select("id", "ring", F.when(F.col("nxt") != F.col("ring"), F.col("nxt")).alias("nxt"))
-    opened = cut(opened)
-    left = chase(opened.select("id", "nxt")).select(F.col("id").alias("s_id"), "steps")
-    size = opened.groupBy(F.col("ring").alias("z_ring")).agg(F.count(F.lit(1)).alias("size"))
-    return opened.join(left, F.col("id") == F.col("s_id")).join(size, F.col("ring") == F.col("z_ring")).select("id", "ring", (F.col("size") - 1 - F.col("steps")).alias("seq"))
+    found = cut(chase(rows).select("id", F.col("low").alias("ring"), "far"))
+    size = found.groupBy(F.col("ring").alias("z_ring")).agg(F.count(F.lit(1)).alias("size"))
+    return found.join(size, F.col("ring") == F.col("z_ring")).select("id", "ring", F.pmod(F.col("size") - F.col("far"), F.col("size")).alias("seq"))
 
 
 def merge_lines(segments: DataFrame, a: str = "a", b: str = "b", id_col: str = "id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 
@@ -27,3 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def plain_plans(spark: SparkSession):
+    """No constraints are carried through checkpoints inside: in loops they double with every round."""
+    key = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
