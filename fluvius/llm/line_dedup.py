@@ -6,11 +6,11 @@ are a document's anchors, so two documents can lose a common block only if they
 anchor.  Documents of equal sequences are one class, of which the first row alone is
 aligned; the others lose every line.
 
-A document is aligned by patience diff with the first holder of each anchor that it shares,
-and, where this leaves lines of a shared anchor, with all earlier holders of its rare anchors
-(RARE holders at most), so it loses just what alignment with every earlier document would
-take.  An anchor held more often is itself the excerpt that the rest is aligned with: what
-the first holder's alignment left of it goes.  Common blocks are deleted from the later
+A document is aligned by patience diff with the first holder of each anchor that it shares.
+A diff keeps the order of lines, so blocks that stand in another order there can be left:
+each anchor that still has lines is then aligned by itself, as an excerpt of its first
+holder.  The rule is the same however many documents hold an anchor, and pairs grow with the
+anchors, not with the square of their holders.  Common blocks are deleted from the later
 document, the one with the larger doc_id.  Everything is judged on the input, and a blank
 line goes with the lines around it.
 """
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-RARE = 50
 MIN_CHARS = 30
 #: Documents aligned beside one copy of a first holder's lines.
 PARTNERS = 1024
@@ -194,7 +193,7 @@ def _together(gone: DataFrame) -> DataFrame:
     return gone.groupBy("late").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the text left) for every row.
 
     A null or empty text has no lines and stays empty; a document without ``min_chars``
@@ -206,33 +205,29 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, id
     scratch = Scratch(docs.sparkSession, "line-dedup")
     cut, drop = scratch.cut, scratch.drop
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    rows = docs.select(F.xxhash64(doc_id, text).alias("rid"), doc_id.alias("doc_id"), text.alias("text"))
-    lines = cut(rows.mapInArrow(_rows(min_chars), "rid long, doc_id long, key binary, h array<long>, size array<int>, grams array<long>"), "lines").filter(F.size("grams") > 0)
+    rid = F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text)))
+    rows = docs.select(rid.alias("rid"), doc_id.alias("doc_id"), text.alias("text"))
+    lines = cut(rows.mapInArrow(_rows(min_chars), "rid binary, doc_id long, key binary, h array<long>, size array<int>, grams array<long>"), "lines").filter(F.size("grams") > 0)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("r")
     classes = cut(lines.groupBy("key").agg(first, F.count(F.lit(1)).alias("copies")), "classes")
     copies = classes.filter("copies > 1").select(F.col("key").alias("c_key"), F.col("r.doc_id").alias("first_id"))
     whole = lines.select("rid", "doc_id", "key").join(copies, F.col("key") == F.col("c_key")).filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("rid").distinct()
-    reps = lines.join(classes.select(F.col("key").alias("c_key"), "r"), (F.col("key") == F.col("c_key")) & (F.col("rid") == F.col("r.rid"))).dropDuplicates(["key"])
-    # Numbers that grow with (doc_id, digest), given once as the table is written.
-    reps = reps.orderBy("r.none", "r.doc_id", "key").withColumn("doc", F.monotonically_increasing_id()).select("doc", "rid", "h", "size", "grams")
-    reps = cut(reps, "reps")
+    # Numbers that grow with (doc_id, digest), given once as the table is written; the lines themselves are not sorted.
+    order = cut(classes.orderBy("r.none", "r.doc_id", "key").select(F.monotonically_increasing_id().alias("doc"), F.col("key").alias("c_key"), F.col("r.rid").alias("c_rid")), "order")
+    reps = lines.join(order, (F.col("key") == F.col("c_key")) & (F.col("rid") == F.col("c_rid"))).dropDuplicates(["key", "rid"])
+    reps = cut(reps.select("doc", "rid", "h", "size", "grams"), "reps")
     keys = reps.select("doc", F.explode("grams").alias("gram"))
-    held = cut(keys.groupBy("gram").agg(F.min("doc").alias("early"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "held")
-    shared = cut(keys.join(held, "gram"), "shared")
-    pairs = cut(shared.filter(F.col("early") < F.col("doc")).select("early", F.col("doc").alias("late")).distinct(), "pairs")
+    held = cut(keys.groupBy("gram").agg(F.min("doc").alias("early"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "held")
+    pairs = cut(keys.join(held, "gram").filter(F.col("early") < F.col("doc")).select("early", F.col("doc").alias("late")).distinct(), "pairs")
     gone = cut(_together(_aligned(pairs, reps, min_chars)), "gone")
-    # A document loses more to another holder only by an anchor that is still open.
+    # What an alignment in order has left of a shared anchor is aligned with that anchor alone.
     later = pairs.select(F.col("late").alias("doc")).distinct()
     left = reps.join(later, "doc", "left_semi").join(gone, F.col("doc") == F.col("late"), "left").select("doc", "h", "size", "gone").mapInArrow(_open(min_chars), "doc long, gram long, at array<int>")
-    left = cut(left.join(held, "gram").filter(F.col("early") < F.col("doc")), "open")
-    asked = left.filter(F.col("n") <= rare).select("gram", F.col("doc").alias("late"))
-    more = asked.join(shared.filter(F.col("n") <= rare).select("gram", F.col("doc").alias("early")), "gram").filter(F.col("early") < F.col("late"))
-    more = cut(more.select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti"), "more")
-    often = left.filter(F.col("n") > rare).select(F.col("doc").alias("late"), F.col("at").alias("gone"))
-    gone = _together(gone.unionByName(_aligned(more, reps, min_chars)).unionByName(often))
+    moved = left.join(held, "gram").filter(F.col("early") < F.col("doc")).select(F.col("doc").alias("late"), F.col("at").alias("gone"))
+    gone = _together(gone.unionByName(moved))
     gone = gone.join(reps.select("doc", "rid"), F.col("late") == F.col("doc")).select("rid", "gone", F.lit(False).alias("whole"))
     gone = cut(gone.unionByName(whole.select("rid", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("whole"))), "all-gone")
-    drop("shared", "open", "pairs", "more", "held")
+    drop("order", "pairs", "held")
     out = rows.join(gone.select(F.col("rid").alias("g_rid"), "gone", "whole").hint("merge"), F.col("rid") == F.col("g_rid"), "left")
     out = out.select("doc_id", "text", "gone", F.coalesce("whole", F.lit(False)).alias("whole"))
     return out.mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept string")

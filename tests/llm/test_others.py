@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluvius.llm import line_dedup as L
@@ -88,27 +89,39 @@ def test_line_dedup_deletes_from_later_documents(spark):
 def test_long_frequent_lines_are_deleted_between_differing_neighbours(spark):
     line = "this sentence is a licence line that all the documents hold"
     d = spark.createDataFrame([(k, f"own start {k}\n{line}\nown end {k}") for k in range(60)], "doc_id long, text string")
-    for rare in (3, L.RARE):
-        rows = {r.doc_id: r for r in L.line_dedup(d, rare=rare).collect()}
-        assert rows[0].n_removed == 0 and all(rows[k].kept == f"own start {k}\nown end {k}" for k in range(1, 60))
+    rows = {r.doc_id: r for r in L.line_dedup(d).collect()}
+    assert rows[0].n_removed == 0 and all(rows[k].kept == f"own start {k}\nown end {k}" for k in range(1, 60))
+
+
+@pytest.mark.parametrize("n", [3, 50, 51, 52, 120])
+def test_moved_blocks_go_however_many_hold_them(spark, n):
+    x, y = ([f"{name} line {k} of a block that is long enough" for k in range(3)] for name in ("first", "second"))
+    d = spark.createDataFrame([(0, "\n".join([*x, "between 0", *y])), *((k, "\n".join([*y, f"between {k}", *x])) for k in range(1, n))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in L.line_dedup(d).collect()}
+    assert rows[0].n_removed == 0 and all(rows[k].n_removed == 6 and rows[k].kept == f"between {k}" for k in range(1, n))
+
+
+def runs_in_common(early, late, sizes):
+    """Lines of ``late`` in a run of 30 characters and more that stands in ``early`` as well, by comparing all places."""
+    out = set()
+    for i in range(len(early)):
+        for j in range(len(late)):
+            k = 0
+            while i + k < len(early) and j + k < len(late) and early[i + k] == late[j + k]:
+                k += 1
+            if sum(sizes[j : j + k]) >= L.MIN_CHARS:
+                out.update(range(j, j + k))
+    return out
 
 
-def all_pairs(rows, rare):
-    """What is left of each text where every pair that shares a rare anchor is aligned, and frequent anchors of earlier documents go."""
+def all_pairs(rows):
+    """What is left of each text where each pair is aligned, in order and then by each run of lines alone."""
     part = [L.split_lines(t) for _, t in rows]
-    grams = [L.anchors(h, size, L.MIN_CHARS) for _, _, h, size in part]
-    kinds = {}
-    for k, (_, _, h, _) in enumerate(part):
-        kinds.setdefault(tuple(h), k)
-    n = Counter(g for k in kinds.values() for g in grams[k])
     out = []
     for k, (_, _, h, size) in enumerate(part):
         gone = set()
-        for e in range(k):
-            both = grams[e].keys() & grams[k].keys()
-            if tuple(h) == tuple(part[e][2]) or any(n[g] <= rare for g in both):
-                gone |= set(L.common_blocks(part[e][2], h, size, L.MIN_CHARS))
-            gone |= {i for g in both if n[g] > rare for a, b in grams[k][g] for i in range(a, b)}
+        for early in {tuple(part[e][2]) for e in range(k)}:
+            gone |= set(L.common_blocks(list(early), h, size, L.MIN_CHARS)) | runs_in_common(early, h, size)
         out.append(L.delete_lines(rows[k][1], sorted(gone), False))
     return out
 
@@ -123,10 +136,9 @@ def test_line_dedup_equals_alignment_of_all_pairs(spark):
     mixed = [(k, t.replace("line -4 ", "  ")) for k, t in mixed] + [(90 + k, mixed[k][1]) for k in range(4)]
     many = [(k, "\n".join([f"own {k}", "passage of two", "lines that is in all of them", f"end {k}"])) for k in range(100, 112)] + [(120, "lines that is in all of them\nx\npassage of two\nlines that is in all of them\ny\n" * 2)]
     rows = order + short + mixed + many + [(200, "x" * 70_000), (201, "y\n" + "x" * 70_000), (202, ""), (203, "\n\n"), (204, "ab\ncd"), (205, "ab\ncd")]
-    for rare in (3, 100):
-        got = {v.doc_id: tuple(v[1:]) for v in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rare=rare).collect()}
-        for (k, _), want in zip(rows, all_pairs(rows, rare)):
-            assert got[k] == want, k
+    got = {v.doc_id: tuple(v[1:]) for v in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for (k, _), want in zip(rows, all_pairs(rows)):
+        assert got[k] == want, k
     assert any(v[1] for v in got.values())
 
 
