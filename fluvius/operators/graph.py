@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import cut, settle
 
 ROUNDS = 40
 
@@ -38,14 +38,14 @@ def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callab
     known = at.select(F.col("id").alias("_id"))
     at = at.join(ends, F.col("hop") == F.col("_end"), "left").withColumn("_done", F.col("hop").isNull() | (F.col("hop").cast("string") == "0") | F.col("_end").isNotNull()).drop("_end", "_stop")
     at = at.join(known, F.col("hop") == F.col("_id"), "left").withColumn("_done", F.col("_done") | F.col("_id").isNull()).drop("_id")
-    at = cut(at)
+    at = settle(at)
     for _ in range(_rounds(at)):
         if at.filter(~F.col("_done")).isEmpty():
             return at.drop("_done")
         below = at.select(F.col("id").alias("_b"), F.col("hop").alias("_h"), F.col("_done").alias("_d"), *[F.col(k).alias(f"_{k}") for k in values])
         joined = at.join(below, ~F.col("_done") & (F.col("hop") == F.col("_b")), "left")
         folded = [F.when(F.col("_done"), F.col(k)).otherwise(combine[k](F.col(k), F.col(f"_{k}"))).alias(k) for k in values]
-        at = cut(joined.select("id", F.when(F.col("_done"), F.col("hop")).otherwise(F.col("_h")).alias("hop"), (F.col("_done") | F.col("_d")).alias("_done"), *folded))
+        at = settle(joined.select("id", F.when(F.col("_done"), F.col("hop")).otherwise(F.col("_h")).alias("hop"), (F.col("_done") | F.col("_d")).alias("_done"), *folded))
     raise CycleError("some nodes never reach an end")
 
 
@@ -89,6 +89,19 @@ def subtree_sums(nodes: DataFrame, amount: str) -> DataFrame:
     raise CycleError("some nodes never reach an end")
 
 
+def subtree_max(nodes: DataFrame, amount: str) -> DataFrame:
+    """id, best: the largest amount at each node or above it, in log2(depth) rounds; next is null or unknown at an end."""
+    at = settle(nodes.select("id", F.col("next").alias("hop"), F.col(amount).alias("best")))
+    for _ in range(_rounds(at)):
+        if at.filter("hop IS NOT NULL").isEmpty():
+            return at.select("id", "best")
+        above = at.filter("hop IS NOT NULL").groupBy(F.col("hop").alias("_h")).agg(F.max("best").alias("_m"))
+        below = at.select(F.col("id").alias("_b"), F.col("hop").alias("_n"))
+        at = at.join(above, F.col("id") == F.col("_h"), "left").join(below, F.col("hop") == F.col("_b"), "left")
+        at = settle(at.select("id", F.col("_n").alias("hop"), F.greatest("best", "_m").alias("best")))
+    raise CycleError("some nodes never reach an end")
+
+
 def closure(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """id: the roots (column id) and everything that drains to them, in log2(depth) rounds; cycles do no harm.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and reread: for loops that join a table with itself.
+
+    A checkpoint keeps the estimated size of its plan.  A join multiplies the sizes of its
+    sides, so the digits of that number double or triple each round, and after some rounds
+    planning alone takes minutes.  A written table has the size of its files.
+    """
+    at = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 @contextlib.contextmanager
 def plain_plans(spark: SparkSession):
     """No constraints are carried through checkpoints inside: in loops they double with every round."""

@@ -20,8 +20,8 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(cell(lo, size), cell(hi, size)))
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Points a (ida, xa, ya) and b (idb, xb, yb) no farther apart than ``radius``: ida, idb, dist.
+def distance_join(a: DataFrame, b: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
+    """Points a (ida, xa, ya) and b (idb, xb, yb) no farther apart than ``radius``, equal in the columns ``by``: ida, idb, dist.
 
     A point of b is in nine cells at most, and a pair shares exactly one of them.
     """
@@ -29,17 +29,17 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     wide = b.select("*", _cells(x - radius, x + radius, radius).alias("cx")).select("*", _cells(y - radius, y + radius, radius).alias("cy"))
     own = a.withColumn("cx", cell(F.col("xa"), radius)).withColumn("cy", cell(F.col("ya"), radius))
     dist = F.sqrt(F.pow(F.col("xa") - x, 2) + F.pow(F.col("ya") - y, 2))
-    return own.join(wide, ["cx", "cy"]).withColumn("dist", dist).filter(F.col("dist") <= radius).select("ida", "idb", "dist")
+    return own.join(wide, ["cx", "cy", *(by or [])]).withColumn("dist", dist).filter(F.col("dist") <= radius).select("ida", "idb", "dist")
 
 
-def nearest(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
     """ida, idb, dist of the nearest b within ``radius``; ties go to the lowest id."""
-    met = distance_join(a, b, radius)
+    met = distance_join(a, b, radius, by)
     best = met.groupBy("ida").agg(F.min(F.struct("dist", "idb")).alias("m"))
     return best.select("ida", F.col("m.idb").alias("idb"), F.col("m.dist").alias("dist"))
 
 
-def nearest_anywhere(a: DataFrame, b: DataFrame, first: float, bound: float) -> DataFrame:
+def nearest_anywhere(a: DataFrame, b: DataFrame, first: float, bound: float, by: list[str] | None = None) -> DataFrame:
     """Nearest b at any distance: the radius doubles for the points that have found none.
 
     ``bound`` is the extent of the data; beyond it a point has no neighbour to find.
@@ -48,7 +48,7 @@ def nearest_anywhere(a: DataFrame, b: DataFrame, first: float, bound: float) ->
 
     out, left, radius = None, a, first
     while True:
-        found = cut(nearest(left, b, radius))
+        found = cut(nearest(left, b, radius, by))
         out = found if out is None else out.unionByName(found)
         left = cut(left.join(found.select("ida"), "ida", "left_anti"))
         if radius > bound or left.isEmpty():
