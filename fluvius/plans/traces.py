@@ -47,8 +47,11 @@ def spread_ranks(spark, d):
     return T.spread_ranks(rows, ends, 80.0, 1500.0).withColumn("dist", F.round("dist", 6))
 
 
-@query()
-def similar_words(spark, d):
-    """Pairs of similar words among all words of five letters and more in the documents (brute force in the tests: all pairs are too dear for SQL)."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), F.lit(0))).alias("name"))
-    return similar_names(words).withColumn("s", F.round("s", 6))
+_FIRST = r"^\s*([A-Za-z]+)"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '{_FIRST}', 1)) AS name FROM documents), v AS (SELECT name FROM w WHERE name <> '')
+ SELECT a, b, round(s, 6) AS s FROM (SELECT a.name AS a, b.name AS b, 1 - CAST(levenshtein(a.name, b.name) AS DOUBLE) / greatest(length(a.name), length(b.name)) AS s FROM v a JOIN v b ON a.name < b.name) WHERE s >= 0.7""")
+def similar_openings(spark, d):
+    """Pairs of similar words among those that documents open with."""
+    return similar_names(table(spark, d, "documents").select(F.lower(F.regexp_extract("text", _FIRST, 1)).alias("name"))).withColumn("s", F.round("s", 6))
