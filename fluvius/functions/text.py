@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _folds() -> tuple[str, str]:
-    """Latin letters with marks and their bare letters, by Unicode decomposition."""
-    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x250))]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
+    """Letters of all scripts with marks and their bare letters, by Unicode's canonical decomposition."""
+    plain = [c for c in map(chr, range(0xC0, 0x10000)) if unicodedata.category(c) not in ("Cs", "Cn")]
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in plain]
+    marks = lambda d: [unicodedata.category(x)[0] == "M" for x in d]
+    pairs = [(c, d[0]) for c, d in pairs if d != c and ord(d[0]) < 0x10000 and not marks(d)[0] and all(marks(d)[1:])]
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
@@ -19,8 +21,8 @@ MARKED, BARE = _folds()
 
 
 def strip_marks(x: Column) -> Column:
-    """Latin letters without their marks; loose combining marks go too."""
-    return F.regexp_replace(F.translate(x, MARKED, BARE), r"\p{Mn}+", "")
+    """Letters without their marks, in every script; loose combining marks go too."""
+    return F.regexp_replace(F.translate(x, MARKED, BARE), r"\p{M}+", "")
 
 
 def normalize(x: Column) -> Column:

@@ -273,3 +273,12 @@ def test_substring_keeps_vertices_between(spark):
     row = spark.range(1).select(spatial.substring(line, F.lit(0.25), F.lit(0.75)).alias("a"), spatial.substring(line, F.lit(0.0), F.lit(1.0)).alias("b")).first()
     assert [tuple(p) for p in row.a] == [(1.5, 0), (2, 0), (2, 0), (2, 2), (2.5, 2)]
     assert [tuple(p) for p in row.b] == [(0, 0), (2, 0), (2, 0), (2, 2), (4, 2)]
+
+
+def test_marks_of_every_script_are_stripped(spark):
+    import unicodedata
+
+    texts = ["Río Ñire ÅÉ ǖẮ", "ά ὕ ΐ Ώ", "ў й ё ї Ѓ", "が パ", "각 ɨ ﬁ ß ø", "a\u0301 и\u0306", "क़ ा", "", None]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.strip_marks(F.col("t")).alias("s")).collect()
+    assert [r.s and unicodedata.normalize("NFD", r.s) for r in rows] == [t and bare(t) for t in texts]
