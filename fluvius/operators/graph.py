@@ -25,11 +25,12 @@ def _rounds(nodes: DataFrame) -> int:
     return nodes.count().bit_length() + 2
 
 
-def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callable[[Column, Column], Column]], until: Column | None = None) -> DataFrame:
+def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callable[[Column, Column], Column]], until: Column | None = None, rings: bool = False) -> DataFrame:
     """id, hop and values folded along the path below each node.
 
     ``values`` are a node's own; ``combine(mine, theirs)`` joins what is above with what is
     below.  ``until`` stops a walk at nodes where it holds (hop is then that node).
+    Walks that never end raise, or with ``rings`` are left out.
     """
     stop = F.lit(False) if until is None else until
     at = nodes.select(F.col("id"), F.col("next").alias("hop"), stop.alias("_stop"), *[v.alias(k) for k, v in values.items()])
@@ -46,6 +47,8 @@ def climb(nodes: DataFrame, values: dict[str, Column], combine: dict[str, Callab
         joined = at.join(below, ~F.col("_done") & (F.col("hop") == F.col("_b")), "left")
         folded = [F.when(F.col("_done"), F.col(k)).otherwise(combine[k](F.col(k), F.col(f"_{k}"))).alias(k) for k in values]
         at = settle(joined.select("id", F.when(F.col("_done"), F.col("hop")).otherwise(F.col("_h")).alias("hop"), (F.col("_done") | F.col("_d")).alias("_done"), *folded))
+    if rings:
+        return at.filter("_done").drop("_done")
     raise CycleError("some nodes never reach an end")
 
 

@@ -43,6 +43,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Layers:
+    """Rows that a loop settles round by round: each layer is written once and all are read together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.parts = spark, f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}", []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """``rows``, written as a layer and reread."""
+        self.parts.append(f"{self.at}/{len(self.parts)}")
+        rows.write.parquet(self.parts[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.parts[-1])
+
+    def read(self, schema) -> DataFrame:
+        """All layers; none at all gives an empty table."""
+        return self.spark.read.schema(schema).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], schema)
+
+
 @contextlib.contextmanager
 def plain_plans(spark: SparkSession):
     """No constraints are carried through checkpoints inside: in loops they double with every round."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("relational", "answers", "texts", "graphs", "sequences", "spatial", "simulation", "documents", "rules", "overlays", "traces", "streams")
+MODULES = ("relational", "answers", "texts", "graphs", "sequences", "spatial", "simulation", "documents", "rules", "overlays", "traces", "networks", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
