@@ -144,3 +144,22 @@ def test_a_long_line(spark):
     rows = spark.range(1, n + 1).selectExpr("id", "id * 7 % 3001 as a", "(id + 1) * 7 % 3001 as b")
     got = C.merge_lines(rows).collect()
     assert len(got) == n and len({x.chain for x in got}) == 1 and sorted(x.seq for x in got) == list(range(n))
+
+
+def test_stretches_under_many_polygons_are_met_once(spark):
+    """2,000 boxes over each other: what is met in pairs must not grow with the boxes that lie on one stretch."""
+    boxes = [(1, k % 2, k, [[(x, 0), (x + 2 + k % 3, 0), (x + 2 + k % 3, 2), (x, 2)]]) for k in range(2000) for x in [k * 7 % 20]]
+    some = edges(spark, boxes)
+    assert O.merged(some).count() <= 2 * 24 + 25
+    counted = O.sides(some, 8.0).cache()
+    for rule in O.RULES:
+        cells = [[sum(1 for _, la, _, r in boxes if la == n and r[0][0][0] <= x < r[0][1][0]) for n in (0, 1)] for x in range(24)]
+        assert areas(O.outline(counted, rule)).get(1, 0) == 2 * sum(bool({"union": a + b > 0, "intersection": a > 0 and b > 0, "difference": a > 0 and b == 0, "overlap": a + b > 1}[rule]) for a, b in cells)
+
+
+@pytest.mark.parametrize("cell", [0.7, 1.0, 5.0, 50.0])
+def test_sides_do_not_depend_on_cells(spark, cell):
+    polygons = random_polygons(11, 14) + [(1, 1, 90, [[(-9, -9), (3, -9), (3, 4), (-9, 4)], [(-6, -6), (-6, 1), (1, 1), (1, -6)]])]
+    counted = O.sides(edges(spark, polygons), cell).cache()
+    for rule in ("union", "difference"):
+        assert areas(O.outline(counted, rule)).get(1, 0) == pytest.approx(slabs(polygons, rule), abs=1e-6), rule
