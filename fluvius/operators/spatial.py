@@ -32,11 +32,78 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float, by: list[str] | Non
     return own.join(wide, ["cx", "cy", *(by or [])]).withColumn("dist", dist).filter(F.col("dist") <= radius).select("ida", "idb", "dist")
 
 
+def snap_links(points: DataFrame, radius: float) -> DataFrame:
+    """a, b: links between ``points`` (id, x, y) no farther apart than ``radius`` that join all that such links join, directly or by others.
+
+    Points of one cell are all within the radius, so each is linked with the least id there.
+    Of two cells one link is enough: quarters of cells that lie within the radius of one another
+    as a whole give it, and only where none do are points compared, those of quarters that may
+    hold a pair.  So there are as many links as points, and a few a cell, however dense they lie.
+    """
+    from .iterate import settle
+
+    quarter = radius / 6  # four of them are a cell; its diagonal is 0.95 of the radius
+    rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    rows = rows.withColumn("qx", cell(F.col("x"), quarter)).withColumn("qy", cell(F.col("y"), quarter))
+    rows = settle(rows.withColumn("cx", F.floor(F.col("qx") / 4)).withColumn("cy", F.floor(F.col("qy") / 4)))
+    lead = rows.groupBy("cx", "cy").agg(F.min("id").alias("b"))
+    links = rows.join(lead, ["cx", "cy"]).filter("id <> b").select(F.col("id").alias("a"), "b")
+    held = settle(rows.groupBy("cx", "cy", "qx", "qy").agg(F.min("id").alias("first")))
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    one = held.select(*[F.col(c).alias(f"{c}1") for c in held.columns], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead])).alias("to"))
+    one = one.withColumn("cx", F.col("cx1") + F.col("to.i")).withColumn("cy", F.col("cy1") + F.col("to.j")).drop("to")
+    dx, dy = F.abs(F.col("qx") - F.col("qx1")), F.abs(F.col("qy") - F.col("qy1"))
+    far = lambda k: F.hypot(F.greatest(dx + k, F.lit(0)), F.greatest(dy + k, F.lit(0))) * quarter
+    met = one.join(held, ["cx", "cy"]).filter(far(-1) <= radius * 1.001)
+    met = settle(met.withColumn("sure", F.when(far(1) <= radius * 0.999, F.struct(F.col("first1").alias("a"), F.col("first").alias("b")))))
+    cells = met.groupBy("cx1", "cy1", "cx", "cy").agg(F.min("sure").alias("sure"))
+    open_ = met.join(cells.filter("sure IS NULL").drop("sure"), ["cx1", "cy1", "cx", "cy"], "left_semi").select("cx1", "cy1", "cx", "cy", "qx1", "qy1", "qx", "qy")
+    side = rows.select(F.col("qx").alias("qx1"), F.col("qy").alias("qy1"), F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    both = open_.join(side, ["qx1", "qy1"]).join(rows.select("qx", "qy", F.col("id").alias("b"), "x", "y"), ["qx", "qy"])
+    both = both.filter(F.sqrt(F.pow(F.col("xa") - F.col("x"), 2) + F.pow(F.col("ya") - F.col("y"), 2)) <= radius)
+    found = both.groupBy("cx1", "cy1", "cx", "cy").agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+    return links.unionByName(cells.filter("sure IS NOT NULL").select("sure.a", "sure.b")).unionByName(found)
+
+
+#: Places of b that a place of b shares its cell with, on average, in the first round of a search.
+CROWD = 8
+
+
+def _first_radius(b: DataFrame, radius: float, by: list[str]) -> float:
+    """``radius``, or the largest quarter, sixteenth and so on of it at which cells of that size are not crowded."""
+    size = F.lit(radius) / F.pow(F.lit(4.0), F.col("k"))
+    spread = b.select(*by, "xb", "yb", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    held = spread.groupBy(*by, "k", F.floor(F.col("xb") / size).alias("cx"), F.floor(F.col("yb") / size).alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("double")
+    crowd = {r.k: r.c for r in held.groupBy("k").agg((F.sum(n * n) / F.sum(n)).alias("c")).collect()}
+    return radius / 4.0 ** next((k for k in range(10) if crowd.get(k, 0.0) <= CROWD), 10)
+
+
+def _search(a: DataFrame, b: DataFrame, radius: float, bound: float, by: list[str]) -> DataFrame:
+    """Nearest b within ``bound``, in rounds of growing radius: those that have found one leave, so crowds are searched closely only.
+
+    Up to ``radius`` it grows by four, as far as it goes beyond it doubles.  Of b at one place
+    the lowest id stands for all.
+    """
+    from .iterate import settle
+
+    b = settle(b.filter("xb + yb IS NOT NULL").groupBy(*by, "xb", "yb").agg(F.min("idb").alias("idb")))
+    left, out, r = settle(a.select("ida", "xa", "ya", *by)), None, _first_radius(b, radius, by)
+    while True:
+        best = distance_join(left, b, r, by).groupBy("ida").agg(F.min(F.struct("dist", "idb")).alias("m"))
+        found = settle(best.select("ida", F.col("m.idb").alias("idb"), F.col("m.dist").alias("dist")))
+        out = found if out is None else out.unionByName(found)
+        if r >= bound:
+            return out
+        left = settle(left.join(found.select("ida"), "ida", "left_anti"))
+        if left.isEmpty():
+            return out
+        r = min(4 * r, radius) if r < radius else 2 * r
+
+
 def nearest(a: DataFrame, b: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
     """ida, idb, dist of the nearest b within ``radius``; ties go to the lowest id."""
-    met = distance_join(a, b, radius, by)
-    best = met.groupBy("ida").agg(F.min(F.struct("dist", "idb")).alias("m"))
-    return best.select("ida", F.col("m.idb").alias("idb"), F.col("m.dist").alias("dist"))
+    return _search(a, b, radius, radius, by or [])
 
 
 def nearest_anywhere(a: DataFrame, b: DataFrame, first: float, bound: float, by: list[str] | None = None) -> DataFrame:
@@ -44,16 +111,11 @@ def nearest_anywhere(a: DataFrame, b: DataFrame, first: float, bound: float, by:
 
     ``bound`` is the extent of the data; beyond it a point has no neighbour to find.
     """
-    from .iterate import cut
-
-    out, left, radius = None, a, first
-    while True:
-        found = cut(nearest(left, b, radius, by))
-        out = found if out is None else out.unionByName(found)
-        left = cut(left.join(found.select("ida"), "ida", "left_anti"))
-        if radius > bound or left.isEmpty():
-            return out
-        radius *= 2
+    # The last radius is the first doubled one beyond the bound.
+    last = first
+    while last <= bound:
+        last *= 2
+    return _search(a, b, first, last, by or [])
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:

@@ -51,8 +51,7 @@ def global_nearest(spark, d):
 @query(f"WITH {_P}, e AS (SELECT a.id AS ida, b.id AS idb FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {R / 4}), c AS (WITH RECURSIVE r AS (SELECT id AS n, id AS m FROM p UNION SELECT r.n, e.idb FROM r JOIN e ON r.m = e.ida) SELECT n AS id, min(m) AS cluster FROM r GROUP BY n) SELECT id, cluster FROM c")
 def snap_clusters(spark, d):
     p = points(spark, d)
-    links = S.distance_join(*_sides(p), R / 4).filter("ida < idb").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    return G.components(links, p).withColumnRenamed("component", "cluster")
+    return G.components(S.snap_links(p, R / 4), p).withColumnRenamed("component", "cluster")
 
 
 def _box(spark):

@@ -282,3 +282,41 @@ def test_marks_of_every_script_are_stripped(spark):
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M")
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.strip_marks(F.col("t")).alias("s")).collect()
     assert [r.s and unicodedata.normalize("NFD", r.s) for r in rows] == [t and bare(t) for t in texts]
+
+
+def test_snap_links_join_what_all_pairs_join(spark):
+    """Links stay few where points lie densely, and give the components of all pairs within the radius."""
+    r = np.random.default_rng(5)
+    spots = np.concatenate([r.normal(0, 0.004, (400, 2)), r.uniform(-0.2, 0.2, (500, 2)), np.round(r.uniform(-0.1, 0.1, (100, 2)), 2), [[0.1, 0.1]] * 3])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(5000, None, 0.1), (5001, float("nan"), 0.1), (5002, float("nan"), 0.1)]
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    links = spatial.snap_links(p, 0.01).collect()
+    parent = list(range(len(spots)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = np.sqrt(((spots[:, None] - spots[None]) ** 2).sum(2)) <= 0.01
+    for a, b in zip(*np.nonzero(np.triu(far, 1)), strict=True):
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(far[x.a, x.b] for x in links) and len(links) < far.sum() / 8
+    got = graph.components(spark.createDataFrame(links, "a long, b long"), p)
+    assert {x.id: x.component for x in got.collect()} == {**{i: find(i) for i in range(len(spots))}, 5000: 5000, 5001: 5001, 5002: 5002}
+
+
+def test_nearest_searches_crowds_closely(spark, monkeypatch):
+    """Rounds begin with a radius at which no cell is crowded; the result is that of all pairs, ties to the lowest id."""
+    r = np.random.default_rng(6)
+    at = np.round(np.concatenate([r.normal(0, 0.01, (600, 2)), r.uniform(-1, 1, (60, 2)), [[0.5, 0.5]] * 200]), 4)
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at[::2])], "ida long, xa double, ya double")
+    b = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at[1::2])], "idb long, xb double, yb double")
+    met, join = [], spatial.distance_join
+    monkeypatch.setattr(spatial, "distance_join", lambda *args: met.append(join(*args)) or met[-1])
+    d = np.sqrt(((at[::2][:, None] - at[1::2][None]) ** 2).sum(2))
+    close = {x.ida: (x.idb, round(x.dist, 9)) for x in spatial.nearest(a, b, 0.3).collect()}
+    assert close == {i: (int(d[i].argmin()), round(float(d[i].min()), 9)) for i in range(len(d)) if d[i].min() <= 0.3}
+    assert sum(m.count() for m in met) < (d <= 0.3).sum() / 5
+    anywhere = {x.ida: (x.idb, round(x.dist, 9)) for x in spatial.nearest_anywhere(a, b, 0.05, 10.0).collect()}
+    assert anywhere == {i: (int(d[i].argmin()), round(float(d[i].min()), 9)) for i in range(len(d))}
