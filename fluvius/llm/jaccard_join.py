@@ -210,14 +210,22 @@ def _levels(rows: DataFrame) -> np.ndarray:
     while tasks > 1:
         parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")).groupBy("chunk", "salt").applyInArrow(_add_sketches, "chunk int, salt int, blob binary")
         tasks = -(-tasks // FAN_IN)
-    counts = np.zeros(1 << SKETCH_BITS, np.float64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     size = 1 << CHUNK_BITS
     for r in parts.toLocalIterator():  # a fixed size, whatever the input: the sketch
         counts[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(zlib.decompress(r.blob), np.uint32)
-    load = counts.mean()
-    excess = counts - load
-    heavy = excess >= 8 * np.sqrt(load + 1) + 8
-    return np.where(heavy, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+    return _level_of(counts)
+
+
+def _level_of(counts: np.ndarray) -> np.ndarray:
+    """The level of each bucket, a chunk at a time: the driver holds the sketch and its levels, and no further array of its length."""
+    load, size = counts.mean(), 1 << CHUNK_BITS
+    levels = np.zeros(len(counts), np.uint8)
+    for a in range(0, len(counts), size):
+        excess = counts[a : a + size] - load
+        heavy = excess >= 8 * np.sqrt(load + 1) + 8
+        levels[a : a + size] = np.where(heavy, 1 + np.log2(np.maximum(excess, 1)), 0)
+    return levels
 
 
 def first_prefix(s: np.ndarray, levels: np.ndarray):

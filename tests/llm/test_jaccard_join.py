@@ -151,3 +151,20 @@ def test_links_are_decided_by_both_halves():
     assert J.similar(a, b)
     b[1, :2] += np.uint64(1)
     assert not J.similar(a, b)
+
+
+def test_levels_take_little_memory():
+    """The driver holds no float arrays of the sketch's length: they took 160 MB and more."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    counts = r.poisson(3, 1 << J.SKETCH_BITS).astype(np.uint32)
+    counts[r.integers(0, len(counts), 500)] += r.integers(1, 100_000, 500).astype(np.uint32)
+    excess = counts - counts.mean()
+    want = np.where(excess >= 8 * np.sqrt(counts.mean() + 1) + 8, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+    del excess
+    tracemalloc.start()
+    got = J._level_of(counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and most < 16 << 20
