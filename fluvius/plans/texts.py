@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.iterate import settle
 from ..sources.tables import table
 from .registry import catalogue
 
 QUERIES, ORACLES, query = catalogue()
+#: Keys kept in one row while types are paired.
+RUN = 256
 
 _SQL_BARE = "lower(strip_accents(text))"
 
@@ -48,10 +52,21 @@ def name_variants(spark, d):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN greatest(length(a.p_type), length(b.p_type)) = 0 THEN 1.0 ELSE round(1 - CAST(levenshtein(a.p_type, b.p_type) AS DOUBLE) / greatest(length(a.p_type), length(b.p_type)), 6) END AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def name_similarity(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    b = p.select(F.col("p_partkey").alias("b"), F.col("p_type").alias("t2"), F.col("p_brand").alias("b2"), F.col("p_size").alias("s2"))
-    both = p.join(b, (F.col("p_brand") == F.col("b2")) & (F.col("p_size") == F.col("s2")) & (F.col("p_partkey") < F.col("b")))
-    return both.select(F.col("p_partkey").alias("a"), "b", F.round(X.similarity(F.col("p_type"), F.col("t2")), 6).alias("s"))
+    """Each two types of a group are compared once, whatever the number of parts that have them."""
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size").filter("p_brand IS NOT NULL AND p_size IS NOT NULL AND p_partkey IS NOT NULL")
+    types = settle(p.select("p_brand", "p_size", "p_type").distinct().withColumn("type", F.monotonically_increasing_id()))
+    one, two = (types.select("p_brand", "p_size", F.col("p_type").alias(f"t{k}"), F.col("type").alias(f"type{k}")) for k in "12")
+    pairs = one.join(two, ["p_brand", "p_size"]).filter("type1 <= type2").select("type1", "type2", F.round(X.similarity(F.col("t1"), F.col("t2")), 6).alias("s"))
+    same = (types.p_brand == p.p_brand) & (types.p_size == p.p_size) & types.p_type.eqNullSafe(p.p_type)
+    # Keys of a type in runs, so that a pair of types is a row for each two runs until its keys are paired.
+    parts = p.join(types, same).select("type", "p_partkey", F.floor(F.row_number().over(Window.partitionBy("type").orderBy("p_partkey")) / RUN).alias("run"))
+    parts = settle(parts.groupBy("type", "run").agg(F.collect_list("p_partkey").alias("keys")))
+    left, right = (parts.select(F.col("type").alias(f"type{k}"), F.col("run").alias(f"run{k}"), F.col("keys").alias(f"keys{k}")) for k in "12")
+    # Few small rows become many: they are dealt out by number, as their size would leave them in one task.
+    both = pairs.join(left, "type1").join(right, "type2").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "type1", "type2", "run1", "run2")
+    both = both.select("type1", "type2", "s", "keys2", F.explode("keys1").alias("k1")).select("type1", "type2", "s", "k1", F.explode("keys2").alias("k2"))
+    both = both.filter("k1 < k2 OR (k2 < k1 AND type1 <> type2)")
+    return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "s")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS ok FROM events")

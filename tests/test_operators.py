@@ -320,3 +320,24 @@ def test_nearest_searches_crowds_closely(spark, monkeypatch):
     assert sum(m.count() for m in met) < (d <= 0.3).sum() / 5
     anywhere = {x.ida: (x.idb, round(x.dist, 9)) for x in spatial.nearest_anywhere(a, b, 0.05, 10.0).collect()}
     assert anywhere == {i: (int(d[i].argmin()), round(float(d[i].min()), 9)) for i in range(len(d))}
+
+
+def test_types_are_compared_once_for_all_their_parts(spark, tmp_path, monkeypatch):
+    """Similarities are those of all pairs, nulls included, with runs of keys shorter than a type."""
+    from itertools import combinations
+
+    from fluvius.plans import texts
+
+    kinds = ["SMALL TIN", "SMALL BRASS", "", None]
+    rows = [(i * 37 % 101, kinds[i % 4], f"B{i % 3 % 2}", i % 2) for i in range(1, 60)] + [(200, "TIN", None, 1), (201, "TIN", None, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(texts, "RUN", 3)
+    compared, plain = [], texts.X.similarity
+    monkeypatch.setattr(texts.X, "similarity", lambda a, b: compared.append((str(a), str(b))) or plain(a, b))
+    got = sorted((r.a, r.b) for r in texts.name_similarity(spark, str(tmp_path)).collect())
+    assert got == sorted((min(p[0], q[0]), max(p[0], q[0])) for p, q in combinations(rows, 2) if p[2] is not None and p[2:] == q[2:])
+    assert "t1" in compared[0][0] and "t2" in compared[0][1]
+    by = {r[0]: r[1] for r in rows}
+    for r in texts.name_similarity(spark, str(tmp_path)).collect():
+        one, two = by[r.a], by[r.b]
+        assert (r.s is None) == (one is None or two is None) and (one is None or one != two or r.s == 1.0)
