@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .graph import climb, subtree_max
 from .iterate import cut, plain_plans, settle
-from .spatial import distance_join, nearest_anywhere
+from .spatial import nearest_anywhere
 
 #: Evidence is summed in whole parts of this size, so that sums and ties do not hang on their order.
 UNITS = 10**9
@@ -64,10 +64,55 @@ def name_trace(nodes: DataFrame, starts: DataFrame, max_gap: int, free_lead: boo
         return settle(out.select("id.trace", "id.id", "place", (F.col("sum") / UNITS).alias("evidence")))
 
 
-def touching(ends: DataFrame, radius: float) -> DataFrame:
-    """a, b: pieces of one group with ends (id, grp, x, y) no farther apart than ``radius``, both ways."""
-    side = lambda s: ends.select(F.col("id").alias(f"id{s}"), "grp", F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    return distance_join(side("a"), side("b"), radius, ["grp"]).filter("ida <> idb").select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+def highest_near(points: DataFrame, others: DataFrame, radius: float, by: list[str], rank: str, enough: int = 16, deepest: int = 8) -> DataFrame:
+    """id, top: the largest ``rank`` of ``others`` (x, y, rank) within ``radius`` of any of the points (id, x, y), equal in ``by``; ids that reach none are left out.
+
+    ``top`` is null where all that are reached have none.  No pairs are made where points lie
+    densely: of two grid cells that lie within the radius as a whole, the cell's largest rank
+    counts for all points of the other.  Cells on the rim of the radius are looked into only
+    where they hold more than that; they are halved until their points make up no more than
+    ``enough`` pairs a point, or ``deepest`` times, and then points are compared.
+    """
+    size = radius / 4
+    finite = "abs(x) < double('infinity') and abs(y) < double('infinity')"
+    at = lambda level: [F.floor(F.col(c) / (size / 2**level)).cast("long") for c in ("x", "y")]
+    asked = settle(points.select("id", *by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(finite))
+    # A struct, so that a rank that is null comes after all others, and none at all is null.
+    top = F.struct(F.col(rank).isNotNull().alias("known"), F.col(rank).alias("rank"))
+    held = others.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), top.alias("top")).filter(finite)
+    held = settle(held.groupBy(*by, "x", "y").agg(F.max("top").alias("top")))
+    most = enough * (asked.count() + held.count())
+    found, rim, level = [], None, 0
+    while True:
+        x, y = at(level)
+        to = asked.groupBy(*by, x.alias("qx"), y.alias("qy")).agg(F.count(F.lit(1)).alias("n"))
+        of = held.groupBy(*by, x.alias("hx"), y.alias("hy")).agg(F.max("top").alias("top"))
+        if rim is None:
+            steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-5, 6) for j in range(-5, 6)])
+            of = of.select("*", F.explode(steps).alias("_s")).select(*of.columns, (F.col("hx") + F.col("_s.i")).alias("qx"), (F.col("hy") + F.col("_s.j")).alias("qy"))
+            met = of.join(to, [*by, "qx", "qy"]).withColumn("sure", F.lit(None).cast(held.schema["top"].dataType))
+        else:
+            half = lambda rows, *cs: rows.select("*", *[F.shiftright(c, 1).alias(f"_{c}") for c in cs])
+            met = rim.withColumnsRenamed({c: f"_{c}" for c in ("qx", "qy", "hx", "hy")}).join(half(to, "qx", "qy"), [*by, "_qx", "_qy"]).join(half(of, "hx", "hy"), [*by, "_hx", "_hy"])
+        i, j = F.abs(F.col("qx") - F.col("hx")), F.abs(F.col("qy") - F.col("hy"))
+        reach, outer, inner = (4 * 2**level) ** 2, (i + 1) * (i + 1) + (j + 1) * (j + 1), F.pow(F.greatest(i - 1, F.lit(0)), 2) + F.pow(F.greatest(j - 1, F.lit(0)), 2)
+        # Far from the origin a cell's rounding is no longer small against it.
+        whole = (outer <= reach * (1 - 1e-6)) & (F.greatest(F.abs("qx"), F.abs("qy")) < 2**30)
+        met = settle(met.filter(inner <= reach * (1 + 1e-6)).select(*by, "qx", "qy", "n", "hx", "hy", "top", "sure", whole.alias("whole")))
+        new = met.filter("whole").groupBy(*by, "qx", "qy").agg(F.max("top").alias("_new"))
+        found.append((level, new))
+        rim = met.filter("NOT whole").join(new, [*by, "qx", "qy"], "left").withColumn("sure", F.greatest("sure", "_new")).filter("sure IS NULL OR top > sure")
+        rim = settle(rim.select(*by, "qx", "qy", "n", "hx", "hy", "sure"))
+        open_ = held.select(*by, x.alias("hx"), y.alias("hy"), F.col("x").alias("_x"), F.col("y").alias("_y"), "top").join(rim, [*by, "hx", "hy"]).filter("sure IS NULL OR top > sure")
+        if level == deepest or (open_.agg(F.sum("n")).head()[0] or 0) <= most:
+            break
+        rim, level = rim.drop("n"), level + 1
+    near = asked.withColumn("qx", x).withColumn("qy", y).join(open_.select(*by, "qx", "qy", "_x", "_y", "top"), [*by, "qx", "qy"])
+    out = near.filter(F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)) <= radius).select("id", "top")
+    for level, sure in found:
+        x, y = at(level)
+        out = out.unionByName(asked.withColumn("qx", x).withColumn("qy", y).join(sure, [*by, "qx", "qy"]).select("id", F.col("_new").alias("top")))
+    return out.groupBy("id").agg(F.max("top").alias("top")).select("id", F.col("top.rank").alias("top"))
 
 
 def spread_ranks(pieces: DataFrame, ends: DataFrame, snap: float, extent: float) -> DataFrame:
@@ -79,19 +124,19 @@ def spread_ranks(pieces: DataFrame, ends: DataFrame, snap: float, extent: float)
     that is above its own.  One that no chain reaches (layer null) takes the rank of the
     settled piece of its group with the nearest end, ``dist`` away (ties: the lowest id), by
     the same rule; dist is null where its group has none within ``extent``.  Null ``ranked``
-    counts as not ranked.  A layer takes two joins by id of the pieces not yet settled.
+    counts as not ranked.  A layer takes joins by id and by cell of the pieces not yet settled; no
+    pairs of touching pieces are made (``highest_near``).
     """
     ranked = F.col("grp").isNull() | F.coalesce("ranked", F.lit(False))
     with plain_plans(pieces.sparkSession):
         rows = cut(pieces.select("id", "grp", "rank", ranked.alias("done")))
         spots = cut(ends.join(rows.filter("grp IS NOT NULL").select("id", "grp"), "id").select("id", "grp", "x", "y"))
-        links = cut(touching(spots, snap))
         front = rows.filter("done").select("id", "rank", F.lit(0).alias("layer"))
         layers, left, layer = [front], rows.filter("NOT done").select("id", "rank"), 0
         while True:
             layer += 1
-            heard = links.join(front.select(F.col("id").alias("a"), F.col("rank").alias("_r")), "a").groupBy("b").agg(F.max("_r").alias("_r"))
-            front = settle(left.join(heard, F.col("id") == F.col("b")).select("id", F.greatest("rank", "_r").alias("rank"), F.lit(layer).alias("layer")))
+            heard = highest_near(spots.join(left.select("id"), "id", "left_semi"), spots.join(front.select("id", "rank"), "id"), snap, ["grp"], "rank")
+            front = settle(left.join(heard, "id").select("id", F.greatest("rank", "top").alias("rank"), F.lit(layer).alias("layer")))
             if front.isEmpty():
                 break
             layers.append(front)

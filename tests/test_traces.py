@@ -110,6 +110,30 @@ def test_ranks_equal_the_rule_layer_by_layer(spark):
     assert T.spread_ranks(p, e.limit(0), 9.0, 200.0).count() == len(pieces)
 
 
+@pytest.mark.parametrize("enough, width", [(16, 60), (0, 60), (0, 8), (0, 1)])
+def test_highest_near_equals_all_pairs_where_points_crowd(spark, enough, width):
+    r = random.Random(width)
+    spot = lambda: (r.uniform(-width, width), r.choice([r.uniform(-width, width), 7.0]))
+    asked = [(i // 2, r.randint(1, 2), *spot()) for i in range(600)] + [(800, 1, math.inf, 0.0), (801, 2, None, 0.0)]
+    held = [(r.randint(1, 2), *q, r.choice([None, round(q[0]), r.randint(-9, 9)])) for q in (spot() for _ in range(500))] + [(1, 1e9, 1e9, 4)]
+    want = {}
+    for i, g, *p in asked:
+        for h, x, y, rank in held:
+            if g == h and None not in p and math.sqrt((p[0] - x) ** 2 + (p[1] - y) ** 2) <= 9.0:
+                want[i] = max((x for x in (want.get(i), rank) if x is not None), default=None)
+    a = spark.createDataFrame(asked, "id long, grp long, x double, y double")
+    h = spark.createDataFrame(held, "grp long, x double, y double, rank int")
+    assert {v.id: v.top for v in T.highest_near(a, h, 9.0, ["grp"], "rank", enough, 3).collect()} == want
+
+
+def test_ranks_spread_in_a_crowd_without_its_pairs(spark):
+    n = 30_000  # all touch: 900 million pairs
+    p = spark.range(n).selectExpr("id", "1L AS grp", "id % 3 = 0 AS ranked", "CAST(id % 7 AS INT) AS rank")
+    e = spark.range(n).selectExpr("id", "id % 173 / 50.0 AS x", "id % 211 / 50.0 AS y")
+    got = T.spread_ranks(p, e, 9.0, 200.0).groupBy("layer").agg({"rank": "min", "*": "count"}).collect()
+    assert sorted((v.layer, v["min(rank)"], v["count(1)"]) for v in got) == [(0, 0, 10_000), (1, 6, 20_000)]
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
