@@ -28,12 +28,17 @@ _WIDE = f"""{_O}, e AS (SELECT id AS src, n1 AS dst, CAST(id * 37 % 23 + 5 AS DO
  r AS (SELECT f.id, source, width, CAST(cost AS DOUBLE) AS cost, CAST(length AS DOUBLE) AS length, cut AS shortcuts FROM f JOIN b USING (id) WHERE rn = 1)"""
 
 
+def _each(o, *edges):
+    """The edges of each row; those of one customer stay together."""
+    return o.select(F.inline(F.array(*edges))).filter("dst IS NOT NULL")
+
+
 def _passages(o):
     i = F.col("id")
     free = i % 3 == 0
-    on = o.filter("n1 IS NOT NULL").select(i.alias("src"), F.col("n1").alias("dst"), (i * 37 % 23 + 5).alias("width"), F.lit(0).cast("long").alias("cost"), (i % 10 + 1).alias("length"), F.lit(False).alias("shortcut"))
-    over = o.filter("n2 IS NOT NULL AND id % 4 < 2").select(i.alias("src"), F.col("n2").alias("dst"), F.when(~free, i % 19 + 8).alias("width"), F.when(free, i % 4).otherwise(0).alias("cost"), (i % 6).alias("length"), (free & (i % 4 == 0)).alias("shortcut"))
-    return on.unionByName(over)
+    on = F.struct(i.alias("src"), F.col("n1").alias("dst"), (i * 37 % 23 + 5).alias("width"), F.lit(0).cast("long").alias("cost"), (i % 10 + 1).alias("length"), F.lit(False).alias("shortcut"))
+    over = F.struct(i.alias("src"), F.when(i % 4 < 2, F.col("n2")).alias("dst"), F.when(~free, i % 19 + 8).alias("width"), F.when(free, i % 4).otherwise(F.lit(0).cast("long")).alias("cost"), (i % 6).alias("length"), (free & (i % 4 == 0)).alias("shortcut"))
+    return _each(o, on, over)
 
 
 @query(f"{_WIDE} SELECT id, source, round(CASE WHEN width = 'infinity'::DOUBLE THEN -1 ELSE width END, 6) AS width, cost, length, shortcuts FROM r")
@@ -56,8 +61,8 @@ def linked_ends(spark, d):
 @query(f"{_O}, l AS (SELECT id, CAST(0 AS BIGINT) AS level FROM o WHERE prev IS NULL UNION SELECT e.dst, level + 1 FROM l JOIN (SELECT id AS src, n1 AS dst FROM o UNION ALL SELECT id, n2 FROM o WHERE id % 4 < 2) e ON src = id WHERE dst IS NOT NULL) SELECT id, max(level) AS level FROM l GROUP BY id")
 def network_levels(spark, d):
     o = orders(spark, d)
-    e = o.select(F.col("id").alias("src"), F.col("n1").alias("dst")).unionByName(o.filter("id % 4 < 2").select(F.col("id").alias("src"), F.col("n2").alias("dst")))
-    return N.levels(e.filter("dst IS NOT NULL"), o)
+    e = _each(o, F.struct(F.col("id").alias("src"), F.col("n1").alias("dst")), F.struct(F.col("id").alias("src"), F.expr("CASE WHEN id % 4 < 2 THEN n2 END").alias("dst")))
+    return N.levels(e, o)
 
 
 @query(f"""{_O}, e AS (SELECT id AS src, n1 AS dst, CASE WHEN id % 4 < 2 OR id % 5 = 0 THEN 1 / 2.1 ELSE 1 / 1.05 END AS share FROM o UNION ALL SELECT id, n2, 1 / 4.3 FROM o WHERE id % 4 < 2 UNION ALL SELECT id, prev, 1 / 3.7 FROM o WHERE id % 5 = 0),
@@ -66,7 +71,7 @@ def cyclic_flux(spark, d):
     """Flux from each customer's first order, where some hand a part back to the order before."""
     o = orders(spark, d)
     i = F.col("id")
-    on = o.select(i.alias("src"), F.col("n1").alias("dst"), F.when((i % 4 < 2) | (i % 5 == 0), 1 / 2.1).otherwise(1 / 1.05).alias("share"))
-    over = o.filter("id % 4 < 2").select(i.alias("src"), F.col("n2").alias("dst"), F.lit(1 / 4.3).alias("share"))
-    back = o.filter("id % 5 = 0").select(i.alias("src"), F.col("prev").alias("dst"), F.lit(1 / 3.7).alias("share"))
-    return N.solve_flux(on.unionByName(over).unionByName(back), o.filter("prev IS NULL").select("id", F.lit(1.0).alias("amount")), least=1e-9).select("id", F.round("flux", 6).alias("flux"))
+    on = F.struct(i.alias("src"), F.col("n1").alias("dst"), F.when((i % 4 < 2) | (i % 5 == 0), 1 / 2.1).otherwise(1 / 1.05).alias("share"))
+    over = F.struct(i.alias("src"), F.when(i % 4 < 2, F.col("n2")).alias("dst"), F.lit(1 / 4.3).alias("share"))
+    back = F.struct(i.alias("src"), F.when(i % 5 == 0, F.col("prev")).alias("dst"), F.lit(1 / 3.7).alias("share"))
+    return N.solve_flux(_each(o, on, over, back), o.filter("prev IS NULL").select("id", F.lit(1.0).alias("amount")), least=1e-9).select("id", F.round("flux", 6).alias("flux"))

@@ -8,6 +8,7 @@ import pytest
 
 from fluvius.operators import flows as N
 from fluvius.operators.graph import CycleError
+from fluvius.operators.parts import in_parts
 
 EDGES = "src long, dst long, width double, cost double, length double, shortcut boolean"
 
@@ -84,6 +85,50 @@ def test_levels_on_long_chains_and_rings(spark):
             N.levels(spark.createDataFrame(ring, "src long, dst long"), spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long"))
 
 
+def test_parts_are_labelled_whatever_task_holds_their_edges(spark):
+    r = random.Random(3)
+    rows = [(f"n{i}", f"n{r.randrange(i + 1, i + 4)}") for i in range(0, 200, 2) if i % 40]
+    group = {x: {x} for e in rows for x in e}
+    for a, b in rows:
+        whole = group[a] | group[b]
+        for x in whole:
+            group[x] = whole
+    edges = spark.createDataFrame([*rows, (None, "n1"), ("n1", None)], "src string, dst string")
+    for tasks in (1, 7):
+        out, held = in_parts(edges.repartition(tasks))
+        part = {v.id: v.part for v in held.collect()}
+        assert all(part[x] in group[x] and (part[x] == part[y]) == (y in group[x]) for x in group for y in group)
+        assert part.keys() == group.keys() and sorted((v.src, v.dst) for v in out.collect()) == sorted(rows) and all(part[v.src] == v.part for v in out.collect())
+
+
+@pytest.mark.parametrize("whole", [0, 40])
+def test_large_parts_take_rounds_with_the_same_results(spark, whole):
+    r = random.Random(6)
+    rows = network(r, 60) + [(a + 1000 + 100 * k, b + 1000 + 100 * k, *e) for k in range(6) for a, b, *e in network(r, 12)]
+    edges = spark.createDataFrame(rows, EDGES)
+    begin = spark.createDataFrame([(i,) for i in (0, 1000, 1003, 1100, 1200, 1500, 9000)], "id long")
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert same(N.widest(edges, begin, whole), N.widest(edges, begin))
+    ids = edges.select("src").union(edges.select("dst")).union(begin).withColumnRenamed("src", "id")
+    assert same(N.levels(edges, ids, whole), N.levels(edges, ids))
+    shared = edges.select("src", "dst", N.F.lit(0.4).alias("share")).union(edges.filter("src % 5 = 1").select("dst", "src", N.F.lit(0.15)))
+    put = begin.withColumn("amount", N.F.lit(2.0))
+    one, all_ = (dict(map(tuple, N.solve_flux(shared, put, whole=w).collect())) for w in (whole, 10**6))
+    assert one == pytest.approx(all_, abs=1e-9) and len(one) > 40
+
+
+def test_many_small_networks_take_no_rounds(spark, monkeypatch):
+    for name in ("_widest_in_rounds", "_levels_in_rounds", "_flux_in_rounds"):
+        monkeypatch.setattr(N, name, None)
+    e = spark.range(40_000).selectExpr("id AS src", "id + 1 AS dst", "CAST(id % 7 AS DOUBLE) AS width", "0.0 AS cost", "1.0 AS length", "false AS shortcut", "0.5 AS share").filter("src % 20 < 19")
+    begin = spark.range(0, 40_000, 20).withColumn("amount", N.F.lit(1.0))
+    assert N.widest(e, begin).groupBy("length").count().filter("count <> 2000").isEmpty()
+    assert N.levels(e, spark.range(40_000)).groupBy("level").count().filter("count <> 2000").isEmpty()
+    assert N.solve_flux(e, begin).filter("abs(flux - pow(0.5D, id % 20)) > 1e-12").isEmpty()
+    with pytest.raises(CycleError):
+        N.levels(e.unionByName(e.filter("src = 45").selectExpr("dst AS src", "src AS dst"), allowMissingColumns=True), spark.range(40_000))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_flux_equals_dense_solve(spark, seed):
     r = random.Random(seed)
