@@ -163,3 +163,28 @@ def test_sides_do_not_depend_on_cells(spark, cell):
     counted = O.sides(edges(spark, polygons), cell).cache()
     for rule in ("union", "difference"):
         assert areas(O.outline(counted, rule)).get(1, 0) == pytest.approx(slabs(polygons, rule), abs=1e-6), rule
+
+
+def test_rounds_of_rings_follow_the_longest_ring_not_the_table(spark, monkeypatch):
+    """600 rings of 1 to 8 and paths of up to 8 beside them: whole after four doublings, whatever the table's size."""
+    nxt, start = {}, 1
+    for k in range(600):
+        size = k % 8 + 1
+        ids = list(range(start, start + size))
+        random.Random(k).shuffle(ids)
+        nxt |= dict(zip(ids, [*ids[1:], ids[0] if k % 3 else None], strict=True))
+        start += size
+    written, settle = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda rows: written.append(1) or settle(rows))
+    found = {r["id"]: r for r in C.chase(spark.createDataFrame(list(nxt.items()), "id long, nxt long")).collect()}
+    assert len(written) <= 6 and len(found) == len(nxt)
+    for i in nxt:
+        way = [i]
+        while nxt[way[-1]] is not None and nxt[way[-1]] != i:
+            way.append(nxt[way[-1]])
+        r, open_ = found[i], nxt[way[-1]] is None
+        assert r["end"] == (way[-1] if open_ else None)
+        if open_:
+            assert r["steps"] == len(way) - 1
+        else:
+            assert r["low"] == min(way) and r["far"] == way.index(min(way))
