@@ -2,9 +2,10 @@
 
 Texts are cut into blocks with a dictionary each (``blocks``); a dictionary word is encoded
 by a byte-level BPE once, with the space before it.  From all training texts Spark counts
-words (for the base) and subword ids (for the model's vocabulary), and takes windows for
-training: a share RATE of all, plus what FLOOR_BYTES of text hold.  Shards of windows are
-trained side by side from the same weights, which are then averaged, ROUNDS times.
+words (for the base) and subword ids (for the model's vocabulary), and deals all windows of
+these texts out to shards and rounds, a chunk of a text at a time.  The model learns from each
+of them: the shards of a round are trained side by side from the same weights, which are then
+averaged, ROUNDS times.
 
 The model sees the 16 inputs before a window beside the window's own 16: windows overlap
 in their context, and every token is scored once.  The ids of most use are leaves of a
@@ -43,10 +44,9 @@ LEAVES = CLASSES * CLASSES
 PAD, BOS = LEAVES, LEAVES + 1
 #: The same as 16-bit subword ids.
 PAD_ID, BOS_ID = 0xFFFF, 0xFFFE
-#: Share of all training windows that is trained on, text bytes whose windows come on top, and bytes of a shard.
-RATE = 1 / 32
-FLOOR_BYTES = 4 << 20
-SHARD_BYTES = 6 << 20
+#: Text bytes of a shard, and windows of a text that go to one shard and round together.
+SHARD_BYTES = 16 << 20
+CHUNK = 64
 ROUNDS = 4
 #: Windows of small samples are gone over several times, until so many are seen or MOST_PASSES made.
 SEEN = 1 << 18
@@ -179,15 +179,20 @@ def to_blob(p: dict[str, np.ndarray]) -> bytes:
     return np.concatenate([p[k].ravel() for k in _SHAPES]).astype(_F).tobytes()
 
 
-def from_blob(blob: bytes) -> dict[str, np.ndarray]:
-    flat, out, a = np.frombuffer(blob, _F), {}, 0
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights as parts of one array."""
+    out, a = {}, 0
     for k, s in _SHAPES.items():
         n = math.prod(s)
-        out[k] = flat[a : a + n].reshape(s).copy()
+        out[k] = flat[a : a + n].reshape(s)
         a += n
     return out
 
 
+def from_blob(blob: bytes) -> dict[str, np.ndarray]:
+    return views(np.frombuffer(blob, _F).copy())
+
+
 def _normal(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shifted logits and their log sums; the shares are left in ``logits``."""
     logits -= logits.max(1, keepdims=True)
@@ -201,7 +206,7 @@ def _normal(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scatter(index: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Rows of ``g`` added up by ``index``."""
     index, g = index.ravel(), g.reshape(index.size, -1)
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")
     at = index[order]
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     out = np.zeros((LEAVES + 2, g.shape[1]), g.dtype)
@@ -213,28 +218,37 @@ def gradient(p, x: np.ndarray, y: np.ndarray, cls: np.ndarray, place: np.ndarray
     """(log probabilities of the targets, gradients of their mean loss): x (n, 32) inputs, y (n, 16) leaves, -1 for none."""
     own = x[:, SPAN:]
     n, ok = len(x), y >= 0
-    heads, hidden = [], p["skip"][own]
+    heads, hidden = [], p["skip"].take(own, 0)
     for h in range(HEADS):
-        q, k, v = p["query"][h][own], p["key"][h][x], p["value"][h][x]
-        a = q @ k.transpose(0, 2, 1) + p["far"][h][_AT] + _MASK
-        a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        hidden[:, :, h * HEAD : (h + 1) * HEAD] += a @ v
-        heads.append((q, k, v, a))
+        q, k, v = p["query"][h].take(own, 0), p["key"][h].take(x, 0), p["value"][h].take(x, 0)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        a += (p["far"][h][_AT] + _MASK).astype(a.dtype)
+        # The last value is one, so the last sum is that of the weights.
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = np.exp(a)
+            c = e @ v
+        if not _sound(c[:, :, -1]):
+            e = np.exp(a - a.max(-1, keepdims=True))
+            c = e @ v
+        total = c[:, :, -1:].copy()
+        c /= total
+        hidden[:, :, h * HEAD : (h + 1) * HEAD] += c
+        heads.append((q, k, v, e, c, total))
     np.maximum(hidden, 0, out=hidden)
     z = hidden[ok]
     m, rows, leaf = len(z), np.arange(len(z)), y[ok]
     c, t = cls[leaf], place[leaf]
-    share = z @ p["to_class"] + p["class_bias"]
+    share = z @ p["to_class"]
+    share += p["class_bias"]
     held, log_sum = _normal(share)
     ll = held[rows, c] - log_sum
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.uint8), kind="stable")
     cut, zs, ts = np.searchsorted(c[order], np.arange(CLASSES + 1)), z[order], t[order]
     inner = np.empty((m, CLASSES), z.dtype)
     for k in range(CLASSES):
         s = slice(cut[k], cut[k + 1])
-        inner[s] = zs[s] @ p["to_place"][k] + p["place_bias"][k]
+        np.matmul(zs[s], p["to_place"][k], out=inner[s])
+        inner[s] += p["place_bias"][k]
     held, log_sum = _normal(inner)
     ll[order] += held[rows, ts] - log_sum
 
@@ -248,54 +262,72 @@ def gradient(p, x: np.ndarray, y: np.ndarray, cls: np.ndarray, place: np.ndarray
         s = slice(cut[k], cut[k + 1])
         g["to_place"][k], g["place_bias"][k] = zs[s].T @ inner[s], inner[s].sum(0)
         back[order[s]] = inner[s] @ p["to_place"][k].T
-    dh = np.zeros((n, SPAN, WIDTH), z.dtype)
-    dh[ok] = (share @ p["to_class"].T + back) * (z > 0)
-    g["skip"] = _scatter(own, dh)
-    for name in ("query", "key", "value", "far"):
-        g[name] = np.zeros_like(p[name])
-    for h, (q, k, v, a) in enumerate(heads):
-        dc = np.ascontiguousarray(dh[:, :, h * HEAD : (h + 1) * HEAD])
-        da = dc @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(-1, keepdims=True))
-        g["value"][h] = _scatter(x, a.transpose(0, 2, 1) @ dc)
-        g["key"][h] = _scatter(x, da.transpose(0, 2, 1) @ q)
-        g["query"][h] = _scatter(own, da @ k)
+    back += share @ p["to_class"].T
+    back *= z > 0
+    # Gradients of the rows that an input takes stand side by side, so that inputs are sorted once.
+    at_own, at_all = np.zeros((n, SPAN, WIDTH + HEADS * HEAD), z.dtype), np.empty((n, 2 * SPAN, 2 * HEADS * HEAD), z.dtype)
+    at_own[ok, :WIDTH] = back
+    g["far"] = np.zeros_like(p["far"])
+    for h, (q, k, v, e, c, total) in enumerate(heads):
+        dc = at_own[:, :, h * HEAD : (h + 1) * HEAD] / total
+        da = dc @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        da -= (dc * c).sum(-1, keepdims=True)
+        da *= e
+        at_all[:, :, 2 * h * HEAD : (2 * h + 1) * HEAD] = da.transpose(0, 2, 1) @ q
+        at_all[:, :, (2 * h + 1) * HEAD : (2 * h + 2) * HEAD] = e.transpose(0, 2, 1) @ dc
+        at_own[:, :, WIDTH + h * HEAD : WIDTH + (h + 1) * HEAD] = da @ k
         g["far"][h] = np.bincount(_AT[_SEEN], weights=da.sum(0)[_SEEN], minlength=2 * SPAN)
+    one, both = _scatter(own, at_own), _scatter(x, at_all).reshape(-1, HEADS, 2, HEAD)
+    g["skip"], g["query"] = one[:, :WIDTH], one[:, WIDTH:].reshape(-1, HEADS, HEAD).transpose(1, 0, 2)
+    g["key"], g["value"] = both[:, :, 0].transpose(1, 0, 2), both[:, :, 1].transpose(1, 0, 2)
     g["query"][:, :, -1] = g["value"][:, :, -1] = 0
     g["key"][:, PAD] = 0
     return ll, g
 
 
 def train(p, windows: np.ndarray, vocabulary: Vocabulary, cls, place, rounds: int, at: int, passes: int):
-    """Weights after one round (``at`` of ``rounds``) over this shard's share of the round; windows are rows of 33 ids."""
-    windows = windows[np.random.default_rng(at).permutation(len(windows))][at::rounds]
-    mean, square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    """Weights after one round (``at`` of ``rounds``) over this shard's windows of the round; windows are rows of 33 ids."""
+    flat = np.frombuffer(to_blob(p), _F).copy()
+    p, mean, square, part = views(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     steps, step = passes * -(-len(windows) // BATCH), 0
     for k in range(passes):
         order = np.random.default_rng((at, k)).permutation(len(windows))
         for a in range(0, len(windows), BATCH):
-            w = windows[order[a : a + BATCH]]
+            w = windows[order[a : a + BATCH]].astype(np.int64)
             ids = w[:, SPAN + 1 :]
             y = np.where(ids == PAD_ID, -1, vocabulary.leaf[np.minimum(ids, len(vocabulary.leaf) - 1)])
             _, g = gradient(p, vocabulary.inputs[w[:, : 2 * SPAN]], y, cls, place)
+            g = np.concatenate([g[name].ravel() for name in _SHAPES], dtype=_F)
             step += 1
             speed = RATE_OF_LEARNING * (1 - (at + (step - 1) / steps) / rounds) * min(1, step / 30)
-            for name in p:
-                mean[name] = 0.9 * mean[name] + 0.1 * g[name]
-                square[name] = 0.99 * square[name] + 0.01 * g[name] ** 2
-                p[name] -= (speed / (1 - 0.9**step)) * mean[name] / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)
+            for held, new, rate in ((mean, g, 0.1), (square, g * g, 0.01)):
+                np.subtract(new, held, out=part)
+                part *= _F(rate)
+                held += part
+                if step % 64 == 0:  # what is left of old gradients must not become subnormal: such numbers are slow
+                    held[np.abs(held) < 1e-30] = 0
+            np.sqrt(square, out=part)
+            part *= _F(1 / math.sqrt(1 - 0.99**step))
+            part += _F(1e-8)
+            np.divide(mean, part, out=part)
+            part *= _F(speed / (1 - 0.9**step))
+            flat -= part
             p["query"][:, :, -1] = p["value"][:, :, -1] = 1
             p["key"][:, PAD, -1] = _NEVER
     return p
 
 
-def windows_of(tokens: np.ndarray) -> np.ndarray:
-    """Rows of 33 ids for each 16 of a text's tokens: the 17 before (the text's begin and padding where there are fewer), then the 16."""
-    n = -(-len(tokens) // SPAN)
-    line = np.full(SPAN + 1 + n * SPAN, PAD_ID, np.int64)
+def line_of(tokens: np.ndarray) -> np.ndarray:
+    """A text's tokens after padding and the text's begin (17 ids), padded to whole spans of 16."""
+    line = np.full(SPAN + 1 + -(-len(tokens) // SPAN) * SPAN, PAD_ID, "<u2")
     line[SPAN] = BOS_ID
     line[SPAN + 1 : SPAN + 1 + len(tokens)] = tokens
-    return np.lib.stride_tricks.sliding_window_view(line, 2 * SPAN + 1)[::SPAN]
+    return line
+
+
+def windows_of(tokens: np.ndarray) -> np.ndarray:
+    """Rows of 33 ids for each 16 of a text's tokens: the 17 before (the text's begin and padding where there are fewer), then the 16."""
+    return np.lib.stride_tricks.sliding_window_view(line_of(tokens), 2 * SPAN + 1)[::SPAN]
 
 
 def _sound(total: np.ndarray) -> bool:
@@ -401,7 +433,7 @@ _FIELDS = [
     ("ids", "binary", pa.binary()), ("id_sizes", "binary", pa.binary()),
     ("word", "binary", pa.binary()), ("code", "int", pa.int32()), ("n", "long", pa.int64()),
     ("id", "int", pa.int32()), ("id_n", "long", pa.int64()),
-    ("shard", "long", pa.int64()), ("windows", "binary", pa.binary()),
+    ("shard", "long", pa.int64()), ("round", "int", pa.int32()), ("lines", "binary", pa.binary()), ("line_sizes", "binary", pa.binary()),
 ]
 _BLOCKS = pa.schema([(name, kind) for name, _, kind in _FIELDS])
 
@@ -416,12 +448,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _read_blocks(file, limit: int, share: float, shards: int):
-    """doc_id, held_out, text -> rows of documents, dictionaries, words, subword ids and training windows."""
+def _read_blocks(file, limit: int, shards: int, rounds: int):
+    """doc_id, held_out, text -> rows of documents, dictionaries, words, subword ids and all training windows."""
 
     def work(batches):
         subwords = loaded(file)
-        bound = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
         for block, rows in in_blocks(batches, "text", limit):
             codes, docs, names, held_out = Codes(), [], [], rows["held_out"].to_pylist()
             for doc_id, raw in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
@@ -436,13 +467,11 @@ def _read_blocks(file, limit: int, share: float, shards: int):
                     continue
                 np.add.at(n, d, 1)
                 id_n[subwords.end] += 1
-                marks = _mixed(np.uint64(name) + np.arange(-(-(int(sizes[d].sum()) + 1) // SPAN), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                chosen = np.flatnonzero(marks <= bound)
-                if len(chosen):
-                    tokens = np.append(ids[_spread(first[d], sizes[d])], subwords.end)
-                    picked = windows_of(tokens)[chosen].astype("<u2")
-                    for s in np.unique(to := (_mixed(marks[chosen]) % np.uint64(shards)).astype(np.int64)):
-                        taken.setdefault(int(s), []).append(picked[to == s].tobytes())
+                line = line_of(np.append(ids[_spread(first[d], sizes[d])], subwords.end))
+                chunks = range(0, len(line) - SPAN - 1, CHUNK * SPAN)
+                marks = _mixed(np.uint64(name) + np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                for k, to in zip(chunks, (marks % np.uint64(shards * rounds)).tolist(), strict=True):
+                    taken.setdefault(to, []).append(line[k : k + SPAN + 1 + CHUNK * SPAN])
             id_n[: subwords.size] = np.bincount(ids, weights=np.repeat(n, sizes), minlength=subwords.size).astype(np.int64)
             yield _rows(len(docs), block=[block] * len(docs), doc_id=rows["doc_id"].combine_chunks(), held_out=held_out, codes=[pack(d) for d in docs])
             yield _rows(1, block=[block], ids=[zstandard.compress(ids.astype("<u2").tobytes(), 1)], id_sizes=[pack(sizes)])
@@ -451,31 +480,39 @@ def _read_blocks(file, limit: int, share: float, shards: int):
                 yield _rows(b - a, block=np.full(b - a, block), word=words[a:b], code=np.arange(a, b), n=n[a:b])
             at = np.flatnonzero(id_n)
             yield _rows(len(at), id=at, id_n=id_n[at])
-            for s, parts in taken.items():
-                yield _rows(1, shard=[s], windows=[zstandard.compress(b"".join(parts), 1)])
+            for to, parts in taken.items():
+                lines = zstandard.compress(np.concatenate(parts).tobytes(), 1)
+                yield _rows(1, shard=[to % shards], round=[to // shards], lines=[lines], line_sizes=[pack(np.array([len(p) for p in parts]))])
 
     return work
 
 
-def _windows(blobs) -> np.ndarray:
-    """All windows of a shard in the order of their bytes, so that no task order plays a part."""
-    raw = np.concatenate([np.frombuffer(zstandard.decompress(b, 1 << 40), "<u2") for b in blobs]).reshape(-1, 2 * SPAN + 1)
-    return raw[np.lexsort(raw.T[::-1])].astype(np.int64)
+def _windows(lines, sizes) -> np.ndarray:
+    """All windows of a shard's round; lines come in the order of their bytes, so that no task order plays a part."""
+    every = []
+    for blob, size in zip(lines, sizes, strict=True):
+        raw, ends = zstandard.decompress(blob, 1 << 40), 2 * np.cumsum(unpack(size))
+        every += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    every.sort()
+    size = np.array([len(e) // 2 for e in every])
+    n = (size - 1) // SPAN - 1  # a line begins with 17 ids of context
+    at = np.repeat(np.cumsum(size) - size - SPAN * (np.cumsum(n) - n), n) + SPAN * np.arange(n.sum())
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(every), "<u2"), 2 * SPAN + 1)[at]
 
 
 def _contexts(leaf: np.ndarray, inputs: np.ndarray):
-    """What stands before which leaf in the windows: counts by context * LEAVES + leaf."""
+    """What stands before which leaf in the windows: counts by context * LEAVES + leaf, once a task."""
 
     def work(batches):
+        total = np.zeros((CONTEXTS + 1) * LEAVES, np.int64)
         for batch in batches:
-            total = np.zeros((CONTEXTS + 1) * LEAVES, np.int64)
-            for blob in batch.column(0).to_pylist():
-                w = np.frombuffer(zstandard.decompress(blob, 1 << 40), "<u2").reshape(-1, 2 * SPAN + 1)
-                ids, before = w[:, SPAN + 1 :].ravel().astype(np.int64), w[:, SPAN:-1].ravel().astype(np.int64)
-                ok = ids != PAD_ID
-                total += np.bincount(np.minimum(inputs[before[ok]], CONTEXTS) * LEAVES + leaf[ids[ok]], minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
+            for blob, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, n = np.frombuffer(zstandard.decompress(blob, 1 << 40), "<u2").astype(np.int64), unpack(size)
+                own = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) > SPAN
+                at = np.flatnonzero(own & (ids != PAD_ID))
+                total += np.bincount(np.minimum(inputs[ids[at - 1]], CONTEXTS) * LEAVES + leaf[ids[at]], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
 
     return work
 
@@ -483,7 +520,7 @@ def _contexts(leaf: np.ndarray, inputs: np.ndarray):
 def _train_shard(weights, rounds: int, at: int, passes: int):
     def work(key, rows):
         blob, vocabulary, cls, place = weights.value
-        windows = _windows(rows["windows"].to_pylist())
+        windows = _windows(rows["lines"].to_pylist(), rows["line_sizes"].to_pylist())
         p = train(from_blob(blob), windows, vocabulary, cls, place, rounds, at, passes)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(windows)], pa.int64()), "weights": pa.array([to_blob(p)], pa.binary())})
 
@@ -501,16 +538,16 @@ def _average(key, rows):
 _SHARD = "shard long, n long, weights binary"
 
 
-def fit(held: DataFrame, size: int, shards: int, scratch: Scratch, rounds: int = ROUNDS):
+def fit(held: DataFrame, size: int, shards: int, scratch: Scratch):
     """(weights, vocabulary, classes, places) from the written blocks; ``size``: ids, the end included."""
     spark = held.sparkSession
     counts = np.zeros(size, np.int64)
     for r in held.filter("id is not null").groupBy("id").agg(F.sum("id_n").alias("n")).toLocalIterator():  # a row an id of the tokenizer at most
         counts[r.id] = r.n
     vocabulary = Vocabulary(counts)
-    sample = held.filter("shard is not null").select("shard", "windows")
+    lines = held.filter("shard is not null").select("shard", "round", "lines", "line_sizes")
     contexts = np.zeros((CONTEXTS + 1) * LEAVES)
-    cells = sample.select("windows").mapInArrow(_contexts(vocabulary.leaf, vocabulary.inputs), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = lines.select("lines", "line_sizes").mapInArrow(_contexts(vocabulary.leaf, vocabulary.inputs), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     for batch in cells.toArrow().to_batches():  # one fixed table of 257 x 1,024 cells
         contexts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     contexts = contexts.reshape(CONTEXTS + 1, LEAVES).T
@@ -518,15 +555,16 @@ def fit(held: DataFrame, size: int, shards: int, scratch: Scratch, rounds: int =
     p = fresh(vocabulary, cls, place)
     seen = int(contexts.sum()) // SPAN
     passes = min(MOST_PASSES, max(1, SEEN // max(seen, 1)))
-    for at in range(rounds if seen else 0):
+    for at in range(ROUNDS if seen else 0):
         weights = spark.sparkContext.broadcast((to_blob(p), vocabulary, cls, place))
-        trained = scratch.cut(sample.groupBy("shard").applyInArrow(_train_shard(weights, rounds, at, passes), _SHARD), f"round-{at}-0")
+        trained = scratch.cut(lines.filter(F.col("round") == at).groupBy("shard").applyInArrow(_train_shard(weights, ROUNDS, at, passes), _SHARD), f"round-{at}-0")
         left, k = shards, 0
         while left > 1:
             k += 1
             trained = scratch.cut(trained.withColumn("to", F.floor(F.col("shard") / FAN_IN).cast("long")).groupBy("to").applyInArrow(_average, _SHARD), f"round-{at}-{k}")
             left = -(-left // FAN_IN)
-        p = from_blob(trained.head().weights)
+        if row := trained.head():  # a small corpus can have a round without windows
+            p = from_blob(row.weights)
         weights.unpersist()
     return p, vocabulary, cls, place
 
@@ -566,7 +604,7 @@ def _score_blocks(model, train_tokens: int, distinct: int, train_docs: int, chun
     return work
 
 
-def score(docs: DataFrame, bpe_file: str = BPE_FILE, limit: int = BLOCK_BYTES, share: float = RATE, floor_bytes: int = FLOOR_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score(docs: DataFrame, bpe_file: str = BPE_FILE, limit: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     A null text counts as empty: its one token is the end.  Rows that repeat a doc_id are
@@ -581,9 +619,8 @@ def score(docs: DataFrame, bpe_file: str = BPE_FILE, limit: int = BLOCK_BYTES, s
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    share = min(1.0, share + floor_bytes / max(total, 1))
-    shards = max(1, round(total * share / shard_bytes))
-    held = scratch.cut(rows.mapInArrow(_read_blocks(file, limit, share, shards), ", ".join(f"{name} {kind}" for name, kind, _ in _FIELDS)), "blocks")
+    shards = max(1, round(total / shard_bytes))
+    held = scratch.cut(rows.mapInArrow(_read_blocks(file, limit, shards, ROUNDS), ", ".join(f"{name} {kind}" for name, kind, _ in _FIELDS)), "blocks")
     model = spark.sparkContext.broadcast(fit(held, size, shards, scratch))
 
     # A word holds one row a block, whatever its occurrences.

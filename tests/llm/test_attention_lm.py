@@ -154,3 +154,22 @@ def test_words_are_encoded_each_by_itself():
         ids, sizes = s.encode([w.encode() for w in group])
         want = [s.code.encode_ordinary(" " + w) for w in group]
         assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_every_window_of_the_training_texts_is_learned_from_once(spark):
+    """Long texts, repeated ones and small ones: what all shards of all rounds are given is what plain windows are."""
+    rows = [(i, " ".join(f"w{i * 7 % 5}{k * k % 97}" for k in range(n))) for i, n in enumerate([0, 1, 15, 16, 17, 700, 2500, 40, 40, 3, 1023, 90])]
+    rows += [(7, rows[7][1])] * 2
+    s = M.Subwords(open(M.BPE_FILE, "rb").read())
+    encoded = lambda t: [x for w in t.lower().split() for x in s.code.encode_ordinary(" " + w)] + [s.end]
+    want = Counter(tuple(w) for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in M.windows_of(np.array(encoded(t))).tolist())
+    scratch = M.Scratch(spark, "lm-test")
+    seen = Counter()
+    file = spark.sparkContext.broadcast(open(M.BPE_FILE, "rb").read())
+    docs = spark.createDataFrame([(i, zlib.crc32(str(i).encode()) % 10 == 0, t.encode()) for i, t in rows], "doc_id long, held_out boolean, text binary").repartition(3)
+    held = scratch.cut(docs.mapInArrow(M._read_blocks(file, 5000, 3, M.ROUNDS), ", ".join(f"{name} {kind}" for name, kind, _ in M._FIELDS)), "blocks")
+    pieces = held.filter("shard is not null").groupBy("shard", "round").agg({"lines": "collect_list", "line_sizes": "collect_list"}).collect()
+    assert len(pieces) > 3 and {r["round"] for r in pieces} <= set(range(M.ROUNDS)) and {r["shard"] for r in pieces} <= {0, 1, 2}
+    for r in pieces:
+        seen.update(map(tuple, M._windows(r["collect_list(lines)"], r["collect_list(line_sizes)"]).tolist()))
+    assert seen == want
