@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
-
 
 def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     """a, b, s: pairs a < b of different ``names`` (column name) with an edit similarity of ``least`` or more.
@@ -32,5 +30,11 @@ def similar_names(names: DataFrame, least: float = 0.7) -> DataFrame:
     lo, hi = F.greatest(start(m, k, i) - k, F.lit(0)), F.least(start(m, k, i) + k, n - size)
     long = long.filter(lo <= hi).select("name", "m", "k", "i", size.alias("size"), F.explode(F.sequence(lo, hi)).alias("at"))
     looks = long.select(F.col("name").alias("b"), "m", "k", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    both = pieces.join(looks, ["m", "k", "i", "piece"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return both.withColumn("s", similarity(F.col("a"), F.col("b"))).filter(F.col("s") >= least)
+    # Few bytes make many pairs: the number of tasks is named, as Spark would put small tables together into one.
+    tasks, key = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["m", "k", "i", "piece"]
+    both = pieces.repartition(tasks, *key).join(looks.repartition(tasks, *key).hint("merge"), key).filter("a <> b")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition(tasks, "a", "b").distinct()
+    # Distances are worked out only as far as they may go; beyond that they are -1.
+    most = F.greatest(F.length("a"), F.length("b"))
+    near = both.withColumn("d", F.expr(f"levenshtein(a, b, int(floor(greatest(length(a), length(b)) * (1 - {least}D) + 1e-9)))")).filter("d >= 0")
+    return near.select("a", "b", (1 - F.col("d") / most).alias("s")).filter(F.col("s") >= least)
