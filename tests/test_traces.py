@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fluvius.operators import traces as T
 from fluvius.operators.fuzzy import similar_names
@@ -151,3 +152,12 @@ def test_similar_names_equal_all_pairs(spark, least):
     d = spark.createDataFrame([(x, "s") for x in [*names, *names, None]], "name string, s string")
     assert {(v.a, v.b) for v in similar_names(d, least).collect()} == want
     assert similar_names(d.limit(0), least).count() == 0
+
+
+def test_pairs_of_similar_names_are_compared_in_many_tasks(spark):
+    """Few bytes can make many pairs: neither the join nor the comparison is put together into one task."""
+    r = random.Random(5)
+    names = spark.createDataFrame([("".join(r.choices("ab", k=9)),) for _ in range(400)], "name string")
+    found = similar_names(names)
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= min(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
