@@ -46,13 +46,16 @@ PAD, BOS = LEAVES, LEAVES + 1
 PAD_ID, BOS_ID = 0xFFFF, 0xFFFE
 #: Text bytes of a shard, and windows of a text that go to one shard and round together.
 SHARD_BYTES = 16 << 20
-CHUNK = 64
+CHUNK = 32
 ROUNDS = 4
 #: Windows of small samples are gone over several times, until so many are seen or MOST_PASSES made.
 SEEN = 1 << 18
 MOST_PASSES = 6
-BATCH = 64
+#: Spans of 16 tokens of a step: fewer where a round would have less than STEPS steps.  The rate is that of 64, and grows with the root of their number.
+BATCH, LEAST_BATCH, STEPS = 512, 64, 256
 RATE_OF_LEARNING = 0.01
+#: Spans whose attention is worked out at once: their arrays stay in a core's cache.
+BLOCK = 64
 FAN_IN = 32
 #: Contexts that tell ids apart when classes are formed: the most frequent ones, and one for the rest.
 CONTEXTS = 256
@@ -126,6 +129,8 @@ class Vocabulary:
         self.inputs = np.full(1 << 16, PAD, np.int64)
         self.inputs[: len(counts)] = self.leaf
         self.inputs[BOS_ID] = BOS
+        self.targets = np.full(1 << 16, -1, np.int64)
+        self.targets[: len(counts)] = self.leaf
 
 
 def classes(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,119 +198,198 @@ def from_blob(blob: bytes) -> dict[str, np.ndarray]:
     return views(np.frombuffer(blob, _F).copy())
 
 
-def _normal(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shifted logits and their log sums; the shares are left in ``logits``."""
-    logits -= logits.max(1, keepdims=True)
-    held = logits.copy()
-    np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
-    logits /= total
-    return held, np.log(total[:, 0])
-
-
-def _scatter(index: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Rows of ``g`` added up by ``index``."""
-    index, g = index.ravel(), g.reshape(index.size, -1)
-    order = np.argsort(index.astype(np.uint16), kind="stable")
-    at = index[order]
-    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((LEAVES + 2, g.shape[1]), g.dtype)
-    out[at[new]] = np.add.reduceat(g[order], new)
-    return out
+def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of logits and their sums by row, up to one factor a row, and the logs of the whole sums; shifted only where a batch needs it."""
+    one = np.ones(logits.shape[1], logits.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = e @ one
+    if _sound(total):
+        return e, total, np.log(total)
+    top = logits.max(1, keepdims=True)
+    e = np.exp(logits - top)
+    total = e @ one
+    return e, total, np.log(total) + top[:, 0]
 
 
-def gradient(p, x: np.ndarray, y: np.ndarray, cls: np.ndarray, place: np.ndarray):
-    """(log probabilities of the targets, gradients of their mean loss): x (n, 32) inputs, y (n, 16) leaves, -1 for none."""
-    own = x[:, SPAN:]
-    n, ok = len(x), y >= 0
-    heads, hidden = [], p["skip"].take(own, 0)
-    for h in range(HEADS):
-        q, k, v = p["query"][h].take(own, 0), p["key"][h].take(x, 0), p["value"][h].take(x, 0)
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-        a += (p["far"][h][_AT] + _MASK).astype(a.dtype)
-        # The last value is one, so the last sum is that of the weights.
-        with np.errstate(over="ignore", invalid="ignore"):
-            e = np.exp(a)
-            c = e @ v
-        if not _sound(c[:, :, -1]):
-            e = np.exp(a - a.max(-1, keepdims=True))
-            c = e @ v
-        total = c[:, :, -1:].copy()
+class Attention:
+    """Both heads over consecutive spans: each token attends to those of its span up to itself and to the span before.
+
+    Keys and values of two spans are views of the rows of all, or of these rows turned, so
+    that each token's are looked up once.
+    """
+
+    def __init__(self, p):
+        self.rows = np.concatenate([*p["key"], *p["value"], *p["query"]], axis=1).reshape(LEAVES + 2, 3 * HEADS, HEAD)
+        self.turned = np.ascontiguousarray(self.rows[:, : 2 * HEADS].reshape(LEAVES + 2, -1).T)
+        self.bias = (p["far"][:, _AT] + _MASK).astype(p["far"].dtype)
+
+    @staticmethod
+    def blocks(n: int):
+        return (slice(a, a + BLOCK) for a in range(0, n, BLOCK))
+
+    def look_up(self, x: np.ndarray, values: bool):
+        """Queries of all spans of ``x`` but the first, and keys and values of each with the span before it; ``values``: these turned, too."""
+        n = len(x) - 1
+        rows = self.rows.take(x.ravel(), 0)
+        r = rows.strides
+        two = lambda part: np.lib.stride_tricks.as_strided(part, (n, HEADS, 2 * SPAN, HEAD), (SPAN * r[0], r[1], r[0], r[2]), writeable=False)
+        turned = self.turned[: (1 + values) * WIDTH].take(x.ravel(), 1).reshape(-1, HEAD, x.size)
+        t = turned.strides
+        across = lambda part: np.lib.stride_tricks.as_strided(part, (n, HEADS, HEAD, 2 * SPAN), (SPAN * t[2], t[0], t[1], t[2]), writeable=False)
+        queries = rows[SPAN:, 2 * HEADS :].reshape(n, SPAN, HEADS, HEAD).transpose(0, 2, 1, 3)
+        return queries, two(rows[:, :HEADS]), two(rows[:, HEADS:]), across(turned), across(turned[HEADS:]) if values else None
+
+    def weigh(self, q, v, k_turned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the logits, values averaged by them, and their sums: the last value is one, so its sum is that of the weights."""
+        for shifted in (False, True):
+            e, c = np.empty((len(q), HEADS, SPAN, 2 * SPAN), q.dtype), np.empty(q.shape, q.dtype)
+            with np.errstate(over="ignore", invalid="ignore"):
+                for s in self.blocks(len(q)):
+                    a = np.matmul(q[s], k_turned[s], out=e[s])
+                    a += self.bias
+                    if shifted:
+                        a -= a.max(-1, keepdims=True)
+                    np.exp(a, out=a)
+                    np.matmul(a, v[s], out=c[s])
+            total = c[..., -1:].copy()
+            if _sound(total):
+                break
         c /= total
-        hidden[:, :, h * HEAD : (h + 1) * HEAD] += c
-        heads.append((q, k, v, e, c, total))
+        return e, c, total
+
+
+def gradient(p, x: np.ndarray, y: np.ndarray, cls: np.ndarray, place: np.ndarray):
+    """``slope`` over windows, each by itself: x (n, 32) inputs, y (n, 16) leaves, -1 for none."""
+    spans = np.full((2 * len(y), SPAN), -1, np.int64)
+    spans[1::2] = y
+    ll, g = slope(p, x.reshape(-1, SPAN), spans[1:], cls, place)
+    return ll, views(g)
+
+
+def slope(p, x: np.ndarray, y: np.ndarray, cls: np.ndarray, place: np.ndarray):
+    """(log probabilities of the targets, in the order of their classes; gradients of their mean loss as one array).
+
+    x (n + 1, 16): inputs of consecutive spans, the first one context only; y (n, 16): leaves of
+    the others, -1 for none.  Texts follow one another: the first span of each has no targets.
+    """
+    n, flat, dtype = len(y), x.ravel(), p["skip"].dtype
+    ok = np.flatnonzero(y.ravel() >= 0)
+    ok = ok[np.argsort(cls[y.ravel()[ok]].astype(np.uint8), kind="stable")]
+    leaf = y.ravel()[ok]
+    c, t, m, rows = cls[leaf], place[leaf], len(ok), np.arange(len(ok))
+    one = np.ones(max(m, flat.size), dtype)
+    attention = Attention(p)
+    q, k, v, k_turned, v_turned = attention.look_up(x, True)
+    e, mean, total = attention.weigh(q, v, k_turned)
+    hidden = p["skip"].take(flat[SPAN:], 0)
+    by_head = lambda a: a.reshape(n, SPAN, HEADS, HEAD).transpose(0, 2, 1, 3)
+    by_head(hidden)[:] += mean
     np.maximum(hidden, 0, out=hidden)
-    z = hidden[ok]
-    m, rows, leaf = len(z), np.arange(len(z)), y[ok]
-    c, t = cls[leaf], place[leaf]
-    share = z @ p["to_class"]
-    share += p["class_bias"]
-    held, log_sum = _normal(share)
-    ll = held[rows, c] - log_sum
-    order = np.argsort(c.astype(np.uint8), kind="stable")
-    cut, zs, ts = np.searchsorted(c[order], np.arange(CLASSES + 1)), z[order], t[order]
-    inner = np.empty((m, CLASSES), z.dtype)
-    for k in range(CLASSES):
-        s = slice(cut[k], cut[k + 1])
-        np.matmul(zs[s], p["to_place"][k], out=inner[s])
-        inner[s] += p["place_bias"][k]
-    held, log_sum = _normal(inner)
-    ll[order] += held[rows, ts] - log_sum
-
-    share[rows, c] -= 1
-    inner[rows, ts] -= 1
-    share /= m
-    inner /= m
-    g = {"to_class": z.T @ share, "class_bias": share.sum(0), "to_place": np.zeros_like(p["to_place"]), "place_bias": np.zeros_like(p["place_bias"])}
-    back = np.empty((m, WIDTH), z.dtype)
-    for k in range(CLASSES):
-        s = slice(cut[k], cut[k + 1])
-        g["to_place"][k], g["place_bias"][k] = zs[s].T @ inner[s], inner[s].sum(0)
-        back[order[s]] = inner[s] @ p["to_place"][k].T
-    back += share @ p["to_class"].T
+    z = hidden.take(ok, 0)
+
+    logits = z @ p["to_class"]
+    logits += p["class_bias"]
+    ll = logits[rows, c]
+    share, sums, logs = _shares(logits)
+    ll -= logs
+    cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    parts = [(j, slice(a, b)) for j, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+    logits = np.empty((m, CLASSES), dtype)
+    for j, s in parts:
+        np.matmul(z[s], p["to_place"][j], out=logits[s])
+        logits[s] += p["place_bias"][j]
+    ll += logits[rows, t]
+    inner, inner_sums, logs = _shares(logits)
+    ll -= logs
+    share *= (1 / (m * sums))[:, None]
+    share[rows, c] -= dtype.type(1 / m)
+    inner *= (1 / (m * inner_sums))[:, None]
+    inner[rows, t] -= dtype.type(1 / m)
+
+    out = np.zeros(sum(map(math.prod, _SHAPES.values())), dtype)
+    g = views(out)
+    g["to_class"][:], g["class_bias"][:] = z.T @ share, one[:m] @ share
+    back = share @ p["to_class"].T
+    for j, s in parts:
+        g["to_place"][j], g["place_bias"][j] = z[s].T @ inner[s], one[: s.stop - s.start] @ inner[s]
+        back[s] += inner[s] @ p["to_place"][j].T
     back *= z > 0
-    # Gradients of the rows that an input takes stand side by side, so that inputs are sorted once.
-    at_own, at_all = np.zeros((n, SPAN, WIDTH + HEADS * HEAD), z.dtype), np.empty((n, 2 * SPAN, 2 * HEADS * HEAD), z.dtype)
-    at_own[ok, :WIDTH] = back
-    g["far"] = np.zeros_like(p["far"])
-    for h, (q, k, v, e, c, total) in enumerate(heads):
-        dc = at_own[:, :, h * HEAD : (h + 1) * HEAD] / total
-        da = dc @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        da -= (dc * c).sum(-1, keepdims=True)
-        da *= e
-        at_all[:, :, 2 * h * HEAD : (2 * h + 1) * HEAD] = da.transpose(0, 2, 1) @ q
-        at_all[:, :, (2 * h + 1) * HEAD : (2 * h + 2) * HEAD] = e.transpose(0, 2, 1) @ dc
-        at_own[:, :, WIDTH + h * HEAD : WIDTH + (h + 1) * HEAD] = da @ k
-        g["far"][h] = np.bincount(_AT[_SEEN], weights=da.sum(0)[_SEEN], minlength=2 * SPAN)
-    one, both = _scatter(own, at_own), _scatter(x, at_all).reshape(-1, HEADS, 2, HEAD)
-    g["skip"], g["query"] = one[:, :WIDTH], one[:, WIDTH:].reshape(-1, HEADS, HEAD).transpose(1, 0, 2)
-    g["key"], g["value"] = both[:, :, 0].transpose(1, 0, 2), both[:, :, 1].transpose(1, 0, 2)
+    # What an input's rows get stands side by side, so that inputs are sorted once: skip, query, key, value.
+    at = np.empty((n + 1, SPAN, 4 * HEADS, HEAD), dtype)
+    at[0, :, : 2 * HEADS] = at[-1, :, 2 * HEADS :] = 0
+    at_hidden = np.zeros((n * SPAN, WIDTH), dtype)
+    at_hidden[ok] = back
+    at[1:, :, :HEADS] = at_hidden.reshape(n, SPAN, HEADS, HEAD)
+    d = by_head(at_hidden) / total
+    # The last value is one: what every weight loses by the others stands there.
+    d[..., -1] = -np.einsum("nhsd,nhsd->nhs", d[..., :-1], mean[..., :-1])
+    own = np.empty((n, SPAN, 2 * HEADS, HEAD), dtype)
+    turn = lambda a: a.transpose(0, 2, 1, 3)
+    at_q, k_far, v_far, k_own, v_own = turn(at[1:, :, HEADS : 2 * HEADS]), turn(at[:-1, :, 2 * HEADS : 3 * HEADS]), turn(at[:-1, :, 3 * HEADS :]), turn(own[:, :, :HEADS]), turn(own[:, :, HEADS:])
+    far = np.zeros(attention.bias.shape, dtype)
+    for s in attention.blocks(n):
+        a = d[s] @ v_turned[s]
+        a *= e[s]
+        far += a.sum(0)
+        np.matmul(a, k[s], out=at_q[s])
+        a, w = a.swapaxes(-1, -2), e[s].swapaxes(-1, -2)
+        np.matmul(a[:, :, :SPAN], q[s], out=k_far[s])
+        np.matmul(a[:, :, SPAN:], q[s], out=k_own[s])
+        np.matmul(w[:, :, :SPAN], d[s], out=v_far[s])
+        np.matmul(w[:, :, SPAN:], d[s], out=v_own[s])
+    at[1:, :, 2 * HEADS :] += own
+    for h in range(HEADS):
+        g["far"][h] = np.bincount(_AT[_SEEN], weights=far[h][_SEEN], minlength=2 * SPAN)
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    at, ids = at.reshape(flat.size, -1).take(order, 0), flat[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    by_input = np.zeros((LEAVES + 2, 4 * WIDTH), dtype)
+    for i, a, b in zip(ids[first].tolist(), first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+        np.dot(one[: b - a], at[a:b], out=by_input[i])
+    by_input = by_input.reshape(LEAVES + 2, 4, HEADS, HEAD).transpose(1, 2, 0, 3)
+    g["skip"].reshape(LEAVES + 2, HEADS, HEAD)[:] = by_input[0].transpose(1, 0, 2)
+    g["query"][:], g["key"][:], g["value"][:] = by_input[1:]
     g["query"][:, :, -1] = g["value"][:, :, -1] = 0
     g["key"][:, PAD] = 0
-    return ll, g
+    return ll, out
+
+
+def spans_of(lines: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of lines of ids, one after the other, as ``slope`` takes them."""
+    first = np.cumsum([0, *(len(x) // SPAN for x in lines[:-1])])
+    x = vocabulary.inputs.take(np.concatenate([x[:-1] for x in lines])).reshape(-1, SPAN)
+    y = vocabulary.targets.take(np.concatenate([x[1:] for x in lines])).reshape(-1, SPAN)
+    y[first] = -1
+    return x, y[1:]
 
 
-def train(p, windows: np.ndarray, vocabulary: Vocabulary, cls, place, rounds: int, at: int, passes: int):
-    """Weights after one round (``at`` of ``rounds``) over this shard's windows of the round; windows are rows of 33 ids."""
+def train(p, lines: list[np.ndarray], vocabulary: Vocabulary, cls, place, rounds: int, at: int, passes: int):
+    """Weights after one round (``at`` of ``rounds``) over all windows of this shard's lines of the round."""
     flat = np.frombuffer(to_blob(p), _F).copy()
     p, mean, square, part = views(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    steps, step = passes * -(-len(windows) // BATCH), 0
+    size, step = np.array([len(x) // SPAN - 1 for x in lines]), 0
+    batch = min(BATCH, max(LEAST_BATCH, passes * int(size.sum()) // STEPS))
     for k in range(passes):
-        order = np.random.default_rng((at, k)).permutation(len(windows))
-        for a in range(0, len(windows), BATCH):
-            w = windows[order[a : a + BATCH]].astype(np.int64)
-            ids = w[:, SPAN + 1 :]
-            y = np.where(ids == PAD_ID, -1, vocabulary.leaf[np.minimum(ids, len(vocabulary.leaf) - 1)])
-            _, g = gradient(p, vocabulary.inputs[w[:, : 2 * SPAN]], y, cls, place)
-            g = np.concatenate([g[name].ravel() for name in _SHAPES], dtype=_F)
+        order = np.random.default_rng((at, k)).permutation(len(lines))
+        ends = np.cumsum(size[order])
+        batches = np.split(order, np.unique(np.searchsorted(ends, np.arange(batch, ends[-1], batch)) + 1)[: len(lines)])
+        batches = [b for b in batches if len(b)]
+        for j, b in enumerate(batches):
+            _, g = slope(p, *spans_of([lines[i] for i in b], vocabulary), cls, place)
             step += 1
-            speed = RATE_OF_LEARNING * (1 - (at + (step - 1) / steps) / rounds) * min(1, step / 30)
-            for held, new, rate in ((mean, g, 0.1), (square, g * g, 0.01)):
-                np.subtract(new, held, out=part)
-                part *= _F(rate)
-                held += part
-                if step % 64 == 0:  # what is left of old gradients must not become subnormal: such numbers are slow
-                    held[np.abs(held) < 1e-30] = 0
+            done = (k + j / len(batches)) / passes
+            speed = RATE_OF_LEARNING * math.sqrt(batch / LEAST_BATCH) * (1 - (at + done) / rounds) * min(1, step / 30)
+            mean *= _F(0.9)
+            np.multiply(g, _F(0.1), out=part)
+            mean += part
+            g *= g
+            g *= _F(0.01)
+            square *= _F(0.99)
+            square += g
+            if step % 64 == 0:  # what is left of old gradients must not become subnormal: such numbers are slow
+                mean[np.abs(mean) < 1e-30] = 0
+                square[square < 1e-30] = 0
             np.sqrt(square, out=part)
             part *= _F(1 / math.sqrt(1 - 0.99**step))
             part += _F(1e-8)
@@ -343,53 +427,22 @@ class Scorer:
 
     def __init__(self, p, vocabulary: Vocabulary, cls, place):
         self.p, self.vocabulary, self.cls, self.place = p, vocabulary, cls, place
-        self.bias = [(p["far"][h][_AT] + _MASK).astype(_F) for h in range(HEADS)]
-        self.ones = np.ones(CLASSES, _F)
-        #: Whether attention logits can be too large for plain exponentials.
-        norm = lambda x: float(np.sqrt((x**2).sum(-1)).max())
-        self.large = any(norm(p["query"][h][:, :-1]) * norm(p["key"][h][:, :-1]) + np.abs(p["key"][h][:PAD, -1]).max() + np.abs(p["far"][h]).max() > 60 for h in range(HEADS))
+        self.attention = Attention(p)
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         """x: consecutive spans of inputs, the first one context only."""
-        p, own = self.p, x[1:]
-        out = p["skip"].take(own, 0)
-        for h in range(HEADS):
-            q, k, v = p["query"][h].take(own, 0), p["key"][h].take(x, 0), p["value"][h].take(x, 0)
-            k = np.ascontiguousarray(k.transpose(0, 2, 1))
-            near, far = q @ k[1:], q @ k[:-1]
-            near += self.bias[h][:, SPAN:]
-            far += self.bias[h][:, :SPAN]
-            c = self._weighted(near.copy(), far.copy(), v) if self.large else self._weighted(near, far, v)
-            if self.large and not _sound(c[:, :, -1]):
-                top = np.maximum(near.max(-1), far.max(-1))[..., None]
-                c = self._weighted(near - top, far - top, v)
-            c /= c[:, :, -1:]
-            out[:, :, h * HEAD : (h + 1) * HEAD] += c
+        q, _, v, k_turned, _ = self.attention.look_up(x, False)
+        _, c, _ = self.attention.weigh(q, v, k_turned)
+        out = self.p["skip"].take(x[1:], 0)
+        out.reshape(len(q), SPAN, HEADS, HEAD).transpose(0, 2, 1, 3)[:] += c
         return np.maximum(out, 0, out=out)
 
-    @staticmethod
-    def _weighted(near, far, v):
-        """Sums of values by the exponentials of the logits; the last value counts the weights."""
-        np.exp(near, out=near)
-        np.exp(far, out=far)
-        c = near @ v[1:]
-        c += far @ v[:-1]
-        return c
-
-    def _log_sums(self, logits: np.ndarray) -> np.ndarray:
-        """Log of each row's sum of exponentials; rows are shifted only where a batch needs it."""
-        total = np.exp(logits) @ self.ones
-        if _sound(total):
-            return np.log(total)
-        top = logits.max(1, keepdims=True)
-        return np.log(np.exp(logits - top) @ self.ones) + top[:, 0]
-
     def _leaves(self, z: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Log probabilities of leaves, given hidden rows."""
         p, c, t, rows = self.p, self.cls[leaf], self.place[leaf], np.arange(len(z))
         logits = z @ p["to_class"]
         logits += p["class_bias"]
-        ll = logits[rows, c] - self._log_sums(logits)
+        ll = logits[rows, c] - _shares(logits)[2]
         order = np.argsort(c.astype(np.uint8), kind="stable")
         cut, zs = np.searchsorted(c[order], np.arange(CLASSES + 1)), z[order]
         inner = np.empty((len(z), CLASSES), _F)
@@ -398,7 +451,7 @@ class Scorer:
             if cut[k] < cut[k + 1]:
                 np.matmul(zs[s], p["to_place"][k], out=inner[s])
                 inner[s] += p["place_bias"][k]
-        ll[order] += inner[rows, t[order]] - self._log_sums(inner)
+        ll[order] += inner[rows, t[order]] - _shares(inner)[2]
         return ll
 
     def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -487,17 +540,18 @@ def _read_blocks(file, limit: int, shards: int, rounds: int):
     return work
 
 
-def _windows(lines, sizes) -> np.ndarray:
-    """All windows of a shard's round; lines come in the order of their bytes, so that no task order plays a part."""
+def _lines(lines, sizes) -> list[np.ndarray]:
+    """All lines of a shard's round in the order of their bytes, so that no task order plays a part."""
     every = []
     for blob, size in zip(lines, sizes, strict=True):
         raw, ends = zstandard.decompress(blob, 1 << 40), 2 * np.cumsum(unpack(size))
         every += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    every.sort()
-    size = np.array([len(e) // 2 for e in every])
-    n = (size - 1) // SPAN - 1  # a line begins with 17 ids of context
-    at = np.repeat(np.cumsum(size) - size - SPAN * (np.cumsum(n) - n), n) + SPAN * np.arange(n.sum())
-    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(every), "<u2"), 2 * SPAN + 1)[at]
+    return [np.frombuffer(x, "<u2") for x in sorted(every)]
+
+
+def _windows(lines, sizes) -> np.ndarray:
+    """The windows that ``train`` learns from in these lines, one by one."""
+    return np.concatenate([np.lib.stride_tricks.sliding_window_view(x, 2 * SPAN + 1)[::SPAN] for x in _lines(lines, sizes)])
 
 
 def _contexts(leaf: np.ndarray, inputs: np.ndarray):
@@ -520,9 +574,9 @@ def _contexts(leaf: np.ndarray, inputs: np.ndarray):
 def _train_shard(weights, rounds: int, at: int, passes: int):
     def work(key, rows):
         blob, vocabulary, cls, place = weights.value
-        windows = _windows(rows["lines"].to_pylist(), rows["line_sizes"].to_pylist())
-        p = train(from_blob(blob), windows, vocabulary, cls, place, rounds, at, passes)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(windows)], pa.int64()), "weights": pa.array([to_blob(p)], pa.binary())})
+        lines = _lines(rows["lines"].to_pylist(), rows["line_sizes"].to_pylist())
+        p = train(from_blob(blob), lines, vocabulary, cls, place, rounds, at, passes)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([sum(len(x) // SPAN - 1 for x in lines)], pa.int64()), "weights": pa.array([to_blob(p)], pa.binary())})
 
     return work
 

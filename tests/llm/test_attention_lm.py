@@ -142,6 +142,22 @@ def test_gradient_by_differences():
         assert g[name][at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-8), name
 
 
+def test_slope_over_whole_lines_is_that_over_their_windows():
+    """Texts of one batch stand one after the other; none sees another, and keys of a span count once for each span that sees them."""
+    p, vocabulary, cls, place = small_model()
+    p, r = {k: v.astype(np.float64) for k, v in p.items()}, np.random.default_rng(4)
+    docs = [r.integers(0, 1500, n) for n in (1, 16, 17, 300, 40)]
+    lines = [x[k : k + M.SPAN + 1 + 4 * M.SPAN] for x in map(M.line_of, docs) for k in range(0, len(x) - M.SPAN - 1, 4 * M.SPAN)]
+    ll, g = M.slope(p, *M.spans_of(lines, vocabulary), cls, place)
+    w = np.concatenate([M.windows_of(d) for d in docs])
+    ids = w[:, M.SPAN + 1 :]
+    y = np.where(ids == M.PAD_ID, -1, vocabulary.leaf[np.minimum(ids, 1499)])
+    want_ll, want = M.gradient(p, vocabulary.inputs[w[:, : 2 * M.SPAN]], y, cls, place)
+    assert len(ll) == sum(map(len, docs)) and np.sort(ll) == pytest.approx(np.sort(want_ll), rel=1e-9)
+    for name, a in M.views(g).items():
+        assert a == pytest.approx(want[name], rel=1e-6, abs=1e-12), name
+
+
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
     rows = [r for r in columns(M.query(spark, "/root/testdata/sf0.01")) if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
