@@ -61,29 +61,44 @@ def _relax(edges: DataFrame, best: DataFrame, extend: Callable[[], Column]) -> D
     return best
 
 
-def _with_starts(edges: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows of small parts (edges, and ``starts`` (id, ...) as rows without dst), edges of large ones, their starts, and starts that no edge meets."""
-    rows, held = in_parts(edges)
+#: Marks of ids: rows start there, rows are wanted there.
+START, WANTED = 1, 2
+
+
+def _with_starts(edges: DataFrame, starts: DataFrame, most: int, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of small parts (edges, and marked ids as rows without dst), edges of large ones, their starts, and starts that no edge meets.
+
+    ``starts`` (id, ...) and ``wanted`` (id) have no null ids, and a start no second row.
+    """
+    marks = starts.select("id", F.lit(START).alias("mark"))
+    if wanted is not None:
+        marks = marks.unionByName(wanted.select("id", F.lit(WANTED).alias("mark")))
+    rows, held = in_parts(edges, marks)
     small, large, which = split(rows, most)
-    begin = settle(starts.join(held, "id", "left"))
+    begin = held.filter("mark > 0")
+    if starts.columns != ["id"]:
+        begin = settle(begin.join(starts, "id", "left"))
     alone = begin.filter("part IS NULL").drop("part")
     begin = begin.filter("part IS NOT NULL")
     within = begin.filter("false") if which is None else begin.join(which, "part", "left_semi")
     begin = begin if which is None else begin.join(which, "part", "left_anti")
-    return small.unionByName(begin.withColumnRenamed("id", "src"), allowMissingColumns=True), large.drop("part"), within.drop("part"), alone
+    is_start = F.col("mark").bitwiseAND(START) > 0
+    return small.unionByName(begin.withColumnRenamed("id", "src"), allowMissingColumns=True), large.drop("part"), within.filter(is_start).select(starts.columns), alone.filter(is_start)
 
 
-def _ends(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Names of all nodes in order, src and dst of the edges, the nodes that rows without dst name, and the rows of the edges."""
+def _ends(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Table, pa.Table]:
+    """Names of all nodes in order, src and dst of the edges, the nodes that rows without dst name, and the rows of both."""
     is_edge = t["dst"].is_valid()
     e, put = t.filter(is_edge), t.filter(pc.invert(is_edge))
     names, (src, dst, begin) = numbered(e["src"], e["dst"], put["src"])
-    return names, src, dst, begin, e
+    return names, src, dst, begin, e, put
 
 
-def _widest_of(t: pa.Table, _part: np.ndarray) -> pa.Table:
-    """``widest`` over small parts: widths by rounds of max-min from the nodes that grew, then least labels on the edges that keep them."""
-    names, src, dst, begin, e = _ends(t)
+def _widest_of(t: pa.Table, only_wanted: bool) -> pa.Table:
+    """``widest`` over small parts, of all nodes or the wanted ones: widths by rounds of max-min from the nodes that grew, then least labels on the edges that keep them."""
+    names, src, dst, marked, e, put = _ends(t)
+    mark = put["mark"].to_numpy()
+    begin = marked[mark & START > 0]
     n, width = len(names), e["width"].to_numpy()
     sums = np.stack([e[c].to_numpy() for c in ("cost", "length", "shortcuts")])
     out, w = Outward(src, n), np.full(n, -np.inf)
@@ -115,11 +130,15 @@ def _widest_of(t: pa.Table, _part: np.ndarray) -> pa.Table:
         less |= ~reached[to]
         front = to[less]
         best[:, front], reached[front] = new[:, less], True
+    if only_wanted:
+        wanted = np.zeros(n, bool)
+        wanted[marked[mark & WANTED > 0]] = True
+        reached &= wanted
     at = np.flatnonzero(reached)
     return pa.table({"id": names.take(pa.array(at)), "source": names.take(pa.array(best[3, at])), "width": w[at], **{c: best[k, at] for k, c in enumerate(("cost", "length", "shortcuts"))}})
 
 
-def widest(edges: DataFrame, starts: DataFrame, whole: int = WHOLE) -> DataFrame:
+def widest(edges: DataFrame, starts: DataFrame, whole: int = WHOLE, wanted: DataFrame | None = None) -> DataFrame:
     """id, source, width, cost, length, shortcuts: of the paths from any of ``starts`` (id) to each node, the one whose least width is greatest.
 
     ``edges`` (src, dst, width, cost, length, shortcut boolean); a null width does not bound a
@@ -127,7 +146,8 @@ def widest(edges: DataFrame, starts: DataFrame, whole: int = WHOLE) -> DataFrame
     null shortcut is none.  The path is chosen node by node: each node goes on from the widest
     path of the one before.  Of these the one with the least cost is taken, then the shortest,
     the one with fewest shortcuts, and the lowest source.  A start has width infinity.  Nodes
-    that no start reaches, and repeated starts, give no further rows.
+    that no start reaches, and repeated starts, give no further rows.  With ``wanted`` (id) only
+    these nodes have rows: others are neither written nor joined.
 
     Widths are settled first, by rounds of max-min; the edges that keep them then make up a
     network on which least sums are found.  Parts of more than ``whole`` edges take a round
@@ -137,15 +157,19 @@ def widest(edges: DataFrame, starts: DataFrame, whole: int = WHOLE) -> DataFrame
     wide = F.coalesce(F.col("width").cast("double"), F.lit(float("inf"))).alias("width")
     rows = edges.select("src", "dst", wide, part("cost"), part("length"), F.coalesce(F.col("shortcut").cast("long"), F.lit(0).cast("long")).alias("shortcuts"))
     begin = starts.select("id").filter("id IS NOT NULL").distinct()
+    wanted = None if wanted is None else wanted.select("id").filter("id IS NOT NULL")
     with plain_plans(edges.sparkSession):
-        small, large, within, alone = _with_starts(rows, begin, whole)
+        only_wanted = wanted is not None
+        small, large, within, alone = _with_starts(rows, begin, whole, wanted)
         kind = rows.schema["src"].dataType
         schema = StructType().add("id", kind).add("source", kind).add("width", DoubleType()).add("cost", LongType()).add("length", LongType()).add("shortcuts", LongType())
-        found = settle(solve(small, _widest_of, schema))
+        found = settle(solve(small, lambda t, _: _widest_of(t, only_wanted), schema))
         zero = F.lit(0).cast("long")
+        alone = alone.filter(F.col("mark").bitwiseAND(WANTED) > 0) if only_wanted else alone
         found = found.unionByName(alone.select("id", F.col("id").alias("source"), F.lit(float("inf")).alias("width"), zero.alias("cost"), zero.alias("length"), zero.alias("shortcuts")))
         if not large.isEmpty():
-            found = found.unionByName(_widest_in_rounds(large, within))
+            more = _widest_in_rounds(large, within)
+            found = found.unionByName(more.join(wanted, "id", "left_semi") if only_wanted else more)
     return found.select("id", "source", "width", (F.col("cost") / PARTS).alias("cost"), (F.col("length") / PARTS).alias("length"), "shortcuts")
 
 
@@ -175,7 +199,7 @@ def linked_ends(edges: DataFrame, starts: DataFrame, ends: DataFrame, least_widt
     first gate that fails: ``unreached`` (or a start itself), ``narrow``, ``connectors`` or
     ``short``; null where all hold.  ``least_length`` may use columns of ``ends``.
     """
-    found = widest(edges, starts).withColumnRenamed("id", "_id")
+    found = widest(edges, starts, wanted=ends).withColumnRenamed("id", "_id")
     share = F.when(F.col("length") > 0, F.col("cost") / F.col("length")).otherwise(F.lit(0.0))
     reason = F.when(F.col("_id").isNull() | (F.col("length") <= 0), "unreached").when(F.col("width") < least_width, "narrow").when(F.col("share") > most_share, "connectors").when(F.col("length") < F.col("_least"), "short")
     rows = ends.select("id", least_length.alias("_least")).join(found, F.col("id") == F.col("_id"), "left").withColumn("share", F.when(F.col("_id").isNotNull(), share)).withColumn("reason", reason)
@@ -184,7 +208,7 @@ def linked_ends(edges: DataFrame, starts: DataFrame, ends: DataFrame, least_widt
 
 def _levels_of(t: pa.Table, _part: np.ndarray) -> pa.Table:
     """``levels`` over small parts, by peeling; null on and above cycles."""
-    names, src, dst, _, _ = _ends(t)
+    names, src, dst, _, _, _ = _ends(t)
     n = len(names)
     out, level, into = Outward(src, n), np.zeros(n, np.int64), np.bincount(dst, minlength=n)
     front = np.flatnonzero(into == 0)
@@ -201,16 +225,18 @@ def levels(edges: DataFrame, nodes: DataFrame, whole: int = WHOLE) -> DataFrame:
 
     Parts of more than ``whole`` edges take as many rounds as forks on such a path.
     """
-    ids = nodes.select("id").distinct()
     with plain_plans(edges.sparkSession):
-        rows, held = in_parts(edges.select("src", "dst"))
+        marks = nodes.select("id", F.lit(WANTED).alias("mark"))
+        rows, held = in_parts(edges.select("src", "dst"), marks)
         small, large, which = split(rows, whole)
         found = settle(solve(small, _levels_of, StructType().add("id", rows.schema["src"].dataType).add("level", LongType())))
         if not found.filter("level IS NULL").isEmpty():
             raise CycleError("the network has a cycle")
         if which is not None:
             found = found.unionByName(_levels_in_rounds(large.drop("part"), held.join(which, "part", "left_semi").select("id")))
-    return ids.join(found, "id", "left").select("id", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+        if not (others := held.filter("mark = 0")).isEmpty():
+            found = found.join(others, "id", "left_anti")
+    return found.unionByName(held.filter("part IS NULL").select("id", F.lit(0).cast("long").alias("level")))
 
 
 def _levels_in_rounds(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -240,11 +266,11 @@ def _levels_in_rounds(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _flux_of(t: pa.Table, part: np.ndarray) -> pa.Table:
     """``solve_flux`` over small parts: dense systems of the nodes that sources reach, stacked by size; NaN where one has no solution."""
-    names, src, dst, begin, e = _ends(t)
+    names, src, dst, begin, e, put_in = _ends(t)
     n, share = len(names), e["share"].to_numpy()
     is_edge = t["dst"].is_valid().to_numpy()
     put, of = np.zeros(n), np.zeros(n, np.int64)
-    put[begin] = t.filter(pc.invert(t["dst"].is_valid()))["r"].to_numpy()
+    put[begin] = put_in["r"].to_numpy()
     of[src], of[dst] = part[is_edge], part[is_edge]
     out, seen, front = Outward(src, n), np.zeros(n, bool), np.unique(begin)
     while len(front):

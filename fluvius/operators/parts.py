@@ -19,8 +19,8 @@ from pyspark.sql.types import StructType
 from .graph import components
 from .iterate import settle
 
-#: Rows that a task takes up at once.
-BATCH = 200_000
+#: Rows that a task takes up at once, and the last of these whose parts may go on in what follows.
+BATCH, TAIL = 200_000, 4096
 
 
 def numbered(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
@@ -61,28 +61,48 @@ def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with the part that they form in a batch.
+
+    Parts of the last edges of a batch are held back for the next one, unless they are half of
+    it: where the edges of a part lie together, the end of a batch does not cut it.
+    """
+    rest = None
     for t in _in_batches(batches):
+        t = pa.concat_tables([rest, t]) if rest else t
         names, (a, b) = numbered(t["src"], t["dst"])
-        yield from t.append_column("part", names.take(pa.array(_lowest(a, b, len(names))[a]))).to_batches()
-
-
-def in_parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``edges`` (src, dst, ...) with the part they belong to, and (id, part) of all their ends; edges with a null end go.
-
-    Each batch of a task labels its own edges first, so only labels that meet at an id go on
-    to rounds over all; where the edges of a part lie together, none do.
+        low = _lowest(a, b, len(names))[a]
+        open_ = np.isin(low, low[-TAIL:])
+        if open_.mean() > 0.5:
+            open_[:] = False
+        rest = t.filter(pa.array(open_))
+        yield from t.append_column("part", names.take(pa.array(low))).filter(pa.array(~open_)).to_batches()
+    if rest:
+        names, (a, b) = numbered(rest["src"], rest["dst"])
+        yield from rest.append_column("part", names.take(pa.array(_lowest(a, b, len(names))[a]))).to_batches()
+
+
+def in_parts(edges: DataFrame, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (src, dst, ...) with the part they belong to, and (id, part, mark) of all their ends; edges with a null end go.
+
+    ``marks`` (id, mark int) are put together by the bits of ``mark`` (0 where there is none);
+    marked ids that no edge meets have no part.  Each batch of a task labels its own edges
+    first, so only labels that meet at an id go on to rounds over all; where the edges of a
+    part lie together, none do.
     """
     kind = edges.schema["src"].dataType
     rows = edges.filter("src IS NOT NULL AND dst IS NOT NULL").withColumn("dst", F.col("dst").cast(kind))
     rows = settle(rows.mapInArrow(_label, StructType([*rows.schema.fields]).add("part", kind)))
     ends = rows.select(F.inline(F.array(F.struct(F.col("src").alias("id"), "part"), F.struct(F.col("dst").alias("id"), "part"))))
-    held = settle(ends.groupBy("id").agg(F.min("part").alias("part"), F.max("part").alias("most")))
+    every = ends.withColumn("mark", F.lit(0))
+    if marks is not None:
+        every = every.unionByName(marks.select(F.col("id").cast(kind).alias("id"), F.lit(None).cast(kind).alias("part"), "mark"))
+    held = settle(every.groupBy("id").agg(F.min("part").alias("part"), F.max("part").alias("most"), F.bit_or("mark").alias("mark")))
     shared = held.filter("part <> most").select("id", F.col("part").alias("b"))
     if not shared.isEmpty():
         one = settle(components(ends.join(shared, "id").filter("part <> b").select(F.col("part").alias("a"), "b").distinct()))
         join = lambda of: of.join(one.select(F.col("id").alias("_p"), "component"), F.col("part") == F.col("_p"), "left").withColumn("part", F.coalesce("component", "part")).drop("_p", "component")
         rows, held = settle(join(rows)), settle(join(held))
-    return rows, held.select("id", "part")
+    return rows, held.select("id", "part", "mark")
 
 
 def split(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:

@@ -18,6 +18,15 @@ def orders(spark, d):
     return rows.select("id", F.lag("id").over(w).alias("prev"), F.lead("id").over(w).alias("n1"), F.lead("id", 2).over(w).alias("n2"))
 
 
+def firsts(spark, d):
+    """Each customer's first order."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.col("o_orderkey").cast("long")).alias("id")).select("id")
+
+
+def lasts(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderkey").cast("long")).alias("id")).select("id")
+
+
 _O = """WITH RECURSIVE o AS (SELECT id, lag(id) OVER w AS prev, lead(id) OVER w AS n1, lead(id, 2) OVER w AS n2 FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, o_custkey FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY id))"""
 _WIDE = f"""{_O}, e AS (SELECT id AS src, n1 AS dst, CAST(id * 37 % 23 + 5 AS DOUBLE) AS width, 0 AS cost, id % 10 + 1 AS length, 0 AS cut FROM o WHERE n1 IS NOT NULL
  UNION ALL SELECT id, n2, CASE WHEN id % 3 = 0 THEN 'infinity'::DOUBLE ELSE CAST(id % 19 + 8 AS DOUBLE) END, CASE WHEN id % 3 = 0 THEN id % 4 ELSE 0 END, id % 6, CAST(id % 3 = 0 AND id % 4 = 0 AS INTEGER) FROM o WHERE n2 IS NOT NULL AND id % 4 < 2),
@@ -45,7 +54,7 @@ def _passages(o):
 def widest_paths(spark, d):
     """Of the ways from a customer's first order to each of its others, the one with the greatest least width; -1 where nothing bounds it."""
     o = orders(spark, d)
-    out = N.widest(_passages(o), o.filter("prev IS NULL"))
+    out = N.widest(_passages(o), firsts(spark, d))
     return out.withColumn("width", F.when(F.col("width") == float("inf"), F.lit(-1.0)).otherwise(F.round("width", 6)))
 
 
@@ -54,7 +63,7 @@ def widest_paths(spark, d):
 def linked_ends(spark, d):
     """How each customer's last order is linked with the first, and the gate that fails."""
     o = orders(spark, d)
-    out = N.linked_ends(_passages(o), o.filter("prev IS NULL"), o.filter("n1 IS NULL").select("id"), 12.0, 0.05, F.lit(20.0))
+    out = N.linked_ends(_passages(o), firsts(spark, d), lasts(spark, d), 12.0, 0.05, F.lit(20.0))
     return out.select("id", "source", "length", F.round("share", 6).alias("share"), "reason")
 
 
@@ -74,4 +83,4 @@ def cyclic_flux(spark, d):
     on = F.struct(i.alias("src"), F.col("n1").alias("dst"), F.when((i % 4 < 2) | (i % 5 == 0), 1 / 2.1).otherwise(1 / 1.05).alias("share"))
     over = F.struct(i.alias("src"), F.when(i % 4 < 2, F.col("n2")).alias("dst"), F.lit(1 / 4.3).alias("share"))
     back = F.struct(i.alias("src"), F.when(i % 5 == 0, F.col("prev")).alias("dst"), F.lit(1 / 3.7).alias("share"))
-    return N.solve_flux(_each(o, on, over, back), o.filter("prev IS NULL").select("id", F.lit(1.0).alias("amount")), least=1e-9).select("id", F.round("flux", 6).alias("flux"))
+    return N.solve_flux(_each(o, on, over, back), firsts(spark, d).withColumn("amount", F.lit(1.0)), least=1e-9).select("id", F.round("flux", 6).alias("flux"))

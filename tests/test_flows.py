@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fluvius.operators import flows as N
+from fluvius.operators import parts
 from fluvius.operators.graph import CycleError
 from fluvius.operators.parts import in_parts
 
@@ -101,6 +103,35 @@ def test_parts_are_labelled_whatever_task_holds_their_edges(spark):
         assert part.keys() == group.keys() and sorted((v.src, v.dst) for v in out.collect()) == sorted(rows) and all(part[v.src] == v.part for v in out.collect())
 
 
+def test_parts_that_lie_together_are_not_cut_by_batches(spark, monkeypatch):
+    """Chains of 30 edges in batches of 100: none takes rounds over all; and the parts are right where most of a batch is one."""
+    monkeypatch.setattr(parts, "BATCH", 100)
+    monkeypatch.setattr(parts, "TAIL", 10)
+    batches = lambda rows: [pa.RecordBatch.from_pydict({"src": [a for a, _ in rows[k : k + 7]], "dst": [b for _, b in rows[k : k + 7]]}) for k in range(0, len(rows), 7)]
+    rows = [(31 * c + k, 31 * c + k + 1) for c in range(40) for k in range(30)]
+    out = pa.Table.from_batches(parts._label(iter(batches(rows)))).to_pylist()
+    assert len(out) == len(rows) and all(x["part"] == x["src"] // 31 * 31 for x in out)
+    long = [(k, k + 1) for k in range(1000)]
+    out = pa.Table.from_batches(parts._label(iter(batches(long)))).to_pylist()
+    assert sorted((x["src"], x["dst"]) for x in out) == long and all(x["part"] <= x["src"] for x in out)
+
+
+@pytest.mark.parametrize("whole", [0, 40])
+def test_only_wanted_nodes_have_rows(spark, whole):
+    r = random.Random(9)
+    rows = network(r, 60) + [(a + 1000, b + 1000, *e) for a, b, *e in network(r, 30)]
+    edges = spark.createDataFrame(rows, EDGES)
+    begin, wanted = ({*a} for a in ((0, 20, 1000, 8000, 8001), (5, 20, 59, 1007, 1029, 8000, 7000)))
+    ids = lambda some: spark.createDataFrame([(i,) for i in some], "id long")
+    all_ = [tuple(x) for x in N.widest(edges, ids(begin), whole).collect()]
+    got = [tuple(x) for x in N.widest(edges, ids(begin), whole, ids([*wanted, None, 5])).collect()]
+    assert sorted(got) == sorted(x for x in all_ if x[0] in wanted) and {20, 8000} <= {x[0] for x in got}
+    nodes = {a for a, *_ in rows} | {b for _, b, *_ in rows}
+    level = dict(map(tuple, N.levels(edges, ids(nodes), whole).collect()))
+    some = dict(map(tuple, N.levels(edges, ids([5, 1007, 5, 7000]), whole).collect()))
+    assert some == {5: level[5], 1007: level[1007], 7000: 0}
+
+
 @pytest.mark.parametrize("whole", [0, 40])
 def test_large_parts_take_rounds_with_the_same_results(spark, whole):
     r = random.Random(6)
